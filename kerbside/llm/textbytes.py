@@ -1,0 +1,98 @@
+"""Array kernels over the UTF-8 bytes of Arrow string columns.
+
+An Arrow string column is one byte buffer with offsets, so whole batches are hashed, cut into tokens and
+counted by numpy without making a Python string for each row.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+
+SLICE_BYTES = 1 << 20
+SLICE_ROWS = 1024
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+WORD = np.zeros(256, bool)
+WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) for runs of rows of about SLICE_BYTES; a longer row is a run of its own. Nulls count as empty."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    if texts.null_count:
+        texts = texts.fill_null("")
+    if not len(texts):
+        return
+    wide = pa.types.is_large_string(texts.type)
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    row = 0
+    while row < len(texts):
+        last = int(np.searchsorted(ends, ends[row] + SLICE_BYTES, "right")) - 1
+        last = min(max(last, row + 1), row + SLICE_ROWS, len(texts))
+        yield row, data[ends[row] : ends[last]], ends[row : last + 1] - ends[row]
+        row = last
+
+
+_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2**64."""
+    if len(_powers["up"]) < n:
+        size = 1 << max(n - 1, 1).bit_length()
+        for name, base in (("up", _BASE), ("down", _INVERSE)):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _powers[name] = np.multiply.accumulate(steps)
+    return _powers["up"], _powers["down"]
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64."""
+    x = x.astype(np.uint64, copy=True)
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def runs(flags: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of True; a run never crosses a position of breaks."""
+    if not len(flags):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    inner = breaks[(breaks > 0) & (breaks < len(flags))]
+    before = np.empty(len(flags), bool)
+    before[0] = False
+    before[1:] = flags[:-1]
+    before[inner] = False
+    after = np.empty(len(flags), bool)
+    after[-1] = False
+    after[:-1] = flags[1:]
+    after[inner - 1] = False
+    return np.flatnonzero(flags & ~before), np.flatnonzero(flags & ~after) + 1
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte span, from one prefix sum over the buffer."""
+    up, down = _power_tables(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    h = (sums[ends] - sums[starts]) * down[starts]
+    return mix(h + (ends - starts).astype(np.uint64))
+
+
+def owner(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The row that holds each position."""
+    return np.searchsorted(offsets, starts, "right") - 1
