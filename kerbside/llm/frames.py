@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -50,8 +50,6 @@ def ranked(df: DataFrame, group: str, key: Column, ties: list[Column], totals: d
     A group is cut into hash buckets of about per_bucket rows, so that no task sorts a whole group, however large. Ranks
     are the row number in the bucket plus the rows of the group's earlier buckets. totals has the rows of each group.
     """
-    from pyspark.sql import Window
-
     hashed, buckets, bucket, base, other, where = fresh(df, "_hash", "_buckets", "_bucket", "_base", "_group", "_where")
     spark = df.sparkSession
     kind = df.schema[group].dataType.simpleString()

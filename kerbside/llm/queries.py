@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kerbside.llm import exact_dedup, packing
+import corpus_pipeline
+from kerbside.llm import exact_dedup, mixing, packing, quality_rules, simhash
 from kerbside.llm.frames import table
 
 
@@ -12,13 +13,30 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(table(spark, sf_dir, "documents"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_positions(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_copies(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.good_documents(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op2_packing": op2_packing,
+    "op3_simhash": op3_simhash,
+    "op5_mixing": op5_mixing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_quality_rules": op10_quality_rules,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL = {
