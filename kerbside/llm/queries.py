@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from kerbside.llm import exact_dedup, mixing, packing, quality_rules, simhash
+from kerbside.llm import chat_format, exact_dedup, language_id, license_scan, mixing, packing, pii, quality_rules, simhash, url_filter
 from kerbside.llm.frames import table
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    labelled = pages.select("url", url_filter.seed_label(pages.url).alias("label"))
+    return url_filter.filter_urls(pages, url_filter.train(labelled))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -17,24 +23,46 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_positions(table(spark, sf_dir, "documents"))
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_chats(table(spark, sf_dir, "conversations"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.languages(docs, language_id.train(docs))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_copies(table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_rules.good_documents(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
 
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
+    "op4_license_scan": op4_license_scan,
     "op5_mixing": op5_mixing,
+    "op6_chat_format": op6_chat_format,
+    "op7_language_id": op7_language_id,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,
     "pipeline": corpus_pipeline.run,
 }
