@@ -1 +1 @@
-"""Operators of the engine."""
+"""Operators on DataFrames of images, descriptions, points and vectors."""

@@ -8,7 +8,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -33,3 +33,17 @@ def ship(spark: SparkSession) -> None:
             archive.write(path, path.relative_to(root.parent))
     context.addPyFile(str(folder / "kerbside.zip"))
     _shipped.add(context.applicationId)
+
+
+def checkpoint_dir(spark: SparkSession) -> None:
+    """Use the cluster's shared folder; a folder of our own only where none is set, as in tests."""
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(shared or str(Path(tempfile.gettempdir()) / "kerbside-checkpoints"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a reliable checkpoint."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

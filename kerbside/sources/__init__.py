@@ -1 +1 @@
-"""Sources of the engine."""
+"""Tables, files and images, and where they come from."""
