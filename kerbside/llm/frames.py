@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kerbside.session import ship
+from kerbside.session import checkpoint_dir, cut, ship
+
+__all__ = ["checkpoint_dir", "col", "cut", "fresh", "ranked", "ship", "table"]
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -28,20 +27,6 @@ def col(df: DataFrame, name: str) -> Column:
     return df[f"`{name}`"]
 
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; a folder of our own only where none is set, as in tests."""
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "kerbside-checkpoints"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a query; the Python workers get this package first."""
     ship(spark)
