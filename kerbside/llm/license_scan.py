@@ -61,6 +61,7 @@ TEMPLATES = {
     "CC-BY-NC-4.0": "<<optional>>licensed<<end>> <<optional>>released<<end>> under <<optional>>a<<end>> <<optional>>the<<end>> cc by nc 4.0",
     "CC-BY-SA-4.0": "<<optional>>licensed<<end>> <<optional>>released<<end>> under <<optional>>a<<end>> <<optional>>the<<end>> cc by sa 4.0",
     "CC0-1.0": "<<optional>>released<<end>> <<optional>>dedicated<<end>> <<optional>>to the public domain<<end>> under <<optional>>the<<end>> cc0 1.0 <<optional>>universal<<end>>",
+    "All-rights-reserved": f"{_COPYRIGHT} all rights reserved",
 }
 
 
