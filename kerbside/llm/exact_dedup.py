@@ -24,7 +24,7 @@ from kerbside.llm.frames import col, cut, fresh
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 1540483477)
 CHUNK_BYTES = 4096
-COMPARE_CHARS = 8192
+COMPARE_BYTES = 8192
 HUGE_CHARS = 1 << 22
 
 _tables: dict[tuple[int, int], np.ndarray] = {}
@@ -94,6 +94,11 @@ def fingerprint_column(text, primes=PRIMES, bases=BASES):
     return fingerprint(text)
 
 
+def _bytes(data: str, size: int):
+    """The k-th run of size bytes. A binary column is cut in constant time; a string is counted through from its start."""
+    return F.expr(f"substring({data}, k * {size} + 1, {size})")
+
+
 def _huge(docs: DataFrame, doc_id: str, text: str, huge_chars: int, primes, bases) -> DataFrame:
     """Fingerprints of the texts beyond huge_chars; their pieces are spread over all tasks."""
     size = huge_chars
@@ -101,8 +106,8 @@ def _huge(docs: DataFrame, doc_id: str, text: str, huge_chars: int, primes, base
         docs.select(col(docs, doc_id).alias("doc_id"), col(docs, text).alias("text"))
         .where(F.length("text") > huge_chars)
         .withColumn("row", F.monotonically_increasing_id())
-        .select("doc_id", "row", "text", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / size).cast("int"))).alias("k"))
-        .select("doc_id", "row", "k", F.expr(f"substring(text, k * {size} + 1, {size})").alias("piece"))
+        .select("doc_id", "row", F.col("text").cast("binary").alias("data"), F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("text") - 1) / size).cast("int"))).alias("k"))
+        .select("doc_id", "row", "k", _bytes("data", size).alias("piece"))
         .repartition("row", "k")
         .select("doc_id", "row", "k", fingerprint_column(F.col("piece"), primes, bases).alias("f"))
     )
@@ -142,8 +147,8 @@ def _classes(docs: DataFrame, prints: DataFrame, doc_id: str, text: str, primes,
         .withColumn("f", fingerprint_column(F.col("text"), primes, bases))
         .select("doc_id", "text", "f.a", "f.b", "f.n")
     )
-    chunks = keyed.select("a", "b", "n", "text", F.explode(F.sequence(F.lit(0), F.floor(F.length("text") / COMPARE_CHARS).cast("int"))).alias("k"))
-    chunks = chunks.select("a", "b", "n", "k", F.expr(f"substring(text, k * {COMPARE_CHARS} + 1, {COMPARE_CHARS})").alias("chunk"))
+    runs = F.explode(F.sequence(F.lit(0), F.floor(F.octet_length("text") / COMPARE_BYTES).cast("int"))).alias("k")
+    chunks = keyed.select("a", "b", "n", F.col("text").cast("binary").alias("data"), runs).select("a", "b", "n", "k", _bytes("data", COMPARE_BYTES).alias("chunk"))
     kinds = chunks.groupBy("a", "b", "n", "k", "chunk").agg(F.count("*").alias("c")).groupBy("a", "b", "n", "k").agg(F.count("*").alias("kinds"))
     differing = cut(kinds.where("kinds > 1").select("a", "b", "n").distinct())
     if differing.isEmpty():
@@ -165,22 +170,22 @@ def drop_copies(docs: DataFrame, doc_id="doc_id", text="text", huge_chars=HUGE_C
     """docs with one row for each text; see above for nulls."""
     prints = fingerprint_table(docs, doc_id, text, huge_chars, primes, bases)
     gone = _classes(docs, prints, doc_id, text, primes, bases).where("doc_id <> duplicate_of")
-    gone_ids = gone.select(F.col("doc_id").alias("_gone"))
     i, t = col(docs, doc_id), col(docs, text)
-    several = cut(prints.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc_id").alias("_several")))
+    out, many, its, print_, number = fresh(docs, "_gone", "_several", "_f", "_print", "_number")
+    gone_ids = gone.select(F.col("doc_id").alias(out))
+    several = cut(prints.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc_id").alias(many)))
     if several.isEmpty():
-        return docs.join(gone_ids, i == F.col("_gone"), "left_anti")
+        return docs.join(gone_ids, i == F.col(out), "left_anti")
     # Rows of a doc_id that occurs once go by it alone; the others are told apart by their text.
-    print_, number = fresh(docs, "_print", "_number")
-    gone_texts = gone.select(F.col("doc_id").alias("_gone"), F.struct("a", "b", "n").alias("_f"))
-    single = docs.join(several, i == F.col("_several"), "left_anti").join(gone_ids, i == F.col("_gone"), "left_anti")
-    repeated = docs.where(t.isNotNull()).join(several, i == F.col("_several"), "left_semi")
+    gone_texts = gone.select(F.col("doc_id").alias(out), F.struct("a", "b", "n").alias(its))
+    single = docs.join(several, i == F.col(many), "left_anti").join(gone_ids, i == F.col(out), "left_anti")
+    repeated = docs.where(t.isNotNull()).join(several, i == F.col(many), "left_semi")
     repeated = (
         repeated.withColumn(print_, fingerprint_column(col(repeated, text), primes, bases))
-        .join(gone_texts, (F.col(f"`{doc_id}`") == F.col("_gone")) & (F.col(print_) == F.col("_f")), "left_anti")
+        .join(gone_texts, (F.col(f"`{doc_id}`") == F.col(out)) & (F.col(print_) == F.col(its)), "left_anti")
         .withColumn(number, F.row_number().over(Window.partitionBy(f"`{doc_id}`", f"`{text}`").orderBy(F.lit(0))))
         .where(F.col(number) == 1)
         .drop(print_, number)
     )
-    untold = docs.where(t.isNull()).join(several, i == F.col("_several"), "left_semi")
+    untold = docs.where(t.isNull()).join(several, i == F.col(many), "left_semi")
     return single.unionByName(repeated).unionByName(untold)

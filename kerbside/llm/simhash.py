@@ -250,16 +250,16 @@ def drop_near_copies(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame
     """docs with one row of each group of near copies; see above for nulls."""
     found = cut(_groups(docs, doc_id, text))
     i = col(docs, doc_id)
-    named = docs.where(i.isNotNull()).groupBy(i.alias("_id")).agg(F.count("*").alias("c")).where("c > 1")
+    code, number, out, its, kept_code = fresh(docs, "_code", "_number", "_gone", "_id", "_kept")
+    named = docs.where(i.isNotNull()).groupBy(i.alias("id")).agg(F.count("*").alias("c")).where("c > 1")
     if named.isEmpty():
-        return docs.join(found.where("doc_id <> root").select(F.col("doc_id").alias("_gone")), i == F.col("_gone"), "left_anti")
+        return docs.join(found.where("doc_id <> root").select(F.col("doc_id").alias(out)), i == F.col(out), "left_anti")
     # Several rows share a doc_id: a group keeps one row of its least doc_id, that of the least signature.
-    code, number = fresh(docs, "_code", "_number")
-    stay = found.groupBy("root").agg(F.min(F.struct("doc_id", "code")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.code").alias("_kept"))
+    stay = found.groupBy("root").agg(F.min(F.struct("doc_id", "code")).alias("k")).select(F.col("k.doc_id").alias(its), F.col("k.code").alias(kept_code))
     signed = docs.withColumn(code, signature(F.lower(col(docs, text))))
     able = signed.where(F.col(code).isNotNull() & F.col(f"`{doc_id}`").isNotNull())
     kept = (
-        able.join(stay, (F.col(f"`{doc_id}`") == F.col("_id")) & (F.col(code) == F.col("_kept")), "left_semi")
+        able.join(stay, (F.col(f"`{doc_id}`") == F.col(its)) & (F.col(code) == F.col(kept_code)), "left_semi")
         .withColumn(number, F.row_number().over(Window.partitionBy(f"`{doc_id}`", code).orderBy(F.xxhash64(f"`{text}`"))))
         .where(F.col(number) == 1)
         .drop(number, code)
