@@ -19,14 +19,15 @@ RESOLUTIONS = (256, 1024, 2048)
 
 class ImageSource(Protocol):
     def metadata(self, spark: SparkSession) -> DataFrame:
-        """image_id, lat, lon and, if known, captured_at and image_url, lazily."""
+        """image_id, lat, lon and, if known, captured_at, lazily."""
 
-    def url(self, image_id: str, resolution: int) -> str: ...
+    #: A URL with {id} and {resolution}.
+    pattern: str
 
 
 @dataclass
 class TableSource:
-    """Metadata in a table; image_url is a column of it, or made from a pattern with {id} and {resolution}."""
+    """Metadata in a table of Parquet."""
 
     path: str
     pattern: str = "{id}_{resolution}.jpg"
@@ -34,9 +35,6 @@ class TableSource:
     def metadata(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(self.path)
 
-    def url(self, image_id: str, resolution: int) -> str:
-        return self.pattern.format(id=image_id, resolution=resolution)
-
 
 @dataclass
 class FrameSource:
@@ -48,9 +46,6 @@ class FrameSource:
     def metadata(self, spark: SparkSession) -> DataFrame:
         return self.frame
 
-    def url(self, image_id: str, resolution: int) -> str:
-        return self.pattern.format(id=image_id, resolution=resolution)
-
 
 @dataclass
 class ImageDownloader:
@@ -86,7 +81,7 @@ class ImageDownloader:
         ids = chosen.select(F.col(self.id_col).cast("string").alias("image_id")).where("image_id IS NOT NULL").distinct()
         if done is not None:
             ids = ids.join(done.select(F.col(self.id_col).cast("string").alias("image_id")), "image_id", "left_anti")
-        get, put, url = self.get, self.put, self.source.url
+        get, put, pattern = self.get, self.put, self.source.pattern
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -94,7 +89,7 @@ class ImageDownloader:
                 errors = []
                 for name in names:
                     try:
-                        put(name, get(url(name, resolution)))
+                        put(name, get(pattern.format(id=name, resolution=resolution)))
                         errors.append(None)
                     except Exception as e:  # one image must not end the others
                         errors.append(f"{type(e).__name__}: {e}"[:200])

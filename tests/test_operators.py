@@ -322,7 +322,7 @@ def test_workflow_and_report(spark, images, tmp_path):
     found = workflows.analyze_spatial(images, k_neighbors=3)
     assert set(found["global"]) == {0, 1, 2} and found["frame"].count() == 30
     made = report.generate_report(images, {0: ["shops"]}, found["global"], str(tmp_path / "r/report.md"))
-    assert "| 0 | 10 | 33.3 % | shops |" in made and "***" in made
+    assert "| 0 | 10 | 33.3 % | shops |" in made and "| ** |" in made
     assert report.elbow_svg([2, 3, 4], [9.0, 4.0, 3.0]).startswith("<svg") and report.cluster_map_svg(images).count("<circle") >= 3
     assert "<rect" in report.category_svg(images) and "<svg" in report.lisa_map_svg(found["frame"])
     with pytest.raises(ValueError):
