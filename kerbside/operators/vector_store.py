@@ -1,7 +1,8 @@
 """A vector store: versions of a Parquet table of (id, embedding, metadata, document, cell), and exact or cell-probing search.
 
 Every change writes a new version and then moves the manifest to it, so readers see one version or the other. With
-``index_type="ivf"`` the table is partitioned by the nearest of ``nlist`` centroids and a search reads ``nprobe`` cells.
+``index_type="ivf"`` the table is partitioned by the nearest of ``nlist`` centroids. A search reads ``nprobe`` cells, and then
+each further cell that a bound from its radius doesn't rule out: it finds the same rows as an exact search.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kerbside.functions.vectors import METRICS, distance, literal, ranking
@@ -121,8 +123,72 @@ def probed(query: Sequence[float], centroids: Sequence[Sequence[float]], nprobe:
     return np.argsort(np.round(far, 9), kind="stable")[:nprobe]
 
 
+def in_cell_space(vector: Column, metric: str) -> Column:
+    """The vector as cells are made of it: for cosine over its length, so that distances there follow from angles."""
+    if metric != "cosine":
+        return vector
+
+    @F.arrow_udf("array<double>")
+    def over_length(vectors: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+        x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        row = np.repeat(np.arange(len(vectors)), sizes)
+        length = np.sqrt(np.bincount(row, x * x, len(vectors)))
+        flat = x / np.where(length > 0, length, 1)[row]
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pc.is_null(vectors))
+
+    return over_length(vector)
+
+
+def cell_radii(corpus: DataFrame, centroids: Sequence[Sequence[float]], metric: str, vector: str = "embedding", cell: str = "cell") -> list[float]:
+    """The largest distance of a cell's vectors from its centroid, for each centroid; -1 for a cell without vectors."""
+    c = np.asarray(centroids, np.float64)
+
+    @F.arrow_udf("double")
+    def from_centroid(vectors: pa.Array, cells: pa.Array) -> pa.Array:
+        x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+        return pa.array(np.sqrt(((x - c[cells.to_numpy(zero_copy_only=False)]) ** 2).sum(axis=1)))
+
+    known = corpus.where(F.col(vector).isNotNull()).select(F.col(cell).alias("cell"), in_cell_space(F.col(vector), metric).alias("v"))
+    found = {r[0]: r[1] for r in known.groupBy("cell").agg(F.max(from_centroid("v", "cell"))).collect()}  # a row a cell
+    return [float(found.get(k, -1.0)) for k in range(len(c))]
+
+
+def cell_bounds(query: Sequence[float], centroids: Sequence[Sequence[float]], radii: Sequence[float], metric: str) -> np.ndarray:
+    """What no distance in a cell is nearer than: for ip the largest inner product, else the least distance."""
+    c, q, r = np.asarray(centroids, np.float64), np.asarray(query, np.float64), np.asarray(radii, np.float64)
+    if metric == "ip":
+        return c @ q + np.sqrt(q @ q) * r
+    if metric == "l2":
+        return np.maximum(0, np.sqrt(((c - q) ** 2).sum(axis=1)) - r) ** 2
+    size = np.sqrt(q @ q)
+    if size == 0:
+        return np.ones(len(c))
+    return np.maximum(0, np.sqrt(((c - q / size) ** 2).sum(axis=1)) - r) ** 2 / 2
+
+
+def cell_search(corpus: DataFrame, query: Sequence[float], centroids: Sequence[Sequence[float]], radii: Sequence[float], k: int = 10, nprobe: int = 2, metric: str = "ip", vector: str = "embedding", id_col: str = "id", cell: str = "cell") -> DataFrame:
+    """top_k of the whole corpus by its cells (in_cell_space), given their radii.
+
+    The nprobe likeliest cells give a k-th distance; then those cells are read whose bound isn't beyond it. Where vectors
+    are spread so that no bound rules anything out, that is every cell.
+    """
+    bound = cell_bounds(query, centroids, radii, metric) * (-1 if metric == "ip" else 1)
+    there = [int(i) for i in np.argsort(bound, kind="stable") if radii[i] >= 0]
+    first = [int(i) for i in probed(query, centroids, len(centroids), metric) if radii[i] >= 0][:nprobe]
+    near = top_k(corpus.where(F.col(cell).isin(first)), query, k, metric, vector, id_col)
+    far = [r[0] for r in near.select("distance").collect()]  # k rows
+    if len(far) < k:
+        return top_k(corpus, query, k, metric, vector, id_col)
+    kth = max(-x if metric == "ip" else x for x in far)
+    # Ranks are by distances rounded to 6 digits; the slack also covers what sums lose.
+    kept = [i for i in there if bound[i] <= kth + 2e-6 * max(1.0, abs(kth))]
+    return near if set(kept) <= set(first) else top_k(corpus.where(F.col(cell).isin(kept)), query, k, metric, vector, id_col)
+
+
 class VectorStore:
-    """metric: ip, l2 or cosine. index_type: flat or ivf. on_conflict: upsert, or append for duplicates."""
+    """metric: ip, l2 or cosine. index_type: flat or ivf, which find the same. on_conflict: upsert, or append for duplicates."""
 
     def __init__(self, spark: SparkSession, path: str, metric: str = "cosine", index_type: str = "flat", nlist: int = 100, nprobe: int = 8, on_conflict: str = "upsert"):
         if metric not in METRICS:
@@ -132,7 +198,7 @@ class VectorStore:
         if on_conflict not in ("upsert", "append"):
             raise ValueError(f"unknown on_conflict {on_conflict!r}")
         self.spark, self.path = spark, path.rstrip("/")
-        self.state = {"metric": metric, "index_type": index_type, "nlist": nlist, "nprobe": nprobe, "on_conflict": on_conflict, "version": None, "dimension": None, "centroids": None}
+        self.state = {"metric": metric, "index_type": index_type, "nlist": nlist, "nprobe": nprobe, "on_conflict": on_conflict, "version": None, "dimension": None, "centroids": None, "radii": None}
         if files.exists(spark, f"{self.path}/manifest.json"):
             self.state = json.loads(files.read_text(spark, f"{self.path}/manifest.json"))
 
@@ -155,10 +221,12 @@ class VectorStore:
             if self.state["centroids"] is None:
                 n = rows.where("embedding IS NOT NULL").count()
                 if n:
-                    found, _ = fit_kmeans(rows, min(self.state["nlist"], n), seeds=(42,), max_iter=20)
+                    found, _ = fit_kmeans(rows.select(in_cell_space(F.col("embedding"), self.state["metric"]).alias("embedding")), min(self.state["nlist"], n), seeds=(42,), max_iter=20)
                     self.state["centroids"] = found.tolist()
-            near = nearest_centroid(F.col("embedding"), np.array(self.state["centroids"]))["cluster"] if self.state["centroids"] else F.lit(0)
+            near = nearest_centroid(in_cell_space(F.col("embedding"), self.state["metric"]), np.array(self.state["centroids"]))["cluster"] if self.state["centroids"] else F.lit(0)
             rows.withColumn("cell", F.coalesce(near, F.lit(0))).repartition("cell").write.partitionBy("cell").parquet(f"{self.path}/{version}")
+            if self.state["centroids"]:
+                self.state["radii"] = cell_radii(self.spark.read.parquet(f"{self.path}/{version}"), self.state["centroids"], self.state["metric"])
         else:
             rows.withColumn("cell", F.lit(0)).write.parquet(f"{self.path}/{version}")
         self.state["version"] = version
@@ -191,8 +259,8 @@ class VectorStore:
     def query(self, vector: Sequence[float], n_results: int = 10) -> DataFrame:
         """(id, distance, metadata) of the nearest; fewer rows if the store has fewer."""
         rows = self.rows()
-        if self.state["index_type"] == "ivf" and self.state["centroids"]:
-            rows = cell_probe(rows, vector, self.state["centroids"], n_results, self.state["nprobe"], self.state["metric"])
+        if self.state["index_type"] == "ivf" and self.state.get("radii"):  # a store of before has none yet, and is read whole
+            rows = cell_search(rows, vector, self.state["centroids"], self.state["radii"], n_results, self.state["nprobe"], self.state["metric"])
         else:
             rows = top_k(rows, vector, n_results, self.state["metric"])
         return rows.select("id", "distance", F.lit(self.state["metric"]).alias("metric"), "metadata")

@@ -13,6 +13,7 @@ from kerbside.operators import clustering, keywords, merge, moran, neighbours, s
 from kerbside.operators.spatial_query import BBoxQuery, LineQuery, PlaceQuery, PointQuery, PolygonQuery, captured_between
 from kerbside.plans import views, workflows
 from kerbside.providers import ImageDescriber, ImageEmbedder
+from kerbside.session import cut
 from kerbside.sources.images import FrameSource, ImageDownloader, gazetteer
 from kerbside.sources.tables import feature, row_filter, to_points
 from kerbside.streaming.ingest import windowed_counts
@@ -435,6 +436,16 @@ def cell_probe(spark, sf_dir):
     return vector_store.cell_probe(v, _PROBE, _CENTROIDS, 10, 3, "l2").select("id", "cell", F.round("distance", 6).alias("distance"))
 
 
+@query(_topk_sql("cosine"))
+def cell_search(spark, sf_dir):
+    """Cells of trained centroids, few of which are probed before bounds rule out others: the rows of an exact search."""
+    v = views.vectors(spark, sf_dir)
+    centroids, _ = clustering.fit_kmeans(v.select(vector_store.in_cell_space(F.col("embedding"), "cosine").alias("embedding")), 10, seeds=(42,), max_iter=20)
+    v = cut(v.withColumn("cell", clustering.nearest_centroid(vector_store.in_cell_space(F.col("embedding"), "cosine"), centroids)["cluster"]))
+    found = vector_store.cell_search(v, _PROBE, centroids, vector_store.cell_radii(v, centroids, "cosine"), 10, 3, "cosine")
+    return found.select("id", "label", _r(F.col("distance"), 6).alias("distance"))
+
+
 def _lloyd_sql(k: int, steps: int, last: str) -> str:
     parts = [views.VECTORS, f"x AS (SELECT id, unnest(range(64)) AS pos, unnest(embedding)::double AS v FROM vectors)", f"c0 AS (SELECT row_number() OVER (ORDER BY id) - 1 AS k, list_transform(embedding, lambda y: y::double) AS q FROM vectors ORDER BY id LIMIT {k})"]
     for s in range(steps + 1):

@@ -226,6 +226,41 @@ def test_vector_store(spark, tmp_path, index_type):
         vector_store.VectorStore(spark, str(tmp_path / "t"), "hamming")
 
 
+@pytest.mark.parametrize("metric", ["ip", "l2", "cosine"])
+def test_cells_lose_no_neighbour(spark, tmp_path, metric):
+    """Against brute force, with nprobe < nlist; by probing alone recall is below 0.9 here."""
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(300, 16)) * (1 + np.arange(300) % 3)[:, None], 3).astype(np.float32).astype(np.float64)
+    rows = spark.createDataFrame([(f"{i:03d}", x[i].tolist()) for i in range(300)], "id string, embedding array<double>")
+    store = vector_store.VectorStore(spark, str(tmp_path / "s"), metric, "ivf", nlist=20, nprobe=2)
+    store.add(rows)
+    cells = {r["id"]: r["cell"] for r in store.rows().collect()}
+    share = []
+    for q in x[::25]:
+        far = {"ip": -(x @ q), "l2": ((x - q) ** 2).sum(axis=1), "cosine": 1 - x @ q / np.linalg.norm(x, axis=1) / np.linalg.norm(q)}[metric]
+        want = [f"{i:03d}" for i in np.lexsort((np.arange(300), np.round(far, 6)))[:10]]
+        assert [r["id"] for r in store.query(q.tolist(), 10).collect()] == want
+        probed = vector_store.probed(q, store.state["centroids"], 2, metric)
+        share.append(np.mean([cells[i] in probed for i in want]))
+    assert np.mean(share) < 0.9
+
+
+def test_cell_space(spark):
+    df = spark.createDataFrame([(0, [3.0, 4.0]), (1, None), (2, [0.0, 0.0]), (3, [0.0, -2.0])], "id int, v array<float>").coalesce(1)
+    assert [r[0] for r in df.select(vector_store.in_cell_space(F.col("v"), "cosine")).collect()] == [[0.6, 0.8], None, [0.0, 0.0], [0.0, -1.0]]
+
+
+def test_bounds_rule_cells_out(spark):
+    """Groups far from each other: no cell beyond the nearest can hold a neighbour, nor is one read."""
+    x = np.array([[10.0 * (i % 4), 0.01 * i] for i in range(80)])
+    centroids = [x[g::4].mean(axis=0).tolist() for g in range(4)]
+    rows = spark.createDataFrame([(i, x[i].tolist(), i % 4) for i in range(80)], "id int, embedding array<double>, cell int")
+    radii = vector_store.cell_radii(rows, centroids, "l2")
+    assert radii == pytest.approx([np.abs(x[g::4] - centroids[g]).max() for g in range(4)])
+    asked = rows.withColumn("embedding", F.when(F.col("cell") == 1, F.col("embedding")).otherwise(F.raise_error(F.lit("read"))))
+    assert {r["cell"] for r in vector_store.cell_search(asked, [10.0, 0.3], centroids, radii, 10, 1, "l2").collect()} == {1}
+
+
 def test_search(spark, images, tmp_path):
     db = workflows.build_search_index(images, str(tmp_path / "i"), metadata_columns=["cluster"])
     found = workflows.search_similar(db, images.first()["scene_narrative"], n_results=3)
