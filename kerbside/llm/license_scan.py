@@ -8,7 +8,9 @@ spellings are one (licence, license).
 
 A compiled template has a position before each of its tokens; skipping an optional region is a jump between positions.
 All positions that a text's tokens can have reached are carried along together, so a match is found in one pass from its
-first token, whatever the regions. The longest match from a start counts; a match inside another one is left out.
+first token, whatever the regions. The longest match from a start counts. A match inside another one is left out if
+that one is of the same license or reads all its tokens as wording; a notice that another template's replaceable region
+has swallowed is reported beside it.
 
 Every template has a mandatory word that texts must contain (its anchor, the longest such word); texts without any
 anchor are passed over in the JVM. Texts are scanned whole.
@@ -132,12 +134,37 @@ class Automaton:
         return best
 
 
+    def free_tokens(self, read: list[tuple[str, int, int]], begin: int, end: int) -> set[int]:
+        """The tokens of the match begin to end that replaceable regions read, where as few as possible are left to these."""
+        last = len(self.words)
+        layers: list[dict] = [{s: (0, None, False) for s in self.start}]  # state: (free tokens so far, state before, free)
+        for k in range(begin, end):
+            after: dict = {}
+            for (p, used), (cost, _, _) in layers[-1].items():
+                steps = [((p + 1, 0), cost, False)] if p < last and self.words[p] == read[k][0] else []
+                if p in self.free and used < self.free[p]:
+                    steps.append(((p, used + 1), cost + 1, True))
+                for to, total, free in steps:
+                    for s in self._closed({to}):
+                        if s not in after or total < after[s][0]:
+                            after[s] = (total, (p, used), free)
+            layers.append(after)
+        state = min((s for s in layers[-1] if s[0] == last), key=lambda s: layers[-1][s][0])
+        found = set()
+        for k in range(end - 1, begin - 1, -1):
+            _, before, free = layers[k - begin + 1][state]
+            if free:
+                found.add(k)
+            state = before
+        return found
+
+
 def compiled(templates: dict[str, str] | None = None) -> dict[str, Automaton]:
     return {name: Automaton(markup) for name, markup in (TEMPLATES if templates is None else templates).items()}
 
 
 def matches(text: str, automata: dict[str, Automaton]) -> list[tuple[int, int, str]]:
-    """(start, end, license) of the matches in a text that are in no larger one."""
+    """(start, end, license) of the matches in a text, without those that a larger one covers."""
     read = tokens(text)
     begins: dict[str, list[str]] = {}
     there = {w for w, _, _ in read}
@@ -145,18 +172,27 @@ def matches(text: str, automata: dict[str, Automaton]) -> list[tuple[int, int, s
         if a.anchor in there:
             for word in a.first:
                 begins.setdefault(word, []).append(name)
-    found: set[tuple[int, int, str]] = set()
+    found: set[tuple[int, int, str]] = set()  # by tokens
     until: dict[str, int] = {}
-    for k, (word, start, _) in enumerate(read):
+    for k, (word, _, _) in enumerate(read):
         for name in begins.get(word, ()):
             if k >= until.get(name, 0) and (end := automata[name].match(read, k)) >= 0:
-                found.add((start, read[end - 1][2], name))
+                found.add((k, end, name))
                 until[name] = end
-    kept, far = [], (-1, -1)
-    for start, end, name in sorted(found, key=lambda x: (x[0], -x[1], x[2])):
-        if end > far[1] or (start, end) == far:
-            kept.append((start, end, name))
-            far = (start, end)
+    kept, around = [], []  # around: matches that reach further, at most one a license
+    free: dict[tuple[int, int, str], set[int]] = {}
+    for match in sorted(found, key=lambda x: (x[0], -x[1], x[2])):
+        begin, end, name = match
+        around = [m for m in around if m[1] > begin]
+        covered = False
+        for m in around:
+            if m[1] >= end and m[:2] != (begin, end):
+                if m not in free:
+                    free[m] = automata[m[2]].free_tokens(read, m[0], m[1])
+                covered = covered or m[2] == name or free[m].isdisjoint(range(begin, end))
+        around.append(match)
+        if not covered:
+            kept.append((read[begin][1], read[end - 1][2], name))
     return kept
 
 

@@ -62,6 +62,27 @@ def test_license_rows(frame):
     assert license_scan.scan_licenses(frame([])).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("notice", "name"),
+    [
+        ("Licensed under the MIT License", "MIT-notice"), ("Licensed under the Apache License, Version 2.0", "Apache-2.0"), ("Licensed under the GNU General Public License version 3", "GPL-3.0"),
+        ("Released under the GNU General Public License, version 2", "GPL-2.0"), ("Licensed under CC BY-NC 4.0", "CC-BY-NC-4.0"), ("Licensed under CC BY-SA 4.0", "CC-BY-SA-4.0"), ("Released under CC0 1.0", "CC0-1.0"),
+    ],
+)
+def test_a_notice_between_copyright_and_rights(notice, name):
+    text = f"Copyright (c) 2021 Acme. {notice}. All rights reserved."
+    assert [(text[s:e], n) for s, e, n in license_scan.matches(text, license_scan.compiled())] == [(text[:-1], "All-rights-reserved"), (notice, name)]
+
+
+def test_what_covers_a_match():
+    automata = license_scan.compiled({"large": "a <<optional>>b c<<end>> <<any:4>> z", "small": "b c", "free": "<<optional>>a<<end>> x"})
+    names = lambda text: [n for _, _, n in license_scan.matches(text, automata)]
+    assert names("a b c z") == ["large"]  # by wording
+    assert names("a q b c z") == ["large", "small"] and names("a b c b c z") == ["large", "small"]  # by a replaceable region
+    assert names("a x z") == ["large", "free"] and names("x b c") == ["free", "small"]
+    assert names("a b c q z x a") == ["large", "free"]
+
+
 def test_bad_templates():
     for markup in ("<<optional>>a<<end>>", "<<any:3>> a", "<<optional>>a b"):
         with pytest.raises((ValueError, IndexError)):
