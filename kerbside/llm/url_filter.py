@@ -2,12 +2,12 @@
 
 Features: length of the URL, host, path and query; depth; labels and hyphens of the host and its longest label; shares
 of digits and of other signs; entropy of the characters; number of parameters; scheme, port, fragment; and for each of
-the host's last one, two and three labels how often and how ill the training URLs with that suffix were labelled. All are
+the host's last one, two and three labels how often and how ill the labelled URLs with that suffix were labelled. All are
 JVM expressions, and trees are fitted and applied by Spark's own GBTClassifier.
 
-The trees and the suffix statistics are fitted on at most ``max_train_urls`` labelled URLs, chosen by a hash; a training
-URL's own label is left out of its suffixes' statistics. The statistics have at most three rows for each training URL,
-so broadcasting them is bounded by that parameter.
+The trees are fitted on at most ``max_train_urls`` labelled URLs, chosen by a hash (half of each label if that choice has
+only one). The suffix statistics count all labelled URLs. A training URL's own label is left out of them, together with the
+others of its fold (one of ``FOLDS``): by its own alone, a common suffix's share would tell the label. They are looked up by ordinary joins with the distinct suffixes of the URLs, and with these once by the longest suffix.
 
 Defined results. A null or blank URL has score null and is not blocked. Without labelled URLs of both kinds the score is
 the only label, 0.0 if there is none. Null labels are not learned. Repeated rows and null ids are scored like any
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside.llm.frames import col, cut
@@ -31,6 +31,7 @@ TREES, DEPTH = 20, 4
 THRESHOLD = 0.5
 SUFFIXES = (1, 2, 3)
 PRIOR_WEIGHT = 4.0
+FOLDS = 10
 
 #: Host words of known bad sites: what labels the URLs where no labelled list is at hand.
 SEED_WORDS = ("casino", "bets", "pills", "adult", "spam", "ads", "porn", "viagra")
@@ -78,21 +79,27 @@ def lexical(urls: DataFrame) -> tuple[DataFrame, list[str]]:
 
 
 def _with_statistics(df: DataFrame, statistics: DataFrame, prior: float, own: Column | None) -> tuple[DataFrame, list[str]]:
-    """df with each suffix's number of training URLs and smoothed share of bad ones; own is the row's own label, to leave out."""
+    """df with each suffix's number of labelled URLs and smoothed share of bad ones; own: labels of a sample, to leave out by folds."""
     names = []
+    keys = [f"_suffix{k}" for k in SUFFIXES]
+    last = keys[-1]  # has the shorter ones in it
+    hosts = df.select(*keys).where(F.col(last).isNotNull()).distinct()
     for k in SUFFIXES:
-        here = statistics.where(F.col("level") == k).select(F.col("suffix").alias(f"_suffix{k}"), F.col("n").alias("_n"), F.col("bad").alias("_bad"))
-        df = df.join(F.broadcast(here), f"_suffix{k}", "left")
-        n = F.coalesce("_n", F.lit(0)) - (F.lit(0) if own is None else F.lit(1))
-        bad = F.coalesce("_bad", F.lit(0)) - (F.lit(0) if own is None else own)
-        df = df.withColumns({f"suffix{k}_count": F.log1p(n.cast("double")), f"suffix{k}_bad": (bad + PRIOR_WEIGHT * prior) / (n + PRIOR_WEIGHT)}).drop("_n", "_bad")
+        here = statistics.where(F.col("level") == k).select(F.col("suffix").alias(f"_suffix{k}"), F.col("n").alias(f"_n{k}"), F.col("bad").alias(f"_bad{k}"))
+        hosts = hosts.join(here, f"_suffix{k}", "left")
+    df = df.join(hosts.drop(*keys[:-1]), last, "left")
+    for k in SUFFIXES:
+        fold = Window.partitionBy(f"_suffix{k}", F.pmod(F.xxhash64("url", F.lit("fold")), F.lit(FOLDS)))
+        n = F.coalesce(f"_n{k}", F.lit(0)) - (F.lit(0) if own is None else F.count("*").over(fold))
+        bad = F.coalesce(f"_bad{k}", F.lit(0)) - (F.lit(0) if own is None else F.sum(own).over(fold))
+        df = df.withColumns({f"suffix{k}_count": F.log1p(n.cast("double")), f"suffix{k}_bad": (bad + PRIOR_WEIGHT * prior) / (n + PRIOR_WEIGHT)}).drop(f"_n{k}", f"_bad{k}")
         names += [f"suffix{k}_count", f"suffix{k}_bad"]
     return df, names
 
 
 @dataclass
 class UrlModel:
-    """The trees, suffix statistics (level, suffix, n, bad) and the share of bad training URLs; no trees if that is all there is to know."""
+    """The trees, suffix statistics (level, suffix, n, bad) and the share of bad labelled URLs; no trees if that is all there is to know."""
 
     trees: GBTClassificationModel | None
     statistics: DataFrame | None
@@ -100,15 +107,20 @@ class UrlModel:
 
 
 def train(labelled: DataFrame, url="url", label="label", max_train_urls=MAX_TRAIN_URLS) -> UrlModel:
-    """A model fitted on at most max_train_urls of the labelled URLs (label 1: bad)."""
+    """A model of the labelled URLs (label 1: bad), with trees fitted on at most max_train_urls of them."""
     told = labelled.select(col(labelled, url).alias("url"), col(labelled, label).cast("int").alias("label")).where("trim(url) <> '' AND label IN (0, 1)")
-    sample = cut(told.orderBy(F.xxhash64("url"), "url", "label").limit(max_train_urls))
-    n, bad = sample.agg(F.count("*"), F.sum("label")).first()
+    suffixes = lexical(told)[0].groupBy(*(f"_suffix{k}" for k in SUFFIXES)).agg(F.count("*").alias("n"), F.sum("label").alias("bad"))
+    levels = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.col(f"_suffix{k}").alias("suffix")) for k in SUFFIXES)))
+    statistics = cut(suffixes.select("n", "bad", levels.alias("s")).groupBy("s.level", "s.suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
+    n, bad = statistics.where(F.col("level") == SUFFIXES[0]).agg(F.sum("n"), F.sum("bad")).first()
     if not n or bad in (0, n):
         return UrlModel(None, None, float(bad / n) if n else 0.0)
+    by_hash = [F.xxhash64("url"), "url", "label"]
+    sample = cut(told.orderBy(*by_hash).limit(max_train_urls))
+    if sample.select("label").distinct().count() < 2:
+        good, ill = (told.where(F.col("label") == y).orderBy(*by_hash).limit(max(1, max_train_urls // 2)) for y in (0, 1))
+        sample = cut(good.unionByName(ill))
     df, names = lexical(sample)
-    levels = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.col(f"_suffix{k}").alias("suffix")) for k in SUFFIXES)))
-    statistics = cut(df.select("label", levels.alias("s")).groupBy("s.level", "s.suffix").agg(F.count("*").alias("n"), F.sum("label").alias("bad")))
     df, more = _with_statistics(df, statistics, bad / n, F.col("label"))
     assembled = VectorAssembler(inputCols=names + more, outputCol="features").transform(df).select("features", F.col("label").cast("double"))
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, stepSize=0.2).fit(cut(assembled))

@@ -134,6 +134,25 @@ def test_urls_held_out(urls):
     assert np.mean([r["blocked"] == bool(r["label"]) for r in found]) > 0.97
 
 
+def test_suffixes_of_all_labelled_urls_count(spark):
+    """URLs of one shape, told apart by their host alone; the trees' sample misses most hosts."""
+    rng = np.random.default_rng(9)
+    hosts = ["".join(rng.choice(list("abcdefghij"), 8)) for _ in range(300)]
+    urls = spark.createDataFrame([(k * 5 + i, f"https://www.{h}.com/{rng.integers(10**6):06d}", k % 2) for k, h in enumerate(hosts) for i in range(5)], "page_id bigint, url string, label int")
+    model = url_filter.train(urls, max_train_urls=120)
+    assert {(r["level"], r["suffix"]): (r["n"], r["bad"]) for r in model.statistics.collect()} == {(1, "com"): (1500, 750)} | {x: (5, 5 * (k % 2)) for k, h in enumerate(hosts) for x in ((2, f"{h}.com"), (3, f"www.{h}.com"))}
+    found = url_filter.filter_urls(urls, model).join(urls.select("page_id", "label"), "page_id").collect()
+    assert len(found) == 1500 and np.mean([r["blocked"] == bool(r["label"]) for r in found]) > 0.97
+
+
+def test_a_rare_label_outside_the_sample(spark):
+    rng = np.random.default_rng(4)
+    urls = spark.createDataFrame([(k, f"https://www.site{k % 25 + 10}.com/{rng.integers(10**6):06d}", 0) for k in range(1000)] + [(2000 + k, f"https://www.site47.com/{rng.integers(10**6):06d}", 1) for k in range(6)], "page_id bigint, url string, label int")
+    model = url_filter.train(urls, max_train_urls=60)
+    assert model.trees is not None and model.prior == 6 / 1006
+    assert {r["page_id"] for r in url_filter.filter_urls(urls, model).where("blocked").collect()} == set(range(2000, 2006))
+
+
 def test_lexical_features(spark):
     url = "HTTP://me@Sub.Ex-ample.co.uk:80/a/b2/?x=1&y=2#top"
     df, names = url_filter.lexical(spark.createDataFrame([(url,)], "url string"))
