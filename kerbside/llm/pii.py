@@ -2,7 +2,9 @@
 
 Kinds: email, iban (mod 97), card (Luhn), ssn (allotted ranges), ip (octets), phone (7 to 15 digits), secret (a named
 token). Each has a base score; a supporting word within ``WINDOW`` characters raises it, a contrary one lowers it, and
-spans of at least ``MIN_SCORE`` are reported. Where spans overlap, the kind listed first wins, then the earlier start.
+spans of at least ``MIN_SCORE`` are reported. Numbers that stand beside others (a card before its expiry date, an IBAN
+before a BIC) are looked for at every separator, as checksums tell where they end: cards of the usual grouping first, then
+the earliest and longest; an IBAN of its country's length first. Where spans overlap, the kind listed first wins, then the earlier start.
 Texts with neither a digit nor an at sign, which no kind can do without, are passed over in the JVM.
 
 Defined results. Null and empty texts have no spans. Offsets count characters (code points), end exclusive. A null
@@ -38,6 +40,20 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+#: Characters of an IBAN by country, from the registry.
+IBAN_LENGTHS = {
+    country: size
+    for size, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+    }.items()
+    for country in countries.split()
+}
+#: Digits in each group of a card's number, as cards are usually written.
+_CARD_GROUPS = re.compile(r"1[3-9]|4 4 4 4(?: [1-3])?|4 6 [45]|4 4 4 1")
+_NUMBERS = re.compile(r"[0-9]+(?:[ -][0-9]+)*")
+
+
 def _only(pattern: str, text: str) -> str:
     return re.sub(pattern, "", text)
 
@@ -90,6 +106,53 @@ def _emails(pattern: re.Pattern, text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, done))
 
 
+def _cards(text: str) -> Iterator[tuple[int, int]]:
+    """Valid cards among digits that single spaces and hyphens separate: whole groups of 13 to 19 digits in all."""
+    for run in _NUMBERS.finditer(text):
+        groups = [m.span() for m in re.finditer("[0-9]+", run[0])] if run.end() - run.start() >= 13 else []
+        at, size = run.start(), len(groups)
+        sizes = [b - a for a, b in groups]
+        opens = not (at and (text[at - 1] in "._" or text[at - 1].isalnum()))
+        closes = not (run.end() < len(text) and (text[run.end()] == "_" or text[run.end()].isalnum()))
+        found = []  # (grouping is unusual, first group, -last group)
+        for i in range(0 if opens else 1, size):
+            total = 0
+            for j in range(i, size if closes else size - 1):
+                total += sizes[j]
+                if total > 19:
+                    break
+                if total >= 13 and _card(run[0][groups[i][0] : groups[j][1]]):
+                    found.append((not _CARD_GROUPS.fullmatch(" ".join(map(str, sizes[i : j + 1]))), i, -j))
+        taken: set[int] = set()
+        for _, i, j in sorted(found):
+            if taken.isdisjoint(range(i, 1 - j)):
+                taken.update(range(i, 1 - j))
+                yield at + groups[i][0], at + groups[-j][1]
+
+
+def _ibans(pattern: re.Pattern, valid, text: str) -> Iterator[tuple[int, int]]:
+    """Valid IBANs: those of their country's length first, else as far as the pattern goes, else, of an unknown country, up to a separator."""
+    found = []  # (not of its country's length, start, -end)
+    at = 0
+    while m := pattern.search(text, at):
+        start, end = m.span()
+        at = start + 1
+        size = IBAN_LENGTHS.get(text[start : start + 2])
+        ends = [k for k in range(end, start + 14, -1) if k == end or text[k] == " "]
+        found += [(len(_only(" ", text[start:k])) != size, start, -k) for k in ends if (k == end or not size or len(_only(" ", text[start:k])) == size) and valid(text[start:k])]
+    taken: list[tuple[int, int]] = []
+    for unlike in (False, True):
+        done, fixed = 0, iter(sorted(taken))
+        other = next(fixed, None)
+        for _, start, k in sorted(x for x in found if x[0] == unlike):
+            while other and other[1] <= start:
+                other = next(fixed, None)
+            if start >= done and not (other and other[0] < -k):
+                taken.append((start, -k))
+                done = -k
+    yield from sorted(taken)
+
+
 def spans(text: str, min_score: float = MIN_SCORE) -> list[tuple[int, int, str, float]]:
     """(start, end, kind, score) of the personal data in a text, in order."""
     taken: list[tuple[int, int, str, float]] = []
@@ -99,6 +162,10 @@ def spans(text: str, min_score: float = MIN_SCORE) -> list[tuple[int, int, str,
             found = _emails(pattern, text)
         elif kind == "secret":
             found = (m.span(1) for m in pattern.finditer(text))
+        elif kind == "card":
+            found = _cards(text)
+        elif kind == "iban":
+            found = _ibans(pattern, valid, text)
         else:
             found = (m.span() for m in pattern.finditer(text))
         for start, end in found:

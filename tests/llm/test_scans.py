@@ -116,6 +116,32 @@ def test_spans():
     assert kinds('api_key = "abcdefghij0123456789"') == [("secret", "abcdefghij0123456789")]
 
 
+@pytest.mark.parametrize(
+    ("before", "after"),
+    [("", " 12/25"), ("", " 122"), ("12 ", ""), ("", " 12-25 122"), ("1 ", " 12/25"), ("1234 5678 ", ""), ("", " 4"), ("3.14 ", " 2"), ("", " 12a"), ("x1 ", "")],
+)
+@pytest.mark.parametrize("card", ["4111 1111 1111 1111", "4111111111111111", "4539-1488-0343-6467", "3782 822463 10005"])
+def test_cards_beside_other_numbers(before, after, card):
+    assert ("card", card) in kinds(f"pay {before}{card}{after} now")
+
+
+def test_cards_in_a_row():
+    assert kinds("pay 4111 1111 1111 1111 4539 1488 0343 6467 12/25") == [("card", "4111 1111 1111 1111"), ("card", "4539 1488 0343 6467")]
+    assert kinds("pay 4111 1111 1111 1112 and 4111.1111.1111.1111, x4111111111111111, 4111111111111111x") == []
+    assert kinds("pay 41 11 1111 1111 1111 12/25") == [("card", "41 11 1111 1111 1111")]
+
+
+@pytest.mark.parametrize("iban", ["BE68 5390 0754 7034", "BE68539007547034", IBAN, "NO93 8601 1117 947", "GB82 WEST 1234 5698 7654 32", "FR76 3000 6000 0112 3456 7890 189"])
+@pytest.mark.parametrize(("before", "after"), [("", " BIC KREDBEBB"), ("", " KREDBEBB"), ("", " EUR 100"), ("AB12 ", ""), ("REF AB12 CDEF ", " BIC"), ("", "")])
+def test_ibans_beside_other_words(before, after, iban):
+    assert kinds(f"to {before}{iban}{after}.") == [("iban", iban)]
+
+
+def test_ibans_of_an_unknown_country():
+    number = next(f"ZZ{k:02d} 5390 0754 7034" for k in range(2, 99) if pii.mod97(f"ZZ{k:02d}539007547034"))
+    assert kinds(f"to {number} BIC KREDBEBB") == [("iban", number)]
+
+
 def test_context_adjusts_the_score():
     score = lambda t: pii.spans(t, 0.0)[0][3]
     assert score(f"credit card {CARD}") > score(f"number {CARD}") > score(f"order {CARD}")
