@@ -33,30 +33,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ranked(df: DataFrame, group: str, key: Column, ties: list[Column], totals: dict, per_bucket: int, rank: str) -> DataFrame:
-    """df with a rank from 0 within each group, in the order of (bucket of key, key, ties).
+def ranked(rows: DataFrame, group: str, order: list[str], per_bucket: int, widest: int) -> DataFrame:
+    """rows (group, buckets, c, order's columns, ...), each c equal rows, with the rank from 0 of the first of them in its group.
 
-    A group is cut into hash buckets of about per_bucket rows, so that no task sorts a whole group, however large. Ranks
-    are the row number in the bucket plus the rows of the group's earlier buckets. totals has the rows of each group.
+    A group is cut into ``buckets`` hash buckets by order's first column, so that no task sorts a whole group, however large: ranks
+    are the rows before in the bucket and those of the group's earlier buckets. Rows of more than per_bucket equal ones, of
+    which the largest has widest, come back in pieces of that many, spread over the tasks.
     """
-    hashed, buckets, bucket, base, other, where = fresh(df, "_hash", "_buckets", "_bucket", "_base", "_group", "_where")
-    spark = df.sparkSession
-    kind = df.schema[group].dataType.simpleString()
-    sizes = spark.createDataFrame([(g, max(1, -(-n // per_bucket))) for g, n in totals.items()], f"`{other}` {kind}, `{buckets}` bigint")
-    keyed = (
-        df.join(F.broadcast(sizes), col(df, group).eqNullSafe(F.col(other)))
-        .drop(other)
-        .withColumn(hashed, key)
-        .withColumn(bucket, F.pmod(F.col(hashed), F.col(buckets)))
-        .drop(buckets)
-    )
-    counts = keyed.groupBy(F.col(f"`{group}`").alias(other), F.col(bucket).alias(where)).agg(F.count("*").alias(base))
-    w = Window.partitionBy(other).orderBy(where)
-    starts = counts.select(other, where, (F.sum(base).over(w) - F.col(base)).alias(base))
-    here = Window.partitionBy(f"`{group}`", bucket).orderBy(hashed, *ties)
-    return (
-        keyed.join(starts, col(keyed, group).eqNullSafe(F.col(other)) & (F.col(bucket) == F.col(where)))
-        .drop(other, where)
-        .withColumn(rank, F.row_number().over(here) - 1 + F.col(base))
-        .drop(hashed, bucket, base)
-    )
+    keyed = rows.withColumn("bucket", F.expr(f"pmod(`{order[0]}`, buckets)")).drop("buckets")
+    totals = keyed.groupBy(group, "bucket").agg(F.sum("c").alias("rows"))
+    starts = totals.select(group, "bucket", (F.sum("rows").over(Window.partitionBy(group).orderBy("bucket")) - F.col("rows")).alias("base"))
+    here = Window.partitionBy(group, "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    found = keyed.join(starts, [group, "bucket"]).withColumn("rank", F.col("base") + F.sum("c").over(here) - F.col("c")).drop("bucket", "base")
+    if widest > per_bucket:
+        pieces = found.select("*", F.explode(F.expr(f"sequence(0, (c - 1) div {per_bucket})")).alias("part")).repartition(group, *order, "part")
+        found = pieces.withColumns({"c": F.expr(f"least({per_bucket}, c - part * {per_bucket})"), "rank": F.expr(f"rank + part * {per_bucket}")}).drop("part")
+    return found

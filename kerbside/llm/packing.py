@@ -7,9 +7,11 @@ room. A slot of a pattern holds a run of ranks of one length. The documents are
 broadcast pattern table (at most a few rows for each length up to ``max_length``, whatever the input) gives each rank
 its pack and offset.
 
-A document longer than ``max_length`` is cut into pieces: full ones and a rest, so all of it is packed. Defined results:
-null and blank texts have length 0 and are in no pack; a null doc_id is packed like any other; repeated rows are packed
-each; other columns are ignored.
+A document longer than ``max_length`` is cut into pieces: full ones and a rest, so all of it is packed.
+
+Defined results. Null and blank texts have length 0 and are in no pack; so are texts of a null length. A null doc_id is packed like any other; repeated rows
+are packed each: they are ranked as one with a count, so any number of them burdens no task. Ties of length go by a hash of doc_id, piece and text. No rows give no packs.
+Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -78,11 +80,13 @@ def pack_documents(docs: DataFrame, doc_id="doc_id", length: Column | None = Non
     """
     spark = docs.sparkSession
     size = F.coalesce(length if length is not None else word_count(col(docs, text)), F.lit(0)).cast("bigint")
-    sized = docs.select(col(docs, doc_id).alias("doc_id"), size.alias("size")).where("size > 0")
-    pieces = sized.select("doc_id", "size", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / max_length).cast("int"))).alias("piece"))
-    start = F.col("piece").cast("bigint") * max_length
-    pieces = cut(pieces.select("doc_id", "piece", start.alias("start"), F.least(F.lit(max_length).cast("bigint"), F.col("size") - start).alias("n_tokens")))
-    histogram = {n: c for n, c in pieces.groupBy("n_tokens").count().collect()}  # max_length rows at most
+    salt = F.xxhash64(col(docs, text)) if text in docs.columns else F.lit(0)
+    sized = docs.select(col(docs, doc_id).alias("doc_id"), size.alias("size"), salt.alias("salt")).where("size > 0")
+    pieces = sized.select("doc_id", "size", "salt", F.explode(F.expr(f"sequence(0L, (size - 1) div {max_length})")).alias("piece"))
+    pieces = pieces.select("doc_id", F.col("piece").cast("int"), (F.col("piece") * max_length).alias("start"), F.expr(f"least({max_length}, size - piece * {max_length})").alias("n_tokens"), F.xxhash64("doc_id", "piece", "salt").alias("a"))
+    pieces = cut(pieces.groupBy("doc_id", "piece", "start", "n_tokens", "a").agg(F.count("*").alias("c")))
+    found = pieces.groupBy("n_tokens").agg(F.sum("c"), F.count("*"), F.max("c")).collect()  # max_length rows at most
+    histogram = {r[0]: r[1] for r in found}
 
     slots, base = [], 0
     for packs, held in spread(histogram, max_length):
@@ -94,7 +98,9 @@ def pack_documents(docs: DataFrame, doc_id="doc_id", length: Column | None = Non
     names = ["size", "first", "depth", "stride", "packs", "base", "offset"]
     slots = spark.createDataFrame(slots, ", ".join(f"{n} bigint" for n in names))
 
-    order = ranked(pieces, "n_tokens", F.xxhash64("doc_id", "piece"), [F.col("doc_id"), F.col("piece")], histogram, per_bucket, "rank")
+    buckets = spark.createDataFrame([(r[0], max(1, -(-r[2] // per_bucket))) for r in found], "n_tokens bigint, buckets bigint")
+    order = ranked(pieces.join(F.broadcast(buckets), "n_tokens"), "n_tokens", ["a", "doc_id", "piece"], per_bucket, max((r[3] for r in found), default=0))
+    order = order.withColumn("rank", F.explode(F.expr("sequence(rank, rank + c - 1)")))
     x = F.col("rank") - F.col("first")
     here = (F.col("n_tokens") == F.col("size")) & (x >= 0) & (x < F.col("depth") * F.col("stride")) & (F.pmod(x, F.col("stride")) < F.col("packs"))
     return order.join(F.broadcast(slots), here).select(

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-from kerbside.llm import chat_format, exact_dedup, language_id, license_scan, mixing, packing, pii, quality_rules, simhash, url_filter
+from kerbside.llm import chat_format, exact_dedup, language_id, license_scan, mixing, packing, pii, pipeline, quality_rules, simhash, url_filter
 from kerbside.llm.frames import table
 
 
@@ -28,7 +27,8 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed_positions(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mixed_documents(docs, pipeline.target_weights(docs))
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 
 SQL = {

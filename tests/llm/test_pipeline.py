@@ -5,8 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 
-import corpus_pipeline
-from kerbside.llm import mixing, packing, quality_rules, queries, simhash, textbytes
+from kerbside.llm import mixing, packing, pipeline, quality_rules, queries, simhash, textbytes
 from kerbside.llm.frames import table
 
 from .test_dedup import brute_groups
@@ -39,7 +38,7 @@ def test_stages_against_plain_python(spark, sf):
     before = texts(docs)
     chain = quality_rules.train(docs, table(spark, sf, "labels"))
     after = []
-    for _, stage in corpus_pipeline.STAGES[:-1]:
+    for _, stage in pipeline.STAGES[:-1]:
         out = stage(spark, docs, sf)
         assert out.columns == docs.columns
         docs = spark.createDataFrame(out.collect(), out.schema)
@@ -57,11 +56,13 @@ def test_stages_against_plain_python(spark, sf):
     assert texts(after[2]) == apart
     source = {r["doc_id"]: r["source"] for r in after[2].collect()}
     mixed = texts(after[3])
-    assert Counter(source[i] for i in mixed) == {s: n for s, n in mixing.quotas(Counter(source.values())).items() if n}
+    sizes = Counter(source.values())
+    weights = {s: pipeline.PRIORITIES[s] * n**mixing.EXPONENT for s, n in sizes.items()}
+    assert Counter(source[i] for i in mixed) == {s: n for s, n in mixing.quotas(sizes, weights).items() if n}
     assert mixed.items() <= apart.items()
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+    packed = pipeline.STAGES[-1][1](spark, docs, sf).collect()
     check_packs(packed, {i: len(t.split()) for i, t in mixed.items()}, packing.MAX_LENGTH)
-    whole = corpus_pipeline.run(spark, sf).collect()
+    whole = pipeline.run(spark, sf).collect()
     assert sorted(map(tuple, whole)) == sorted(map(tuple, packed))
 
 
@@ -71,7 +72,7 @@ def test_stages_on_an_empty_table_and_odd_rows(spark, sf, tmp_path):
         folder = str(tmp_path / name)
         rows.write.parquet(f"{folder}/documents.parquet")
         table(spark, sf, "labels").write.parquet(f"{folder}/labels.parquet")
-        found = corpus_pipeline.run(spark, folder)
+        found = pipeline.run(spark, folder)
         assert found.columns == ["doc_id", "piece", "start", "n_tokens", "pack_id", "pack_offset"]
         assert (found.count() == 0) == (name == "empty")
 
