@@ -1,70 +1,5 @@
-"""The corpus pipeline: quality rules, exact dedup, near-dedup, mixing to target weights, packing.
+"""The corpus pipeline: quality rules, exact dedup, near-dedup, mixing to target weights, packing. See kerbside/llm/pipeline.py."""
 
-Each stage gets the documents that the one before it kept, as Parquet. All but the last return documents' own columns.
-"""
+from kerbside.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-import os
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-from kerbside.llm import exact_dedup, mixing, packing, quality_rules, simhash
-from kerbside.llm.frames import checkpoint_dir, table
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose lines are mostly content; the others go."""
-    return quality_rules.keep_good(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
-
-
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text."""
-    return exact_dedup.drop_copies(docs)
-
-
-def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.drop_near_copies(docs)
-
-
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents drawn for the target weights of the sources, in shards, each shuffled."""
-    return mixing.mixed_documents(docs)
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes in the packed sequences."""
-    return packing.pack_documents(docs)
-
-
-STAGES = [
-    ("quality rules", quality),
-    ("exact dedup", exact),
-    ("SimHash near-dedup", near),
-    ("mixing sources to target weights", mix),
-    ("packing", pack),
-]
-
-#: SQL has no conditional random field, SimHash trie or hypergeometric draw; tests hold run() against a brute-force version.
-ORACLE_SQL = None
-
-
-def _delete(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn, each written as Parquet to the cluster's shared folder and read again for the next one."""
-    checkpoint_dir(spark)
-    shared = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    folder = os.path.join(shared, f"pipeline-{uuid.uuid4().hex}")
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
-        if k:
-            _delete(spark, f"{folder}/{k - 1}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]

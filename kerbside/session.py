@@ -16,7 +16,7 @@ _shipped: set[str] = set()
 def session(app: str = "kerbside", **config: str) -> SparkSession:
     """A session with the settings that the operators count on: UTC, adaptive execution."""
     builder = SparkSession.builder.appName(app)
-    defaults = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true"}
+    defaults = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
     return builder.config(map=defaults | config).getOrCreate()
 
 
@@ -26,8 +26,7 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
-    folder = Path(tempfile.mkdtemp(prefix="kerbside-"))
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    folder = Path(_own_folder("kerbside-"))
     with zipfile.ZipFile(folder / "kerbside.zip", "w") as archive:
         for path in sorted(root.rglob("*.py")):
             archive.write(path, path.relative_to(root.parent))
@@ -36,11 +35,20 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; a folder of our own only where none is set, as in tests."""
+    """Use the cluster's shared folder, spark.checkpoint.dir; a folder of our own only in local mode, as in tests, and until the end."""
     context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or str(Path(tempfile.gettempdir()) / "kerbside-checkpoints"))
+    if context._jsc.sc().getCheckpointDir().isDefined():
+        return
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if not shared and not context.master.startswith("local["):
+        raise ValueError("a cluster needs a shared folder in spark.checkpoint.dir")
+    context.setCheckpointDir(shared or _own_folder("kerbside-checkpoints-"))
+
+
+def _own_folder(prefix: str) -> str:
+    folder = tempfile.mkdtemp(prefix=prefix)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
