@@ -2,12 +2,14 @@
 
 import random
 import string
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from kerbside.llm import exact_dedup, simhash
 
@@ -79,17 +81,98 @@ def test_trie_finds_all_pairs():
     for bits_set in (2, 6, 32):  # dense and sparse tries
         w = rng.integers(0, 1 << bits_set, 700, dtype=np.uint64) << np.uint64(32 - bits_set)
         keys = np.sort(rng.integers(0, 3, 700))
-        order = np.lexsort((w, keys))
-        keys, w = keys[order], w[order]
+        w = np.sort((keys.astype(np.uint64) << np.uint64(32)) | w)
+        begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        end = np.append(begin[1:], 700)
+        budgets = np.array([0] + [1] * 8 + [3] * 24)
         found = set()
-        for i, j in simhash.trie_pairs(keys, w, 3):
-            near = np.bitwise_count(w[i] ^ w[j]) <= 3
-            for a, b in zip(i[near].tolist(), j[near].tolist()):
+        for i, j in simhash.trie_pairs(w, (begin, end, begin, end, np.zeros(len(begin), np.int8)), 0, budgets, 32):
+            for a, b in zip(i.tolist(), j.tolist()):
                 pair = (min(a, b), max(a, b))
                 assert pair not in found
                 found.add(pair)
-        want = {(a, b) for a in range(700) for b in range(a + 1, 700) if keys[a] == keys[b] and int(w[a] ^ w[b]).bit_count() <= 3}
-        assert found == want
+        near = lambda a, b: keys[a] == keys[b] and all(((int(w[a] ^ w[b]) & 0xFFFFFFFF) >> (32 - d)).bit_count() <= budgets[d] for d in range(1, 33))  # noqa: B023, E731
+        want = {(a, b) for a in range(700) for b in range(a + 1, 700) if near(a, b)}
+        assert want <= found
+
+
+def near_codes(rng, n, groups, flips):
+    """n signatures around a few centres, each with so many bits flipped."""
+    bits = rng.integers(0, 2, (groups, 256))[rng.integers(0, groups, n)]
+    for row in bits:
+        row[rng.choice(256, rng.integers(0, flips + 1), replace=False)] ^= 1
+    return np.packbits(bits, axis=1)
+
+
+def brute_parts(codes):
+    whole = codes.view(np.uint64)
+    root = np.arange(len(codes))
+    for a in range(len(codes)):
+        near = np.flatnonzero(np.bitwise_count(whole ^ whole[a]).sum(axis=1) <= simhash.BUDGET)
+        low = root[near].min()
+        root[np.isin(root, root[near])] = low
+    return root.tolist()
+
+
+def searched(codes, cuts):
+    """Components from all node pairs, one task at a time."""
+    rows, pairs = simhash.file_under(codes, cuts)
+    root = np.arange(len(codes))
+    for pair in np.unique(pairs):
+        mine = rows[pairs == pair]
+        u, v = simhash.near_links(np.full(len(mine), pair), mine, codes[mine])
+        root = simhash._components(len(root), root[u], root[v])[root]
+    return root.tolist()
+
+
+@pytest.mark.parametrize("cut", [0, 3, 8, 11])
+@pytest.mark.parametrize("flips", [8, 15, 31])
+def test_search_finds_the_components_of_all_pairs(cut, flips):
+    rng = np.random.default_rng(cut + flips)
+    codes = np.unique(near_codes(rng, 150, 40, flips), axis=0)
+    cuts = np.zeros(8192, np.int64)
+    cuts[rng.random(8192) < 0.01 if cut > 8 else slice(None)] = cut
+    assert searched(codes, cuts) == brute_parts(codes)
+
+
+def test_a_dense_group_costs_no_square(monkeypatch):
+    monkeypatch.setattr(simhash, "DENSE_PAIRS", 256)
+    codes = np.unique(near_codes(np.random.default_rng(1), 900, 2, 18), axis=0)
+    checked = []
+    check = simhash._Linker.check
+    monkeypatch.setattr(simhash._Linker, "check", lambda self, i, j: (checked.append(len(i)), check(self, i, j)))
+    pairs = np.zeros(len(codes), np.int64)
+    codes[:, :8] = codes[0, :8]  # all in one leaf
+    u, v = simhash.near_links(pairs, np.arange(len(codes)), codes)
+    root = np.arange(len(codes))
+    assert simhash._components(len(root), u, v).tolist() == brute_parts(codes)
+    assert sum(checked) < len(codes) ** 2 / 8
+
+
+def test_one_key_of_many_signatures_is_quick():
+    rng = np.random.default_rng(3)
+    codes = rng.integers(0, 256, (60_000, 32), dtype=np.uint8)
+    t = time.time()
+    u, _ = simhash.near_links(np.zeros(len(codes), np.int64), np.arange(len(codes)), codes)
+    assert not len(u) and time.time() - t < 5
+
+
+def test_heavy_keys_are_cut_up(frame):
+    data = corpus()
+    want = sorted(((i, r) for i, r in brute_groups(data).items() if i != r), key=str)
+    assert rows(simhash.near_copies(frame(data), node_rows=1)) == want
+
+
+def test_ids_of_any_type(frame):
+    data = corpus()
+    roots = brute_groups(data)
+    groups = {}
+    for i, r in roots.items():
+        groups.setdefault(r, []).append(f"d{i}")
+    df = frame(data).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert rows(simhash.near_copies(df)) == sorted(((i, min(g)) for g in groups.values() for i in g if i != min(g)), key=str)
+    assert sorted(r[0] for r in simhash.drop_near_copies(df).select("doc_id").collect()) == sorted(min(groups.get(roots.get(i, i), [f"d{i}"])) for i in {roots.get(i, i) for i, _ in data})
+    assert rows(exact_dedup.exact_copies(df.unionByName(df.withColumn("doc_id", F.concat(F.lit("x"), "doc_id"))))) == sorted(((f"xd{i}", f"d{i}") for i, _ in data), key=str)
 
 
 def brute_groups(data):
