@@ -8,14 +8,18 @@ turns no longer hold in the final rendering. A turn is ``trained`` if it is the
 Rendering every prefix is the price of asking no more of the template; it is quadratic in a conversation's turns, and
 only in those.
 
-Defined results. Turns go in the order of (turn, role, text), nulls first; repeated turns are turns each. A null text is
-empty, a null role is the user's. A null conv_id is one conversation. A conversation needs no first user turn. Spans
-count characters, end exclusive. A template that raises on a prefix gives that turn no span and counts as rewriting
-(``rewrites`` true); the next prefix is compared with the last one that rendered. Other columns are ignored.
+A template may refuse a prefix by raising. That turn has no span. What the next prefix that renders adds then holds the text of both turns, so it is
+rendered once more with its last turn empty: the span is what the text alone has added, if that leaves the rendering before untouched, else unknown. No span is ever claimed for
+text that another turn has put there.
+
+Defined results. Turns go in the order of (turn, role, text), nulls first; repeated turns are turns each, ties are interchangeable. A null text is
+empty, a null role is the user's. Rows of a null conv_id have no conversation: each is one of its own, so that they never gather in one task. A conversation needs no first user turn. Texts of any length are rendered
+whole. Spans count characters, end exclusive, and hold in the last rendering that there is. A refused turn neither rewrites nor is trained. No rows give no rows. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -55,23 +59,46 @@ def late_system(messages: list[Message]) -> str:
 TEMPLATES: dict[str, Callable[[list[Message]], str]] = {"marked": marked, "instructed": instructed, "late_system": late_system}
 
 
+def _rendered(render: Callable[[list[Message]], str], messages: list[Message]) -> str | None:
+    try:
+        return render(messages)
+    except Exception:  # a template may refuse a prefix, in ways of its own
+        return None
+
+
+def _added(whole: str, bare: str | None, text: str, least: int) -> tuple[int, int] | None:
+    """Where whole has what bare, the same with an empty last turn, lacks; None if that can't be told or begins before least."""
+    n = len(whole) - len(bare) if bare is not None else 0
+    if n <= 0:
+        return None
+    start = len(os.path.commonprefix([whole, bare]))
+    if start < least or whole[start + n :] != bare[start:]:
+        return None
+    # Where the text begins as what follows it does, several places would do: that of the text itself is meant.
+    places = range(start, max(least, start - n) - 1, -1)
+    start = next((s for s in places if whole[s : s + n] == text and whole[s + n :] == bare[s:]), start) if n == len(text) else start
+    return start, start + n
+
+
 def turn_spans(messages: list[Message], render: Callable[[list[Message]], str]) -> list[tuple[int | None, int | None, bool, bool]]:
-    """(start, end, whether this turn rewrote history, whether the span holds in the final rendering) of each turn."""
+    """(start, end, whether this turn rewrote history, whether the span holds in the last rendering) of each turn."""
     spans: list[tuple[int | None, int | None, bool]] = []
-    before = ""
-    for k in range(1, len(messages) + 1):
-        try:
-            now = render(messages[:k])
-        except Exception:  # a template may refuse a prefix, in ways of its own
-            spans.append((None, None, True))
+    before, refused = "", False
+    for k, message in enumerate(messages):
+        now = _rendered(render, messages[: k + 1])
+        if now is None:
+            spans.append((None, None, False))
+            refused = True
             continue
-        if now.startswith(before):
-            spans.append((len(before), len(now), False))
-        else:
+        if not now.startswith(before):
             spans.append((None, None, True))
-        before = now
+        elif refused:
+            spans.append((*(_added(now, _rendered(render, [*messages[:k], message | {"text": ""}]), message["text"], len(before)) or (None, None)), False))
+        else:
+            spans.append((len(before), len(now), False))
+        before, refused = now, False
     last = max((k for k, s in enumerate(spans) if s[2]), default=-1)
-    return [(*s, k > last) for k, s in enumerate(spans)]
+    return [(*s, k > last and s[0] is not None) for k, s in enumerate(spans)]
 
 
 def format_chats(conversations: DataFrame, templates: dict[str, Callable[[list[Message]], str]] | None = None, conv_id="conv_id", turn="turn", role="role", text="text") -> DataFrame:
@@ -80,7 +107,9 @@ def format_chats(conversations: DataFrame, templates: dict[str, Callable[[list[M
     kind, number = conversations.schema[conv_id].dataType.simpleString(), conversations.schema[turn].dataType.simpleString()
     c = lambda name: col(conversations, name)
     turns = F.struct(c(turn).alias("turn"), c(role).alias("role"), c(text).alias("text"))
-    whole = conversations.select(c(conv_id).alias("conv_id"), turns.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    rows = conversations.select(c(conv_id).alias("conv_id"), turns.alias("t"))
+    whole = rows.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    whole = whole.unionByName(rows.where("conv_id IS NULL").select("conv_id", F.array("t").alias("turns")))
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

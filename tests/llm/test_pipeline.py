@@ -1,9 +1,12 @@
 """The pipeline against a version in plain Python, stage by stage."""
 
+import os
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from kerbside.llm import mixing, packing, pipeline, quality_rules, queries, simhash, textbytes
 from kerbside.llm.frames import table
@@ -84,3 +87,16 @@ def test_no_machine_local_checkpoints(spark, sf):
     for name in queries.QUERIES:
         seen[name.split("_")[0]] += 1
     assert seen == {**{f"op{n}": 1 for n in range(1, 11)}, "pipeline": 1}
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_equals_sql(spark, sf, name):
+    db = duckdb.connect()
+    for file in os.listdir(sf):
+        db.execute(f"CREATE VIEW {file.split('.')[0]} AS SELECT * FROM read_parquet('{sf}/{file}')")
+    df = queries.QUERIES[name](spark, sf)
+    want = db.sql(queries.SQL[name])
+    columns = sorted(df.columns)
+    assert sorted(want.columns) == columns
+    order = [want.columns.index(c) for c in columns]
+    assert sorted(str([r[c] for c in columns]) for r in df.collect()) == sorted(str([r[i] for i in order]) for r in want.fetchall())

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -54,8 +55,7 @@ def test_license_rows(frame):
     far = "filler words " * 60_000 + "This file is licensed under the Apache License, Version 2.0."
     text = "Licensed under CC BY-NC 4.0. And again: licensed under CC BY-NC 4.0."
     found = rows(license_scan.scan_licenses(frame([(1, text), (2, None), (3, ""), (None, "Released under the MIT licence"), (4, far), (5, "the apache tribe"), (1, text)])))
-    assert [(i, n) for i, n, _, _ in found] == [(1, "CC-BY-NC-4.0")] * 4 + [(4, "Apache-2.0"), (None, "MIT-notice")] or sorted(map(str, {(i, n) for i, n, _, _ in found})) == sorted(map(str, {(1, "CC-BY-NC-4.0"), (4, "Apache-2.0"), (None, "MIT-notice")}))
-    assert len(found) == 6
+    assert Counter((i, n) for i, n, _, _ in found) == {(1, "CC-BY-NC-4.0"): 4, (4, "Apache-2.0"): 1, (None, "MIT-notice"): 1}
     for i, _, start, end in found:
         if i == 1:
             assert text[start:end].lower() == "licensed under cc by-nc 4.0"
@@ -213,11 +213,47 @@ def test_chat_rows(chats):
     assert chat_format.format_chats(chats([])).count() == 0
 
 
-def test_a_template_that_raises(chats):
-    def picky(messages):
-        if len(messages) == 2:
-            raise RuntimeError("no")
-        return chat_format.marked(messages)
+def strict(messages):
+    """A template that refuses any conversation that the assistant doesn't end."""
+    if messages[-1]["role"] != "assistant":
+        raise ValueError(messages[-1]["role"])
+    return chat_format.marked(messages)
+
 
-    found = chat_format.format_chats(chats([(1, t, "assistant", "a") for t in range(3)]), {"picky": picky}).collect()
-    assert [(r["start"] is None, r["rewrites"], r["trained"]) for r in sorted(found, key=lambda r: r["turn"])] == [(False, False, False), (True, True, False), (False, False, True)]
+def test_a_template_that_raises(chats):
+    data = [(1, 0, "system", "be nice"), (1, 1, "user", "hi"), (1, 2, "assistant", "<|yo"), (1, 3, "user", "more"), (1, 4, "assistant", "ok"), (1, 5, "user", "bye")]
+    found = sorted(chat_format.format_chats(chats(data), {"strict": strict}).collect(), key=lambda r: r["turn"])
+    text = chat_format.marked([{"role": r, "text": x} for _, _, r, x in data[:5]])
+    assert [text[r["start"] : r["end"]] if r["start"] is not None else None for r in found] == [None, None, "<|yo", None, "ok", None]
+    assert [r["trained"] for r in found] == [False, False, True, False, True, False] and not any(r["rewrites"] for r in found)
+
+
+def test_no_span_holds_the_text_of_another_turn():
+    """Templates that refuse prefixes at random: each span lies within its own turn's part of the whole rendering."""
+    rng = random.Random(6)
+    for case in range(300):
+        messages = [{"role": rng.choice(["system", "user", "assistant"]), "text": "".join(rng.choices("ab<|", k=rng.randint(0, 6)))} for _ in range(rng.randint(1, 7))]
+        refused = {k for k in range(1, len(messages)) if rng.random() < 0.4}
+
+        def render(prefix, refused=refused):
+            if len(prefix) in refused:
+                raise RuntimeError
+            return chat_format.marked(prefix)
+
+        own = [(a, b) for a, b, _, _ in chat_format.turn_spans(messages, chat_format.marked)]
+        for k, (start, end, rewrites, holds) in enumerate(chat_format.turn_spans(messages, render)):
+            assert not rewrites and holds == (start is not None)
+            if k + 1 in refused:
+                assert start is None
+            elif k in refused:  # all its text, and no more, where there is some
+                text = messages[k]["text"]
+                body = own[k][0] + len(f"<|im_start|>{messages[k]['role']}\n")
+                whole = chat_format.marked(messages)
+                assert (whole[start:end] == text and abs(start - body) <= len(text) and own[k][0] <= start and end <= own[k][1]) if text else start is None, case
+            else:
+                assert (start, end) == own[k]
+
+
+def test_rows_without_a_conversation_stay_apart(chats):
+    found = chat_format.format_chats(chats([(None, t, "user", f"q{t}") for t in range(200)]), {"marked": chat_format.marked}).collect()
+    assert len(found) == 200 and {r["start"] for r in found} == {0}
