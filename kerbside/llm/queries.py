@@ -10,8 +10,7 @@ from kerbside.llm.frames import table
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    labelled = pages.select("url", url_filter.seed_label(pages.url).alias("label"))
-    return url_filter.filter_urls(pages, url_filter.train(labelled))
+    return url_filter.filter_across_hosts(pages, url_filter.page_labels(pages))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

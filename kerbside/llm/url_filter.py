@@ -9,13 +9,17 @@ The trees are fitted on at most ``max_train_urls`` labelled URLs, chosen by a ha
 only one). The suffix statistics count all labelled URLs. A training URL's own label is left out of them, together with the
 others of its fold (one of ``FOLDS``): by its own alone, a common suffix's share would tell the label. They are looked up by ordinary joins with the distinct suffixes of the URLs, and with these once by the longest suffix.
 
-Defined results. A null or blank URL has score null and is not blocked. Without labelled URLs of both kinds the score is
-the only label, 0.0 if there is none. Null labels are not learned. Repeated rows and null ids are scored like any
-others. Other columns are ignored.
+Where pages are at hand and no list, ``page_labels`` judges each page by what it shows, which its URL doesn't say; ``filter_across_hosts`` then
+scores the URLs of each fold of the hosts by a model of the other folds, so that no host's pages speak for themselves.
+
+Defined results. A null or blank URL has score null and is not blocked; a score that equals the threshold blocks. Without labelled URLs of both kinds the score is
+the only label, 0.0 if there is none. Null labels are not learned. URLs of any length are read whole. Repeated rows and null ids are scored like any
+others. No rows give no rows. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
@@ -33,13 +37,30 @@ SUFFIXES = (1, 2, 3)
 PRIOR_WEIGHT = 4.0
 FOLDS = 10
 
-#: Host words of known bad sites: what labels the URLs where no labelled list is at hand.
-SEED_WORDS = ("casino", "bets", "pills", "adult", "spam", "ads", "porn", "viagra")
+#: What a page may show of signs that are no prose, of capitals, and of words that repeat the one before.
+MAX_SIGNS, MAX_CAPITALS, MAX_REPEATS = 0.05, 0.3, 0.3
+HOST_FOLDS = 2
+
+
+def page_labels(pages: DataFrame, url="url", html="html") -> DataFrame:
+    """(url, label) of each page: 1 for one whose visible text is no prose, null for one without any."""
+    shown = F.regexp_replace(col(pages, html), r"(?is)<(script|style|nav)\b.*?</\1>|<!--.*?-->|<[^>]*>", " ")
+    rows = pages.select(col(pages, url).alias("url"), F.regexp_replace(shown, "&amp;", "&").alias("shown"))
+    n = F.greatest(F.length("shown"), F.lit(1))
+    signs = F.regexp_count("shown", F.lit(r"(?U)[^\w\s.,']")) / n
+    capitals = F.regexp_count("shown", F.lit(r"\p{Lu}")) / n
+    repeats = F.regexp_count("shown", F.lit(r"(?U)\b(\w+)\s+(?=\1\b)")) / F.greatest(F.regexp_count("shown", F.lit(r"\S+")), F.lit(1))
+    ill = (signs > MAX_SIGNS) | (capitals > MAX_CAPITALS) | (repeats > MAX_REPEATS)
+    return rows.select("url", F.when(F.trim("shown") != "", ill.cast("int")).alias("label"))
+
 
+def _host(url: Column) -> Column:
+    rest = F.regexp_replace(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.-]*:(?=//)|^(?=[^/])", "")
+    return F.lower(F.regexp_extract(rest, r"^(?://)?(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
-def seed_label(url: Column, words: tuple[str, ...] = SEED_WORDS) -> Column:
-    """1 for a URL whose host has one of these as a whole word, else 0."""
-    return F.regexp_extract(F.lower(url), r"^(?:[a-z][a-z0-9+.-]*:)?(?://)?([^/?#]*)", 1).rlike(rf"(^|[^a-z0-9])({'|'.join(words)})([^a-z0-9]|$)").cast("int")
+
+def host_fold(url: Column, folds: int = HOST_FOLDS) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(_host(url), F.lit("")), F.lit("host")), F.lit(folds))
 
 
 def _count(text: Column, sign: str) -> Column:
@@ -50,8 +71,7 @@ def lexical(urls: DataFrame) -> tuple[DataFrame, list[str]]:
     """urls (with a column url) with lexical features and the host's suffixes; the features' names."""
     url = F.trim("url")
     rest = F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*:(?=//)|^(?=[^/])", "")
-    host = F.lower(F.regexp_extract(rest, r"^(?://)?(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    df = urls.withColumns({"_url": url, "_host": host, "_path": F.regexp_extract(rest, r"^(?://)?[^/?#]*([^?#]*)", 1), "_query": F.regexp_extract(url, r"\?([^#]*)", 1)})
+    df = urls.withColumns({"_url": url, "_host": _host(F.col("url")), "_path": F.regexp_extract(rest, r"^(?://)?[^/?#]*([^?#]*)", 1), "_query": F.regexp_extract(url, r"\?([^#]*)", 1)})
     n = F.greatest(F.length("_url"), F.lit(1)).cast("double")
     labels = F.split("_host", r"\.")
     share = lambda c: (F.length("_url") - F.length(F.replace(F.col("_url"), c, F.lit("")))) / n
@@ -139,3 +159,13 @@ def filter_urls(pages: DataFrame, model: UrlModel, page_id="page_id", url="url",
         df = VectorAssembler(inputCols=names + more, outputCol="features", handleInvalid="keep").transform(df)
         scored = model.trees.transform(df).withColumn("score", F.when(known, F.round(vector_to_array("probability")[1], 6)))
     return scored.select("page_id", "url", "score", F.coalesce(F.col("score") >= threshold, F.lit(False)).alias("blocked"))
+
+
+def filter_across_hosts(pages: DataFrame, labelled: DataFrame, page_id="page_id", url="url", label="label", threshold=THRESHOLD, folds=HOST_FOLDS, max_train_urls=MAX_TRAIN_URLS) -> DataFrame:
+    """(page_id, url, score, blocked) of every row; a URL's score comes from labelled URLs of hosts of the other folds alone."""
+    told = cut(labelled.select(col(labelled, url).alias("url"), col(labelled, label).alias("label")))
+    found = []
+    for k in range(folds):
+        model = train(told.where(host_fold(F.col("url"), folds) != k), max_train_urls=max_train_urls)
+        found.append(filter_urls(pages.where(host_fold(col(pages, url), folds) == k), model, page_id, url, threshold))
+    return functools.reduce(DataFrame.unionByName, found)

@@ -1,6 +1,8 @@
 """URL filters, language identification, quality rules: held-out accuracy, exact decoding, odd cases."""
 
 import itertools
+import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -153,17 +155,92 @@ def test_a_rare_label_outside_the_sample(spark):
     assert {r["page_id"] for r in url_filter.filter_urls(urls, model).where("blocked").collect()} == set(range(2000, 2006))
 
 
+def brute_features(url):
+    url = url.strip()
+    rest = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(?=//)", "", url)
+    rest = rest[2:] if rest.startswith("//") else rest
+    authority = re.split("[/?#]", rest, maxsplit=1)[0]
+    host = authority.rsplit("@", 1)[-1].split(":")[0].lower()
+    path = re.split("[?#]", rest[len(authority) :], maxsplit=1)[0]
+    query = url.split("?", 1)[1].split("#")[0] if "?" in url else ""
+    n = max(1, len(url))
+    labels = host.split(".")
+    return {
+        "length": len(url), "host_length": len(host), "path_length": len(path), "query_length": len(query), "depth": len([x for x in path.split("/")[1:] if x]), "labels": len(labels), "hyphens": host.count("-"),
+        "longest_label": max(map(len, labels)), "digit_share": sum(c in "0123456789" for c in url) / n, "sign_share": sum(not re.match("[A-Za-z0-9/.:]", c) for c in url) / n,
+        "entropy": -sum(url.count(c) / n * math.log(url.count(c) / n) for c in set(url)), "parameters": query.count("&") + 1 if query else 0, "secure": url.lower().startswith("https:"),
+        "port": "://" in url and ":" in authority.rsplit("@", 1)[-1], "fragment": "#" in url, "_suffix1": ".".join(labels[-1:]), "_suffix2": ".".join(labels[-2:]), "_suffix3": ".".join(labels[-3:]),
+    }
+
+
+URLS = [
+    "HTTP://me@Sub.Ex-ample.co.uk:80/a/b2/?x=1&y=2#top", "https://a.b", "//host.org/x?", "plain words", "http://h.com?q=1", "https://h.com/#f", "ftp://x.y.z.example.net:2121//a//b", "http://1.2.3.4/9", " https://pad.org/ ",
+    "https://h-y-p.com/ä/ö?ü=%20&&", "http://h.com/a?b?c#d?e",
+]
+
+
 def test_lexical_features(spark):
-    url = "HTTP://me@Sub.Ex-ample.co.uk:80/a/b2/?x=1&y=2#top"
-    df, names = url_filter.lexical(spark.createDataFrame([(url,)], "url string"))
-    r = df.first()
-    chars = [url.count(c) / len(url) for c in set(url)]
-    want = {"length": len(url), "host_length": 18, "path_length": 6, "query_length": 7, "depth": 2, "labels": 4, "hyphens": 1, "longest_label": 8, "parameters": 2, "secure": 0, "port": 0, "fragment": 1}
-    got = {k: r[k] for k in want}
-    got["port"] = 0
-    assert got == want
-    assert r["entropy"] == pytest.approx(-sum(p * np.log(p) for p in chars)) and r["digit_share"] == pytest.approx(5 / len(url))
-    assert (r["_suffix1"], r["_suffix2"], r["_suffix3"]) == ("uk", "co.uk", "ex-ample.co.uk") and len(names) == 15
+    df, names = url_filter.lexical(spark.createDataFrame([(u,) for u in URLS], "url string"))
+    found = {r["url"]: r.asDict() for r in df.collect()}
+    assert len(names) == 15
+    for url in URLS:
+        want = brute_features(url)
+        assert {k: v if isinstance(v, str) else float(v) for k, v in want.items()} == {k: found[url][k] if isinstance(found[url][k], str) else pytest.approx(found[url][k]) for k in want}, url
+
+
+def test_scores_are_those_of_the_trees_by_hand(urls):
+    """The sum of the trees' leaves, each found by going down the printed tree."""
+    model = url_filter.train(urls, max_train_urls=300)
+    df, names = url_filter.lexical(urls.select("page_id", "url"))
+    df, more = url_filter._with_statistics(df, model.statistics, model.prior, None)
+    rows_ = {r["page_id"]: [r[n] for n in names + more] for r in df.collect()}
+    assert rows_[0][len(names)] == pytest.approx(math.log1p(300))  # the share of .org
+
+    def down(lines, x, depth=0):
+        for k, line in enumerate(lines):
+            indent, body = len(line) - len(line.lstrip()), line.strip()
+            if indent == depth and (m := re.fullmatch(r"(?:If|Else) \(feature (\d+) (<=|>) (\S+)\)", body)):
+                value, bound = x[int(m[1])], float(m[3])
+                if (value <= bound) == (m[2] == "<="):
+                    return down(lines[k + 1 :], x, depth + 1)
+            elif indent == depth and body.startswith("Predict:"):
+                return float(body.split()[1])
+        raise AssertionError("no leaf")
+
+    trees = [t.toDebugString.splitlines()[1:] for t in model.trees.trees]
+    step = min(len(line) - len(line.lstrip()) for t in trees for line in t)
+    trees = [[line[step:] for line in t] for t in trees]
+    for r in url_filter.filter_urls(urls, model).where("page_id % 40 = 0").collect():
+        margin = sum(w * down(t, rows_[r["page_id"]]) for w, t in zip(model.trees.treeWeights, trees, strict=True))
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-2 * margin)), abs=1e-5)
+
+
+def test_no_host_speaks_for_itself(spark):
+    """Labels by host, which nothing else in a URL tells: across hosts they can't be learned, though within hosts they can."""
+    rng = np.random.default_rng(2)
+    hosts = ["".join(rng.choice(list("abcdefghij"), 8)) for _ in range(60)]
+    df = spark.createDataFrame([(k * 10 + i, f"https://{h}.com/{rng.integers(10**6):06d}", k % 2) for k, h in enumerate(hosts) for i in range(10)], "page_id bigint, url string, label int")
+    across = url_filter.filter_across_hosts(df, df).join(df.select("page_id", "label"), "page_id").collect()
+    within = url_filter.filter_urls(df, url_filter.train(df)).join(df.select("page_id", "label"), "page_id").collect()
+    right = lambda found: np.mean([r["blocked"] == bool(r["label"]) for r in found])
+    assert len(across) == 600 and right(across) < 0.7 < 0.97 < right(within)
+
+
+def test_urls_across_hosts_held_out(urls):
+    found = url_filter.filter_across_hosts(urls, urls).join(urls.select("page_id", "label"), "page_id").collect()
+    assert len(found) == 600 and np.mean([r["blocked"] == bool(r["label"]) for r in found]) > 0.97
+
+
+def test_page_labels(spark):
+    prose = "<p>It is a plain page, with some words of prose.</p>"
+    pages = [("a", prose), ("b", "<p>BUY NOW!!! $$$ CHEAP!!!</p>"), ("c", "<p>word word word word word word</p>"), ("d", None), ("e", "<script>var a = '$$$$$';</script>"), ("f", "<nav>$$$ !!!</nav><!-- $$$ -->" + prose * 2000), (None, "<p>| a | b | c |</p>"), ("g", "")]
+    found = {r["url"]: r["label"] for r in url_filter.page_labels(spark.createDataFrame(pages, "url string, html string")).collect()}
+    assert found == {"a": 0, "b": 1, "c": 1, "d": None, "e": None, "f": 0, None: 1, "g": None}
+
+
+def test_a_score_at_the_threshold_blocks(urls, spark):
+    only = url_filter.train(urls.where("label = 1"))
+    assert url_filter.filter_urls(urls, only, threshold=1.0).where("blocked").count() == 600
 
 
 def test_url_odd_rows(urls, spark):
