@@ -1,23 +1,23 @@
-"""License scans by template markup: optional and replaceable regions become parts of an automaton over tokens.
+"""License scans by template markup: optional, alternative and replaceable regions become parts of an automaton over tokens.
 
-A template is a license's or notice's wording with ``<<optional>> ... <<end>>`` around regions that may be left out
-(they nest) and ``<<any:N>>`` for a region of at most N tokens of any kind. All other wording is mandatory. A text
-matches where its tokens spell the mandatory wording exactly, in order, with nothing between but what the template
+A template is a license's or notice's wording with ``<<optional>> ... <<end>>`` around regions that may be left out,
+``<<either>> ... <<or>> ... <<end>>`` around wordings of which one must be there (both nest) and ``<<any:N>>`` for a region of at most N tokens of any kind. All
+other wording is mandatory. A text matches where its tokens spell the mandatory wording exactly, in order, with nothing between but what the template
 allows. Tokens are lower-case words and numbers; punctuation, white space and letter case do not count, and a few
-spellings are one (licence, license).
+spellings are one (licence, license). A license may have several templates: its text, its notice, its SPDX line.
 
-A compiled template has a position before each of its tokens; skipping an optional region is a jump between positions.
+A compiled template has a position before each of its tokens; skipping an optional region, or going on to another alternative, is a jump between positions.
 All positions that a text's tokens can have reached are carried along together, so a match is found in one pass from its
 first token, whatever the regions. The longest match from a start counts. A match inside another one is left out if
 that one is of the same license or reads all its tokens as wording; a notice that another template's replaceable region
 has swallowed is reported beside it.
 
-Every template has a mandatory word that texts must contain (its anchor, the longest such word); texts without any
+Every match has one of its template's anchors: the longest word that all texts of it have, else one of each alternative. Texts without any
 anchor are passed over in the JVM. Texts are scanned whole.
 
-Defined results. Null and empty texts have no match. Offsets count characters, end exclusive. Matches of one span by
-several templates are all reported, by license name. A null doc_id is reported as null; repeated rows give repeated
-matches. Other columns are ignored.
+Defined results. Null and empty texts have no match; texts of any length are scanned. Offsets count characters, end exclusive. Matches of one span by
+several licenses are all reported, by license name. A null doc_id is reported as null; repeated rows give repeated
+matches. No rows give no rows. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from kerbside.llm.frames import col
 
 _SAME = {"licence": "license", "licences": "licenses", "licenced": "licensed", "sublicence": "sublicense", "copyrights": "copyright", "organisation": "organization"}
 _TOKEN = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
-_MARKUP = re.compile(r"<<(optional|end|any:[0-9]+)>>")
+_MARKUP = re.compile(r"<<(optional|either|or|end|any:[0-9]+)>>")
 
 _WARRANTY = """the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of
 merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim
@@ -49,21 +49,51 @@ conditions are met <<optional>>1<<end>> redistributions of source code must reta
 following disclaimer <<optional>>2<<end>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the
 following disclaimer in the documentation and or other materials provided with the distribution"""
 _COPYRIGHT = "<<optional>>copyright <<optional>>c<<end>> <<any:16>><<end>>"
+_UNDER = """<<optional>>this <<any:4>> is<<end>> <<either>><<optional>><<either>>licensed<<or>>released<<or>>distributed<<or>>available<<or>>made available<<or>>published<<end>><<end>> under<<or>>subject to<<end>>
+<<optional>><<either>>a<<or>>the<<end>><<end>> <<optional>>terms of <<optional>>the<<end>><<end>>"""
+_FSF = """<<any:2>> <<optional>>june<<end>> <<optional>>november<<end>> <<any:1>> copyright <<optional>>c<<end>> <<any:8>> free software foundation inc <<any:16>> everyone is permitted to copy and distribute verbatim copies of
+this license document but changing it is not allowed"""
 
-TEMPLATES = {
-    "Apache-2.0": "<<optional>>this <<any:4>> is<<end>> licensed under the <<optional>>terms of the<<end>> apache license <<optional>>version<<end>> 2.0",
-    "MIT": f"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<optional>>including the next paragraph<<end>> shall be included in all copies or substantial portions of the software {_WARRANTY}",
-    "MIT-notice": "<<optional>>this <<any:4>> is<<end>> <<optional>>licensed<<end>> <<optional>>released<<end>> <<optional>>available<<end>> under the <<optional>>terms of the<<end>> mit license",
-    "BSD-2-Clause": f"{_BSD_TWO} {_BSD_END}",
-    "BSD-3-Clause": f"{_BSD_TWO} <<optional>>3<<end>> neither the name of <<any:12>> nor the names of <<any:4>> contributors may be used to endorse or promote products derived from this software without specific prior written permission {_BSD_END}",
-    "ISC": "permission to use copy modify and <<optional>>or<<end>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and <<any:6>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <<any:6>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
-    "GPL-3.0": "<<optional>>this <<any:4>> is<<end>> <<optional>>licensed<<end>> <<optional>>released<<end>> under the <<optional>>terms of the<<end>> gnu general public license <<optional>>as published by the free software foundation either<<end>> version 3 <<optional>>of the license<<end>>",
-    "GPL-2.0": "<<optional>>this <<any:4>> is<<end>> <<optional>>licensed<<end>> <<optional>>released<<end>> under the <<optional>>terms of the<<end>> gnu general public license <<optional>>as published by the free software foundation either<<end>> version 2 <<optional>>of the license<<end>>",
-    "CC-BY-4.0": "<<optional>>licensed<<end>> <<optional>>released<<end>> under <<optional>>a<<end>> <<optional>>the<<end>> <<optional>>creative commons attribution license<<end>> <<optional>>cc<<end>> by 4.0",
-    "CC-BY-NC-4.0": "<<optional>>licensed<<end>> <<optional>>released<<end>> under <<optional>>a<<end>> <<optional>>the<<end>> cc by nc 4.0",
-    "CC-BY-SA-4.0": "<<optional>>licensed<<end>> <<optional>>released<<end>> under <<optional>>a<<end>> <<optional>>the<<end>> cc by sa 4.0",
-    "CC0-1.0": "<<optional>>released<<end>> <<optional>>dedicated<<end>> <<optional>>to the public domain<<end>> under <<optional>>the<<end>> cc0 1.0 <<optional>>universal<<end>>",
-    "All-rights-reserved": f"{_COPYRIGHT} all rights reserved",
+
+def _version(number: str) -> str:
+    return f"<<either>>version {number}<<or>>v {number}<<or>>v{number}<<end>>"
+
+
+def _gnu(kind: str, number: str) -> str:
+    return f"{_UNDER} gnu {kind} public license <<optional>>as published by the free software foundation <<optional>>either<<end>><<end>> {_version(number)} <<optional>>of the license<<end>>"
+
+
+def _spdx(identifier: str) -> str:
+    return f"spdx license identifier {identifier}"
+
+
+def _cc(*wordings: str) -> str:
+    """A notice of a Creative Commons license: its name or its short name, and its version."""
+    return f"{_UNDER} <<optional>>creative commons attribution license<<end>> <<either>>{'<<or>>'.join(wordings)}<<end>> 4.0 <<optional>>international<<end>> <<optional>>license<<end>>"
+
+
+TEMPLATES: dict[str, tuple[str, ...]] = {
+    "Apache-2.0": (
+        f"{_UNDER} apache license <<either>>2.0<<or>>{_version('2.0')}<<end>>",
+        "apache license version 2.0 january 2004 <<optional>>http <<optional>>www<<end>> apache org licenses<<end>> terms and conditions for use reproduction and distribution 1 definitions license shall mean the terms and conditions for use reproduction and distribution as defined by sections 1 through 9 of this document",
+        _spdx("apache 2.0"),
+    ),
+    "MIT": (f"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<optional>>including the next paragraph<<end>> shall be included in all copies or substantial portions of the software {_WARRANTY}", _spdx("mit")),
+    "MIT-notice": (f"{_UNDER} mit license",),
+    "BSD-2-Clause": (f"{_BSD_TWO} {_BSD_END}", f"{_UNDER} <<optional>>simplified<<end>> bsd 2 clause <<optional>>simplified<<end>> license", _spdx("bsd 2 clause")),
+    "BSD-3-Clause": (f"{_BSD_TWO} <<optional>>3<<end>> neither the name of <<any:12>> nor the names of <<any:4>> contributors may be used to endorse or promote products derived from this software without specific prior written permission {_BSD_END}", f"{_UNDER} <<optional>>new<<end>> bsd 3 clause <<optional>>new<<end>> license", _spdx("bsd 3 clause")),
+    "ISC": ("permission to use copy modify and <<optional>>or<<end>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and <<any:6>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <<any:6>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software", f"{_UNDER} isc license", _spdx("isc")),
+    "GPL-3.0": (_gnu("general", "3"), f"gnu general public license version 3 {_FSF}", _spdx("gpl 3.0")),
+    "GPL-2.0": (_gnu("general", "2"), f"gnu general public license version 2 {_FSF}", _spdx("gpl 2.0")),
+    "LGPL-3.0": (_gnu("lesser general", "3"), f"gnu lesser general public license version 3 {_FSF}", _spdx("lgpl 3.0")),
+    "LGPL-2.1": (_gnu("lesser general", "2.1"), f"gnu lesser general public license version 2.1 {_FSF}", _spdx("lgpl 2.1")),
+    "AGPL-3.0": (_gnu("affero general", "3"), f"gnu affero general public license version 3 {_FSF}", _spdx("agpl 3.0")),
+    "MPL-2.0": (f"{_UNDER} mozilla public license <<either>>2.0<<or>>{_version('2.0')}<<end>>", "mozilla public license version 2.0 1 definitions 1.1 contributor", _spdx("mpl 2.0")),
+    "CC-BY-4.0": (_cc("creative commons attribution", "cc by"), _spdx("cc by 4.0")),
+    "CC-BY-NC-4.0": (_cc("creative commons attribution <<either>>noncommercial<<or>>non commercial<<end>>", "cc by nc"), _spdx("cc by nc 4.0")),
+    "CC-BY-SA-4.0": (_cc("creative commons attribution <<either>>sharealike<<or>>share alike<<end>>", "cc by sa"), _spdx("cc by sa 4.0")),
+    "CC0-1.0": (f"<<optional>>dedicated to the public domain<<end>> {_UNDER} <<optional>>creative commons<<end>> cc0 1.0 <<optional>>universal<<end>>", _spdx("cc0 1.0")),
+    "All-rights-reserved": (f"{_COPYRIGHT} all rights reserved",),
 }
 
 
@@ -79,28 +109,50 @@ class Automaton:
     """
 
     def __init__(self, markup: str):
-        self.words: list[str | None] = []
+        self.words: list[str | None] = []  # None: any token; "": no token, the end of an alternative
         self.jumps: dict[int, list[int]] = {}
         self.free: dict[int, int] = {}
-        mandatory, opened = [], []
+        opened: list[tuple[str, int, list[int], list[set[str]], set[str]]] = []  # kind, where, ends of its alternatives, their words, words of the one at hand
+        sure: set[str] = set()  # words that every match has; while a region is open, those of the region
+        choices: list[list[set[str]]] = []
         for k, part in enumerate(_MARKUP.split(markup)):
             if k % 2 == 0:
-                for word, _, _ in tokens(part):
-                    self.words.append(word)
-                    if not opened:
-                        mandatory.append(word)
-            elif part == "optional":
-                opened.append(len(self.words))
+                read = [w for w, _, _ in tokens(part)]
+                self.words += read
+                sure.update(read)
+            elif part in ("optional", "either"):
+                opened.append((part, len(self.words), [], [], sure))
+                sure = set()
+            elif part == "or":
+                kind, where, ends, told, _ = opened[-1]
+                if kind != "either":
+                    raise ValueError("<<or>> belongs between <<either>> and <<end>>")
+                ends.append(len(self.words))
+                self.words.append("")
+                self.jumps.setdefault(where, []).append(len(self.words))
+                told.append(sure)
+                sure = set()
             elif part == "end":
-                self.jumps.setdefault(opened.pop(), []).append(len(self.words))
+                kind, where, ends, told, before = opened.pop()
+                if kind == "optional":
+                    self.jumps.setdefault(where, []).append(len(self.words))
+                else:
+                    for e in ends:
+                        self.jumps.setdefault(e, []).append(len(self.words))
+                    told.append(sure)
+                    before = before | set.intersection(*told)
+                    if all(told) and not opened:
+                        choices.append(told)
+                sure = before
             else:
                 self.free[len(self.words)] = int(part[4:])
                 self.words.append(None)
-        if opened or not mandatory:
-            raise ValueError("a template needs mandatory wording, and an end for each optional region")
-        self.anchor = max(mandatory, key=len)
+        if opened or not (sure or choices):
+            raise ValueError("a template needs mandatory wording, and an end for each region")
+        longest = lambda words: max(words, key=lambda w: (len(w), w))
+        self.anchors = {longest(sure)} if sure else {longest(words) for words in choices[0]}
         self.start = self._closed({(0, 0)})
-        self.first = {self.words[p] for p, _ in self.start if p < len(self.words)}
+        self.first = {self.words[p] for p, _ in self.start if p < len(self.words)} - {""}
         if None in self.first or len(self.words) in {p for p, _ in self.start}:
             raise ValueError("a template can't begin with a replaceable region")
 
@@ -133,7 +185,6 @@ class Automaton:
                 best = k + 1
         return best
 
-
     def free_tokens(self, read: list[tuple[str, int, int]], begin: int, end: int) -> set[int]:
         """The tokens of the match begin to end that replaceable regions read, where as few as possible are left to these."""
         last = len(self.words)
@@ -159,28 +210,30 @@ class Automaton:
         return found
 
 
-def compiled(templates: dict[str, str] | None = None) -> dict[str, Automaton]:
-    return {name: Automaton(markup) for name, markup in (TEMPLATES if templates is None else templates).items()}
+def compiled(templates: dict[str, str | tuple[str, ...]] | None = None) -> dict[tuple[str, int], Automaton]:
+    """The automata of each license's templates."""
+    every = TEMPLATES if templates is None else templates
+    return {(name, k): Automaton(markup) for name, markups in every.items() for k, markup in enumerate([markups] if isinstance(markups, str) else markups)}
 
 
-def matches(text: str, automata: dict[str, Automaton]) -> list[tuple[int, int, str]]:
+def matches(text: str, automata: dict[tuple[str, int], Automaton]) -> list[tuple[int, int, str]]:
     """(start, end, license) of the matches in a text, without those that a larger one covers."""
     read = tokens(text)
-    begins: dict[str, list[str]] = {}
+    begins: dict[str, list[tuple[str, int]]] = {}
     there = {w for w, _, _ in read}
     for name, a in automata.items():
-        if a.anchor in there:
+        if not a.anchors.isdisjoint(there):
             for word in a.first:
                 begins.setdefault(word, []).append(name)
-    found: set[tuple[int, int, str]] = set()  # by tokens
-    until: dict[str, int] = {}
+    found: set[tuple[int, int, tuple[str, int]]] = set()  # by tokens
+    until: dict[tuple[str, int], int] = {}
     for k, (word, _, _) in enumerate(read):
         for name in begins.get(word, ()):
             if k >= until.get(name, 0) and (end := automata[name].match(read, k)) >= 0:
                 found.add((k, end, name))
                 until[name] = end
-    kept, around = [], []  # around: matches that reach further, at most one a license
-    free: dict[tuple[int, int, str], set[int]] = {}
+    kept, around = set(), []  # around: matches that reach further, at most one a template
+    free: dict[tuple[int, int, tuple[str, int]], set[int]] = {}
     for match in sorted(found, key=lambda x: (x[0], -x[1], x[2])):
         begin, end, name = match
         around = [m for m in around if m[1] > begin]
@@ -189,14 +242,14 @@ def matches(text: str, automata: dict[str, Automaton]) -> list[tuple[int, int, s
             if m[1] >= end and m[:2] != (begin, end):
                 if m not in free:
                     free[m] = automata[m[2]].free_tokens(read, m[0], m[1])
-                covered = covered or m[2] == name or free[m].isdisjoint(range(begin, end))
+                covered = covered or m[2][0] == name[0] or free[m].isdisjoint(range(begin, end))
         around.append(match)
         if not covered:
-            kept.append((read[begin][1], read[end - 1][2], name))
-    return kept
+            kept.add((read[begin][1], read[end - 1][2], name[0]))
+    return sorted(kept, key=lambda x: (x[0], -x[1], x[2]))
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, doc_id="doc_id", text="text") -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: dict[str, str | tuple[str, ...]] | None = None, doc_id="doc_id", text="text") -> DataFrame:
     """(doc_id, license, start, end): a row for each match."""
     automata = compiled(templates)
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -211,7 +264,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, doc_
                 ["doc_id", "license", "start", "end"],
             )
 
-    spellings = sorted({w for a in automata.values() for w in (a.anchor, *(k for k, v in _SAME.items() if v == a.anchor))})
+    spellings = sorted({w for a in automata.values() for anchor in a.anchors for w in (anchor, *(k for k, v in _SAME.items() if v == anchor))})
     few = [w for w in spellings if not any(v != w and v in w for v in spellings)]  # a word that contains another is found with it
     few = docs.select(col(docs, doc_id).alias("doc_id"), col(docs, text).alias("text")).where(F.lower("text").rlike("|".join(map(re.escape, few))) if few else F.lit(False))
     return few.mapInArrow(scan, f"doc_id {kind}, license string, start bigint, end bigint")

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from kerbside.llm import chat_format, license_scan, pii
 
@@ -16,20 +17,29 @@ from .conftest import rows
 
 def as_regex(markup):
     """The template as a regular expression over tokens joined by spaces: what the automaton must agree with."""
-    out = []
-    for k, part in enumerate(re.split(r"<<(optional|end|any:[0-9]+)>>", markup)):
+    out, kinds = [], []
+    for k, part in enumerate(re.split(r"<<(optional|either|or|end|any:[0-9]+)>>", markup)):
         if k % 2 == 0:
             out += [re.escape(w) + " " for w, _, _ in license_scan.tokens(part)]
+        elif part in ("optional", "either"):
+            kinds.append(part)
+            out.append("(?:")
+        elif part == "end":
+            out.append(")?" if kinds.pop() == "optional" else ")")
         else:
-            out.append({"optional": "(?:", "end": ")?"}.get(part) or rf"(?:\S+ ){{0,{part[4:]}}}")
+            out.append("|" if part == "or" else rf"(?:\S+ ){{0,{part[4:]}}}")
     return re.compile("".join(out))
 
 
-def test_automata_match_what_the_expressions_match():
+@pytest.mark.parametrize(
+    "markup",
+    ["a <<optional>>b <<optional>>c<<end>> <<end>> d <<any:3>> e <<optional>>f<<end>>", "<<either>>a<<or>>b c<<or>><<optional>>d<<end>> e<<end>> f", "a <<either>>b <<either>>c<<or>>d<<end>><<or>>e <<any:2>> f<<end>> <<optional>>a<<end>>"],
+)
+def test_automata_match_what_the_expressions_match(markup):
     rng = random.Random(2)
-    markup = "a <<optional>>b <<optional>>c<<end>> <<end>> d <<any:3>> e <<optional>>f<<end>>"
     automaton, pattern = license_scan.Automaton(markup), as_regex(markup)
-    for _ in range(3000):
+    seen = 0
+    for _ in range(2500):
         text = " ".join(rng.choice("abcdefx") for _ in range(rng.randint(1, 12)))
         read = license_scan.tokens(text)
         for k in range(len(read)):
@@ -37,21 +47,83 @@ def test_automata_match_what_the_expressions_match():
             rest = "".join(w + " " for w, _, _ in read[k:])
             lengths = [n for n in range(1, len(read) - k + 1) if pattern.fullmatch("".join(w + " " for w, _, _ in read[k : k + n]))]
             assert (end - k if end >= 0 else None) == (max(lengths) if lengths else None), (rest, k)
+            if lengths:
+                seen += 1
+                assert not automaton.anchors.isdisjoint(w for w, _, _ in read[k:end])
+    assert seen > 50
+
+
+def wordings(markup, full):
+    """A text of a template: with all optional regions or with none, and each alternative in turn."""
+    parts = re.split(r"<<(optional|either|or|end|any:[0-9]+)>>", markup)
+
+    def read(i, stop):
+        texts = [""]
+        while i < len(parts) and not (i % 2 and parts[i] in stop):
+            part = parts[i]
+            if i % 2 == 0:
+                texts = [t + part for t in texts]
+            elif part == "optional":
+                inner, i = read(i + 1, {"end"})
+                texts = [t + x for t in texts for x in inner] if full else texts
+            elif part == "either":
+                options, i = read(i + 1, {"or", "end"})
+                while parts[i] == "or":
+                    more, i = read(i + 1, {"or", "end"})
+                    options = options + more
+                texts = [t + x for t in texts for x in options]
+            else:
+                texts = [t + "Some" for t in texts] if full else texts
+            i += 1
+        return texts, i
+
+    return read(0, ())[0]
 
 
-@pytest.mark.parametrize("name", sorted(license_scan.TEMPLATES))
-def test_every_template_finds_itself(name):
+EVERY = [(name, k) for name, markups in license_scan.TEMPLATES.items() for k in range(len(markups))]
+
+
+@pytest.mark.parametrize(("name", "k"), EVERY)
+def test_every_template_finds_itself(name, k):
     automata = license_scan.compiled()
-    plain = re.sub(r"<<any:\d+>>", "Some Body", license_scan.TEMPLATES[name])
-    mandatory = re.sub(r"<<any:\d+>>", "Some Body", re.sub(r"<<optional>>(?:(?!<<optional>>|<<end>>).)*<<end>>", "", re.sub(r"<<optional>>(?:(?!<<optional>>|<<end>>).)*<<end>>", "", license_scan.TEMPLATES[name])))
-    for text in (re.sub(r"<<\w+>>", "", plain), mandatory):
-        assert name in {n for _, _, n in license_scan.matches(f"Xyz qrs.\n{text.upper()}!\nXyz", automata)}, text
-    if len(mandatory.split()) > 3:
-        broken = mandatory.replace(mandatory.split()[-2], "other", 1) if mandatory.split()[-2] not in ("the",) else mandatory.replace(mandatory.split()[-1], "other")
-        assert name not in {n for _, _, n in license_scan.matches(broken, automata)}
+    for full in (True, False):
+        for text in wordings(license_scan.TEMPLATES[name][k], full)[:40]:
+            assert name in {n for _, _, n in license_scan.matches(f"Xyz qrs.\n{text.upper()}!\nXyz", automata)}, text
+            words = text.split()
+            broken = " ".join([*words[:-2], "other", words[-1]]) if words[-2] not in ("the", "of") else " ".join(words[:-1])
+            if not full:
+                assert name not in {n for _, _, n in license_scan.matches(broken, {(name, k): automata[name, k]})} or len(license_scan.tokens(broken)) >= 4, broken
+
+
+@pytest.mark.parametrize(("name", "k"), EVERY)
+def test_mandatory_wording_names_the_license(name, k):
+    """The shortest text of each template is as long as the license's name and version, and has a word of its own."""
+    own = {"apache", "mit", "bsd", "isc", "gnu", "gpl", "lgpl", "agpl", "mpl", "mozilla", "cc", "commons", "cc0", "reserved", "software", "redistributions"}
+    for text in wordings(license_scan.TEMPLATES[name][k], False):
+        words = [w for w, _, _ in license_scan.tokens(text)]
+        assert len(words) >= max(3, len(license_scan.tokens(name.replace("-notice", "").replace("-Clause", "")))) and own & set(words), text
+
+
+@pytest.mark.parametrize("text", ["prices fell under by 4.0", "licensed released available under apache", "the MIT license is popular", "under the sea 2.0", "the apache license", "creative commons is a movement"])
+def test_what_is_no_notice(text):
+    assert license_scan.matches(text, license_scan.compiled()) == []
+
+
+@pytest.mark.parametrize(
+    ("text", "name"),
+    [
+        ("Licensed under the Creative Commons Attribution 4.0 International License.", "CC-BY-4.0"), ("Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "CC-BY-NC-4.0"),
+        ("This work is licensed under CC BY 4.0", "CC-BY-4.0"), ("Released under the GNU Lesser General Public License, version 2.1", "LGPL-2.1"), ("under the terms of the GNU Lesser General Public License v3", "LGPL-3.0"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "MPL-2.0"), ("SPDX-License-Identifier: MIT", "MIT"), ("// SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0"), ("made available under the Apache License v2.0", "Apache-2.0"),
+        ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.", "GPL-3.0"),
+    ],
+)
+def test_notices(text, name):
+    assert [n for _, _, n in license_scan.matches(text, license_scan.compiled())] == [name]
 
 
 def test_license_rows(frame):
+    clash = ["license", "start", "end", "automata"]
     far = "filler words " * 60_000 + "This file is licensed under the Apache License, Version 2.0."
     text = "Licensed under CC BY-NC 4.0. And again: licensed under CC BY-NC 4.0."
     found = rows(license_scan.scan_licenses(frame([(1, text), (2, None), (3, ""), (None, "Released under the MIT licence"), (4, far), (5, "the apache tribe"), (1, text)])))
@@ -60,6 +132,8 @@ def test_license_rows(frame):
         if i == 1:
             assert text[start:end].lower() == "licensed under cc by-nc 4.0"
     assert license_scan.scan_licenses(frame([])).count() == 0
+    odd = frame([(1, text)]).withColumns({c: F.lit("x") for c in clash})
+    assert license_scan.scan_licenses(odd).columns == ["doc_id", "license", "start", "end"] and license_scan.scan_licenses(odd).count() == 2
 
 
 @pytest.mark.parametrize(
@@ -84,7 +158,7 @@ def test_what_covers_a_match():
 
 
 def test_bad_templates():
-    for markup in ("<<optional>>a<<end>>", "<<any:3>> a", "<<optional>>a b"):
+    for markup in ("<<optional>>a<<end>>", "<<any:3>> a", "<<optional>>a b", "<<either>>a<<or>><<end>>", "<<optional>>a<<or>>b<<end>> c"):
         with pytest.raises((ValueError, IndexError)):
             license_scan.Automaton(markup)
 
