@@ -99,6 +99,7 @@ def _score(text: str, start: int, end: int, base: float, support: tuple[str, ...
 
 
 _LOCAL = re.compile(r"[\w.%+-]*\Z")
+_SIGN = re.compile(r"[\w.%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9.-]*")
 _ADDRESS = re.compile(r"[A-Za-z0-9_%+-](?:[\w.%+-]*[\w%+-])?\Z")
 MAX_LOCAL, MAX_DOMAIN, MAX_LABEL = 64, 253, 63
@@ -109,8 +110,12 @@ def _emails(pattern: re.Pattern, text: str) -> Iterator[tuple[int, int]]:
     at, done = text.find("@"), 0
     while at >= 0:
         run = _LOCAL.search(text, max(done, at - MAX_LOCAL - 1), at).start()
+        edge = run
+        while at - run > MAX_LOCAL and edge > done and text[edge - 1] == ".":
+            edge -= 1
+        longer = at - run > MAX_LOCAL and (text[run] != "." or edge > done and _SIGN.match(text, edge - 1))
         stop = _DOMAIN.match(text, at + 1, at + MAX_DOMAIN + 2).end()
-        local = next((m for k in range(run, at) if (m := _ADDRESS.match(text, k, at))), None) if at - run <= MAX_LOCAL else None
+        local = next((m for k in range(run, at) if (m := _ADDRESS.match(text, k, at))), None) if not longer else None
         if local and stop - at - 1 <= MAX_DOMAIN and (m := pattern.match(text, at + 1)) and all(len(x) <= MAX_LABEL for x in m[0].split(".")):
             yield local.start(), m.end()
             done = m.end()

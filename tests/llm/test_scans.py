@@ -222,6 +222,107 @@ def test_context_adjusts_the_score():
     assert not pii.spans(f"order {CARD}") and pii.spans(f"number {CARD}")
 
 
+def brute_personal(text, kind):
+    """Spans of one kind by looking at every substring: what begins first and reaches farthest of what is valid and stands alone."""
+    local, domain = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.%+-"), set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.-")
+    word = lambda c: c.isalnum() or c == "_"
+
+    def alone(i, j, at):
+        before, after = text[i - 1] if i else " ", text[j] if j < len(text) else " "
+        if kind == "email":
+            led = text[at:i].rstrip(".")  # dots before an address are not of it
+            return not (led and led[-1] in local) and not word(after)
+        if kind == "ip":
+            return not (before in ".0123456789" or word(before)) and not word(after) and not (after == "." and j + 1 < len(text) and text[j + 1].isdigit())
+        return not (word(before) or before == "-") and not (word(after) or after == "-")
+
+    def valid(s):
+        if kind == "email":
+            name, _, host = s.partition("@")
+            labels = host.split(".")
+            return (
+                name != "" and name[0] != "." and name[-1] != "." and set(name) <= local and len(labels) > 1
+                and all(x and set(x) <= domain for x in labels) and labels[-1].isalpha() and 2 <= len(labels[-1]) <= 24
+            )
+        if kind == "ip":
+            parts = s.split(".")
+            return len(parts) == 4 and all(p.isdigit() and str(int(p)) == p and int(p) < 256 for p in parts)
+        parts = s.split("-")
+        return [len(p) for p in parts] == [3, 2, 4] and all(p.isdigit() for p in parts) and parts[0] not in ("000", "666") and parts[0] < "900" and parts[1] != "00" and parts[2] != "0000"
+
+    out, at = [], 0
+    if kind == "email":  # the longest around each at sign; one that is too long is none
+        for q in (q for q, c in enumerate(text) if c == "@"):
+            i, j = min(((i, -j) for i in range(at, q) for j in range(q + 2, len(text) + 1) if valid(text[i:j]) and alone(i, j, at)), default=(0, 0))
+            name, _, host = text[i:-j].partition("@")
+            if j and len(name) <= 64 and len(host) <= 253 and max(map(len, host.split("."))) <= 63 and ".." not in name:
+                out.append((i, -j))
+                at = -j
+        return out
+    while found := min(((i, -j) for i in range(at, len(text)) for j in range(i + 5, min(len(text), i + 330) + 1) if valid(text[i:j]) and alone(i, j, at)), default=None):
+        at = -found[1]
+        out.append((found[0], at))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["email", "ip", "ssn"])
+def test_spans_are_those_of_all_substrings(kind):
+    rng = random.Random(12)
+    bits = {"email": ["a", "b.c", "@", "x", ".", "-", "org", "co", " ", "_", "9", "d" * 61, "@e.fr", ".com"], "ip": ["1", "25", "255", "256", "0", "01", ".", ".", ".", " ", "a", "10.2.3.4"], "ssn": ["123", "45", "6789", "-", "-", " ", "000", "00", "0000", "666", "x", "912", "123-45-6789"]}[kind]
+    base = dict(pii.KINDS)
+    seen = 0
+    for _ in range(600):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(3, 14)))
+        got = [(s, e) for s, e, k, _ in pii.spans(text, 0.0) if k == kind]
+        want = brute_personal(text, kind)
+        covered = [(s, e) for s, e, k, _ in pii.spans(text, 0.0) if list(base).index(k) < list(base).index(kind)]
+        want = [w for w in want if not any(s < w[1] and w[0] < e for s, e in covered)]
+        assert got == want, (text, got, want)
+        seen += len(want)
+    assert seen > 20
+
+
+def brute_cards(text):
+    """Every run of whole groups that single separators join; usual grouping first, then the earliest, then the longest."""
+    found = []
+    for i in range(len(text)):
+        for j in range(i + 13, min(len(text), i + 37) + 1):
+            s = text[i:j]
+            before, after = text[i - 1] if i else " ", text[j] if j < len(text) else " "
+            if not re.fullmatch(r"[0-9]+(?:[ -][0-9]+)*", s) or before.isalnum() or before in "._" or after.isalnum() or after == "_":
+                continue
+            digits = re.sub(r"\D", "", s)
+            if 13 <= len(digits) <= 19 and len(set(digits)) > 1 and pii.luhn(digits):
+                sizes = " ".join(str(len(g)) for g in re.split("[ -]", s))
+                found.append((not re.fullmatch(r"1[3-9]|4 4 4 4(?: [1-3])?|4 6 [45]|4 4 4 1", sizes), i, -j))
+    taken = []
+    for _, i, j in sorted(found):
+        if all(-j <= a or i >= b for a, b in taken):
+            taken.append((i, -j))
+    return sorted(taken)
+
+
+def test_cards_are_those_of_all_substrings():
+    rng = random.Random(13)
+    bits = [CARD, "4111111111111111", "3782 822463 10005", "12/25", "123", "7", " ", " ", "-", "a", ".", "4111 1111 1111 1112"]
+    seen = 0
+    for _ in range(500):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(2, 8)))
+        got = [(s, e) for s, e, k, _ in pii.spans(text, 0.0) if k == "card"]
+        if not any(k in ("email", "iban") for _, _, k, _ in pii.spans(text, 0.0)):
+            assert got == brute_cards(text), text
+            seen += len(got)
+    assert seen > 100
+
+
+@pytest.mark.parametrize(("local", "domain", "found"), [(64, 20, True), (65, 20, False), (300, 20, False), (10, 63, True), (10, 64, False), (110, 63, False)])
+def test_long_addresses_are_whole_or_not_there(local, domain, found):
+    address = "a" * local + "@" + "d" * domain + ".example.org"
+    assert kinds(f"write {address} now") == ([("email", address)] if found else [])
+    many = "a@" + "bc." * 83 + "org"
+    assert kinds(many) == [("email", many)] and kinds("a@" + "bc." * 90 + "org") == []
+
+
 def test_personal_rows(frame):
     long = "nothing here 12 " * 60_000 + "me@example.com"
     found = rows(pii.find_personal_data(frame([(1, "ñ a@b.co"), (2, None), (3, ""), (None, "a@b.co"), (4, long), (1, "ñ a@b.co"), (5, "@@ 1@ @2")])))
