@@ -5,10 +5,13 @@ follows from its parts: H(a + b) = H(a) + r**len(a) * H(b). So texts are hashed
 hashes are combined; texts beyond ``huge_chars`` are cut up and hashed on several tasks. Texts of equal fingerprints
 are compared chunk by chunk, by an aggregation over the chunks that collapses equal ones before any shuffle.
 
+What moves: fingerprints, and the chunks of texts whose fingerprint is repeated. The ids of these texts, and later of the copies, are broadcast to where
+the texts are if they take at most frames.MAX_BROADCAST bytes, which is counted first; beyond that, texts are joined with them by a shuffle.
+
 Defined results. Null text: no fingerprint, never a copy. Empty texts are copies of one another. Rows with a null
-doc_id cannot be named: they are neither reported nor dropped. Rows that repeat doc_id and text count as one document,
+doc_id cannot be named: they are neither reported nor dropped. Ids are of any type that has an order. Rows that repeat doc_id and text count as one document,
 of which ``drop_copies`` keeps one row; rows that share only doc_id are different documents. Of equal texts the least
-doc_id stays. Other columns, whatever their names, pass through.
+doc_id stays. Texts of any length are read whole. No rows give no rows. Other columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside.llm import textbytes
-from kerbside.llm.frames import col, cut, fresh
+from kerbside.llm.frames import col, cut, fresh, ids_for_join
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 1540483477)
@@ -100,8 +103,16 @@ def _bytes(data: str, size: int):
 
 
 def _huge(docs: DataFrame, doc_id: str, text: str, huge_chars: int, primes, bases) -> DataFrame:
-    """Fingerprints of the texts beyond huge_chars; their pieces are spread over all tasks."""
+    """Fingerprints of the texts beyond huge_chars; their pieces are spread over all tasks, and each piece's is shifted to its place."""
     size = huge_chars
+
+    @F.arrow_udf("struct<a: bigint, b: bigint, n: bigint>")
+    def shifted(pieces: pa.Array, k: pa.Array) -> pa.Array:
+        a, b, n = fingerprints(pieces, primes, bases)
+        at = k.to_numpy(zero_copy_only=False).astype(np.int64) * size
+        a, b = a * _power(bases[0], at, primes[0]) % primes[0], b * _power(bases[1], at, primes[1]) % primes[1]
+        return pa.StructArray.from_arrays([pa.array(a), pa.array(b), pa.array(n)], ["a", "b", "n"])
+
     pieces = (
         docs.select(col(docs, doc_id).alias("doc_id"), col(docs, text).alias("text"))
         .where(F.length("text") > huge_chars)
@@ -109,18 +120,10 @@ def _huge(docs: DataFrame, doc_id: str, text: str, huge_chars: int, primes, base
         .select("doc_id", "row", F.col("text").cast("binary").alias("data"), F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("text") - 1) / size).cast("int"))).alias("k"))
         .select("doc_id", "row", "k", _bytes("data", size).alias("piece"))
         .repartition("row", "k")
-        .select("doc_id", "row", "k", fingerprint_column(F.col("piece"), primes, bases).alias("f"))
-    )
-
-    @F.udf("struct<a: bigint, b: bigint, n: bigint>")
-    def joined(parts):
-        return combine([tuple(p["f"]) for p in parts], primes, bases)
-
-    return (
-        pieces.groupBy("doc_id", "row")
-        .agg(F.sort_array(F.collect_list(F.struct("k", "f"))).alias("parts"))
-        .select("doc_id", joined("parts").alias("f"))
+        .select("doc_id", "row", shifted("piece", "k").alias("f"))
     )
+    total = F.struct((F.sum("f.a") % primes[0]).alias("a"), (F.sum("f.b") % primes[1]).alias("b"), F.sum("f.n").alias("n"))
+    return pieces.groupBy("doc_id", "row").agg(total.alias("f")).select("doc_id", "f")
 
 
 def fingerprint_table(docs: DataFrame, doc_id="doc_id", text="text", huge_chars=HUGE_CHARS, primes=PRIMES, bases=BASES) -> DataFrame:
@@ -143,7 +146,7 @@ def _classes(docs: DataFrame, prints: DataFrame, doc_id: str, text: str, primes,
     # Only texts whose fingerprint several rows share are looked at again.
     again = docs.select(col(docs, doc_id).alias("doc_id"), col(docs, text).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     keyed = (
-        again.join(members.select("doc_id").distinct(), "doc_id", "left_semi")
+        again.join(ids_for_join(members.select("doc_id").distinct(), "doc_id"), "doc_id", "left_semi")
         .withColumn("f", fingerprint_column(F.col("text"), primes, bases))
         .select("doc_id", "text", "f.a", "f.b", "f.n")
     )
@@ -169,17 +172,18 @@ def exact_copies(docs: DataFrame, doc_id="doc_id", text="text", huge_chars=HUGE_
 def drop_copies(docs: DataFrame, doc_id="doc_id", text="text", huge_chars=HUGE_CHARS, primes=PRIMES, bases=BASES) -> DataFrame:
     """docs with one row for each text; see above for nulls."""
     prints = fingerprint_table(docs, doc_id, text, huge_chars, primes, bases)
-    gone = _classes(docs, prints, doc_id, text, primes, bases).where("doc_id <> duplicate_of")
+    gone = cut(_classes(docs, prints, doc_id, text, primes, bases).where("doc_id <> duplicate_of"))
     i, t = col(docs, doc_id), col(docs, text)
     out, many, its, print_, number = fresh(docs, "_gone", "_several", "_f", "_print", "_number")
-    gone_ids = gone.select(F.col("doc_id").alias(out))
+    gone_ids = ids_for_join(gone.select(F.col("doc_id").alias(out)), out)
     several = cut(prints.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc_id").alias(many)))
+    told = ids_for_join(several, many)
     if several.isEmpty():
         return docs.join(gone_ids, i == F.col(out), "left_anti")
     # Rows of a doc_id that occurs once go by it alone; the others are told apart by their text.
     gone_texts = gone.select(F.col("doc_id").alias(out), F.struct("a", "b", "n").alias(its))
-    single = docs.join(several, i == F.col(many), "left_anti").join(gone_ids, i == F.col(out), "left_anti")
-    repeated = docs.where(t.isNotNull()).join(several, i == F.col(many), "left_semi")
+    single = docs.join(told, i == F.col(many), "left_anti").join(gone_ids, i == F.col(out), "left_anti")
+    repeated = docs.where(t.isNotNull()).join(told, i == F.col(many), "left_semi")
     repeated = (
         repeated.withColumn(print_, fingerprint_column(col(repeated, text), primes, bases))
         .join(gone_texts, (F.col(f"`{doc_id}`") == F.col(out)) & (F.col(print_) == F.col(its)), "left_anti")
@@ -187,5 +191,5 @@ def drop_copies(docs: DataFrame, doc_id="doc_id", text="text", huge_chars=HUGE_C
         .where(F.col(number) == 1)
         .drop(print_, number)
     )
-    untold = docs.where(t.isNull()).join(several, i == F.col(many), "left_semi")
+    untold = docs.where(t.isNull()).join(told, i == F.col(many), "left_semi")
     return single.unionByName(repeated).unionByName(untold)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from kerbside.session import checkpoint_dir, cut, ship
 
-__all__ = ["checkpoint_dir", "col", "cut", "fresh", "ranked", "ship", "table"]
+__all__ = ["checkpoint_dir", "col", "cut", "fresh", "ids_for_join", "ranked", "ship", "table"]
+
+MAX_BROADCAST = 1 << 25
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -33,6 +35,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ids_for_join(df: DataFrame, name: str) -> DataFrame:
+    """A table of ids, for a join with texts: broadcast if it takes at most MAX_BROADCAST bytes, which is counted, else joined by a shuffle."""
+    size = df.agg(F.sum(F.octet_length(F.col(f"`{name}`").cast("string")) + 24)).first()[0] or 0
+    return F.broadcast(df) if size <= MAX_BROADCAST else df
+
+
 def ranked(rows: DataFrame, group: str, order: list[str], per_bucket: int, widest: int) -> DataFrame:
     """rows (group, buckets, c, order's columns, ...), each c equal rows, with the rank from 0 of the first of them in its group.
 

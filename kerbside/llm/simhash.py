@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kerbside.llm import textbytes
-from kerbside.llm.frames import col, cut, fresh
+from kerbside.llm.frames import col, cut, fresh, ids_for_join
 
 BITS = 256
 BUDGET = 31
@@ -374,14 +374,14 @@ def near_copies(docs: DataFrame, doc_id="doc_id", text="text", node_rows=NODE_RO
 
 def drop_near_copies(docs: DataFrame, doc_id="doc_id", text="text", node_rows=NODE_ROWS) -> DataFrame:
     """docs with one row of each group of near copies; see above for nulls."""
-    found = cut(_groups(docs, doc_id, text, node_rows).withColumn("root", F.coalesce("root", "doc_id")))
-    i = col(docs, doc_id)
+    found, i = _groups(docs, doc_id, text, node_rows), col(docs, doc_id)
     code, number, out, its, kept_code = fresh(docs, "_code", "_number", "_gone", "_id", "_kept")
     named = docs.where(i.isNotNull()).groupBy(i.alias("id")).agg(F.count("*").alias("c")).where("c > 1")
     if named.isEmpty():
-        return docs.join(found.where("doc_id <> root").select(F.col("doc_id").alias(out)), i == F.col(out), "left_anti")
+        gone = cut(found.where("doc_id <> root").select(F.col("doc_id").alias(out)))
+        return docs.join(ids_for_join(gone, out), i == F.col(out), "left_anti")
     # Several rows share a doc_id: a group keeps one row of its least doc_id, that of the least signature.
-    stay = found.groupBy("root").agg(F.min(F.struct("doc_id", "code")).alias("k")).select(F.col("k.doc_id").alias(its), F.col("k.code").alias(kept_code))
+    stay = found.withColumn("root", F.coalesce("root", "doc_id")).groupBy("root").agg(F.min(F.struct("doc_id", "code")).alias("k")).select(F.col("k.doc_id").alias(its), F.col("k.code").alias(kept_code))
     signed = docs.withColumn(code, signature(F.lower(col(docs, text))))
     able = signed.where(F.col(code).isNotNull() & F.col(f"`{doc_id}`").isNotNull())
     kept = (
