@@ -268,7 +268,7 @@ def brute_personal(text, kind):
 @pytest.mark.parametrize("kind", ["email", "ip", "ssn"])
 def test_spans_are_those_of_all_substrings(kind):
     rng = random.Random(12)
-    bits = {"email": ["a", "b.c", "@", "x", ".", "-", "org", "co", " ", "_", "9", "d" * 61, "@e.fr", ".com"], "ip": ["1", "25", "255", "256", "0", "01", ".", ".", ".", " ", "a", "10.2.3.4"], "ssn": ["123", "45", "6789", "-", "-", " ", "000", "00", "0000", "666", "x", "912", "123-45-6789"]}[kind]
+    bits = {"email": ["a", "b.c", "@", "x", ".", "-", "org", "co", " ", "_", "9", "d" * 61, "@e.fr", ".com"], "ip": ["1", "25", "255", "256", "0", "01", ".", ".", ".", " ", "a", "10.2.3.4"], "ssn": ["123", "45", "6789", "-", "-", " ", "000", "00", "0000", "666", "x", "912", *["123-45-6789", " "] * 3]}[kind]
     base = dict(pii.KINDS)
     seen = 0
     for _ in range(600):
