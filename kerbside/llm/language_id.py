@@ -5,12 +5,12 @@ multinomial naive Bayes. Within a family of several languages each pair has a li
 descent on the square roots of the gram frequencies; the language with most votes wins, ties go to the larger sum of
 margins, then to the earlier code.
 
-The models are fitted on at most ``max_train_docs`` labelled documents, chosen by a hash of doc_id; each sends a vector
+The models are fitted on at most ``max_train_docs`` labelled documents, the same number of each language as far as it goes, chosen by a hash of doc_id and text; each sends a vector
 of fixed size to the driver. Scoring reads whole texts.
 
-Defined results. Null text and text without a letter have family and language null. Without labelled documents all have.
-Labels that are null are not learned; a language that no family lists is a family of its own. Repeated rows and null
-doc_ids are scored like any others. Other columns are ignored.
+Defined results. Null text and text without a letter have family and language null; texts of any length are read whole. Without labelled documents all have.
+Labels that are null are not learned, nor are rows of a null doc_id; a language that no family lists is a family of its own. Repeated rows and null
+doc_ids are scored like any others, repeated rows are learned once. Equally likely families: the first by name. No rows give no rows. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -135,15 +135,19 @@ def fit(counts: np.ndarray, labels: list[str], families: dict[str, str] = FAMILI
 def train(docs: DataFrame, doc_id="doc_id", text="text", lang="lang", families: dict[str, str] = FAMILIES, max_train_docs=MAX_TRAIN_DOCS) -> Model:
     """A model fitted on at most max_train_docs of the documents that have a language."""
     i, code = col(docs, doc_id), col(docs, lang)
-    told = docs.where(i.isNotNull() & code.isNotNull()).select(i.alias("_id")).distinct()
-    some = told.orderBy(F.xxhash64("_id"), "_id").limit(max_train_docs)
-    chosen = docs.where(code.isNotNull()).select(i.alias("_doc"), code.alias("_lang"), col(docs, text).alias("_text")).join(F.broadcast(some), F.col("_doc") == F.col("_id"))
+    keys = docs.where(i.isNotNull() & code.isNotNull()).select(code.alias("_lang"), F.xxhash64(i, col(docs, text)).alias("_h")).distinct()
+    languages_ = keys.select("_lang").distinct().count()
+    each = max(1, max_train_docs // max(1, languages_))
+    place = F.row_number().over(Window.partitionBy("_lang").orderBy("_h"))
+    some = keys.withColumn("_n", place).where(F.col("_n") <= each).orderBy("_n", "_h").limit(max_train_docs).select("_lang", "_h")
+    rows = docs.where(i.isNotNull() & code.isNotNull()).select(code.alias("_lang"), F.xxhash64(i, col(docs, text)).alias("_h"), col(docs, text).alias("_text"))
+    chosen = rows.join(F.broadcast(some), ["_lang", "_h"]).groupBy("_lang", "_h").agg(F.first("_text").alias("_text"))
 
     @F.arrow_udf(T.BinaryType())
     def counted(texts: pa.Array) -> pa.Array:
         return pa.array([row.tobytes() for at in range(0, len(texts), ROWS) for row in gram_counts(texts.slice(at, ROWS))], pa.binary())
 
-    rows = chosen.select(F.xxhash64("_doc", "_text").alias("h"), "_lang", counted("_text").alias("x")).limit(max_train_docs).collect()
+    rows = chosen.select(F.col("_h").alias("h"), "_lang", counted("_text").alias("x")).collect()
     rows = [(r["h"], r["_lang"], np.frombuffer(r["x"], np.float32)) for r in rows]
     rows = sorted(((h, c, x) for h, c, x in rows if x.any()), key=lambda r: r[:2])
     return fit(np.array([x for _, _, x in rows]), [c for _, c, _ in rows], families) if rows else Model()

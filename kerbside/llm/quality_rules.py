@@ -5,12 +5,12 @@ document. A chain of two states, boilerplate and content, is trained by maximum
 labelled good count as content, those of documents labelled bad as boilerplate unless good documents have the same line. Viterbi decoding gives each line the
 state of the best sequence. A document stays if at least ``MIN_SHARE`` of its bytes are in content lines.
 
-The model is fitted on at most ``max_train_docs`` labelled documents, chosen by a hash of doc_id; chains longer than
-CHAIN lines are cut for training only. Scoring reads every line of every text.
+The model is fitted on at most ``max_train_docs`` labelled documents, chosen by a hash of doc_id and text, whole chains each. Scoring reads every line of every text.
 
-Defined results. Null, empty and blank texts have no content: share 0, rejected. Without labelled documents of both
+Defined results. Null, empty and blank texts have no content: share 0, rejected; texts of any length are read whole. Without labelled documents of both
 kinds there is nothing to learn: every line counts as content. A doc_id with contradicting labels, or a null one, is
-not used for training. Repeated rows and null doc_ids are scored like any others. Other columns pass through.
+not used for training; ids are of any type. Repeated rows and null doc_ids are scored like any others, repeated rows are learned once. Where two sequences of states score the same, Viterbi takes
+boilerplate, from the last line on; a share that equals ``MIN_SHARE`` stays. No rows give no rows. Other columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
@@ -28,9 +28,8 @@ from kerbside.llm.frames import col, fresh
 
 MIN_SHARE = 0.5
 MAX_TRAIN_DOCS = 2000
-CHAIN = 32
 FEATURES = 14
-STEPS = 300
+STEPS = 200
 
 LOWER, UPPER, DIGIT, BLANK, MARK, SHOUT, PIPE, SYMBOL = range(8)
 _CLASS = np.full(256, SYMBOL, np.uint8)
@@ -132,42 +131,69 @@ class Chain:
         return states
 
 
+def _likelihood(theta: np.ndarray, x: np.ndarray, y: np.ndarray, heads: np.ndarray, lengths: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
+    """Minus the mean log-likelihood a line and its gradient, by forward-backward over all chains at once; heads go by falling length."""
+    n = x.shape[1]
+    w, a, p = theta[: 2 * n].reshape(2, n), theta[2 * n : -2].reshape(2, 2), theta[-2:]
+    s = x @ w.T
+    s[heads] += p
+    top = s.max(axis=1, keepdims=True)
+    e, steps = np.exp(s - top), np.exp(a)
+    forward, scale, backward = e.copy(), np.empty(len(x)), np.ones_like(e)
+    longest = lengths[0]
+    alive = np.searchsorted(-lengths, -np.arange(longest), "left")  # chains longer than t
+    for t in range(longest):
+        at = heads[: alive[t]] + t
+        if t:
+            forward[at] *= forward[at - 1] @ steps
+        scale[at] = forward[at].sum(axis=1)
+        forward[at] /= scale[at, None]
+    for t in range(longest - 1, 0, -1):
+        at = heads[: alive[t]] + t
+        backward[at - 1] = (e[at] * backward[at]) @ steps.T / scale[at, None]
+    marginal = forward * backward
+    marginal /= marginal.sum(axis=1, keepdims=True)
+    inner = np.ones(len(x), bool)
+    inner[heads] = False
+    now = np.flatnonzero(inner)
+    pair = forward[now - 1][:, :, None] * steps * (e[now] * backward[now] / scale[now, None])[:, None, :]
+    truth = np.eye(2)[y]
+    seen = np.einsum("ni,nj->ij", truth[now - 1], truth[now])
+    gradient = np.concatenate([((truth - marginal).T @ x).ravel(), (seen - pair.sum(axis=0)).ravel(), (truth - marginal)[heads].sum(axis=0)])
+    value = s[np.arange(len(x)), y].sum() + (seen * a).sum() - np.log(scale).sum() - top.sum()
+    return -value / len(x) + 0.5 * ridge * theta @ theta, -gradient / len(x) + ridge * theta
+
+
 def fit(chains: list[tuple[np.ndarray, np.ndarray]], steps: int = STEPS, ridge: float = 1e-5) -> Chain:
-    """Maximum likelihood for chains of (features, states), by accelerated gradient steps on forward-backward marginals."""
-    pieces = [(f[i : i + CHAIN], s[i : i + CHAIN]) for f, s in chains for i in range(0, len(f), CHAIN)]
-    pieces.sort(key=lambda p: -len(p[0]))
-    if not pieces or len({int(x) for _, s in pieces for x in (s.min(), s.max())}) < 2:
+    """Maximum likelihood for whole chains of (features, states), by BFGS: the likelihood is concave."""
+    chains = sorted((c for c in chains if len(c[0])), key=lambda c: -len(c[0]))
+    if len({int(v) for _, s in chains for v in (s.min(), s.max())}) < 2:
         return Chain(np.stack([np.zeros(FEATURES), np.eye(FEATURES)[0]]), np.zeros((2, 2)), np.zeros(2))
-    lengths = np.array([len(f) for f, _ in pieces])
-    n, longest = len(pieces), lengths[0]
-    x, y = np.zeros((n, longest, FEATURES)), np.zeros((n, longest), np.int64)
-    for k, (f, s) in enumerate(pieces):
-        x[k, : len(f)], y[k, : len(s)] = f, s
-    there = np.arange(longest) < lengths[:, None]
-    alive = there.sum(axis=0)
-    truth = np.eye(2)[y] * there[:, :, None]
-    seen_steps = np.einsum("nti,ntj->ij", truth[:, :-1], truth[:, 1:])
-    theta = np.zeros(2 * FEATURES + 6)
-    mean, square = np.zeros_like(theta), np.zeros_like(theta)
-    total = lengths.sum()
-    for k in range(1, steps + 1):
-        w, a, p = theta[: 2 * FEATURES].reshape(2, -1), theta[2 * FEATURES : -2].reshape(2, 2), theta[-2:]
-        s = x @ w.T
-        forward, backward = np.full((n, longest, 2), -np.inf), np.zeros((n, longest, 2))
-        forward[:, 0] = s[:, 0] + p
-        for t in range(1, longest):
-            m = alive[t]
-            forward[:m, t] = s[:m, t] + np.logaddexp.reduce(forward[:m, t - 1, :, None] + a, axis=1)
-        for t in range(longest - 2, -1, -1):
-            m = alive[t + 1]
-            backward[:m, t] = np.logaddexp.reduce(a + (s[:m, t + 1] + backward[:m, t + 1])[:, None, :], axis=2)
-        z = np.logaddexp.reduce(forward[np.arange(n), lengths - 1], axis=1)
-        marginal = np.where(there[:, :, None], np.exp(forward + backward - z[:, None, None]), 0)
-        pair = there[:, 1:, None, None] * np.exp(np.where(there[:, 1:, None, None], forward[:, :-1, :, None] + a + (s + backward)[:, 1:, None, :] - z[:, None, None, None], -np.inf))
-        gradient = np.concatenate([np.einsum("nts,ntf->sf", truth - marginal, x).ravel(), (seen_steps - pair.sum(axis=(0, 1))).ravel(), (truth - marginal)[:, 0].sum(axis=0)]) / total - ridge * theta
-        mean, square = 0.9 * mean + 0.1 * gradient, 0.99 * square + 0.01 * gradient**2
-        theta = theta + 0.2 * mean / (1 - 0.9**k) / (np.sqrt(square / (1 - 0.99**k)) + 1e-8)
-    return Chain(theta[: 2 * FEATURES].reshape(2, -1), theta[2 * FEATURES : -2].reshape(2, 2), theta[-2:])
+    lengths = np.array([len(f) for f, _ in chains])
+    heads = np.cumsum(lengths) - lengths
+    x, y = np.concatenate([f for f, _ in chains]), np.concatenate([s for _, s in chains])
+    theta = np.zeros(2 * x.shape[1] + 6)
+    inverse = np.eye(len(theta))
+    value, gradient = _likelihood(theta, x, y, heads, lengths, ridge)
+    for _ in range(steps):
+        way = -inverse @ gradient
+        size, slope = 1.0, gradient @ way
+        while True:
+            after, slope_after = _likelihood(theta + size * way, x, y, heads, lengths, ridge)
+            if after <= value + 1e-4 * size * slope or size < 1e-9:
+                break
+            size /= 2
+        moved, turned = size * way, slope_after - gradient
+        theta, gained = theta + moved, value - after
+        value, gradient = after, slope_after
+        if gained < 1e-9 or np.abs(gradient).max() < 1e-6:
+            break
+        curve = moved @ turned
+        if curve > 1e-12:
+            turn = np.eye(len(theta)) - np.outer(moved, turned) / curve
+            inverse = turn @ inverse @ turn.T + np.outer(moved, moved) / curve
+    n = x.shape[1]
+    return Chain(theta[: 2 * n].reshape(2, n), theta[2 * n : -2].reshape(2, 2), theta[-2:])
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", quality="quality", max_train_docs=MAX_TRAIN_DOCS) -> Chain:
@@ -175,7 +201,11 @@ def train(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", qual
     told = labels.select(col(labels, doc_id).alias("_id"), col(labels, quality).cast("int").alias("_good")).where("_id IS NOT NULL AND _good IN (0, 1)")
     told = told.groupBy("_id").agg(F.min("_good").alias("_good"), F.max("_good").alias("_most")).where("_good = _most").drop("_most")
     some = told.orderBy(F.xxhash64("_id"), "_id").limit(max_train_docs)
-    chosen = docs.select(col(docs, doc_id).alias("_doc"), col(docs, text).alias("_text")).join(F.broadcast(some), F.col("_doc") == F.col("_id"))
+    rows = docs.select(col(docs, doc_id).alias("_id"), col(docs, text).alias("_text")).join(F.broadcast(some), "_id")
+    rows = rows.select("_id", "_good", "_text", F.xxhash64("_id", "_text").alias("_h"))
+    # Ids may repeat: of their rows, so many again, each text once.
+    few = rows.select("_h", "_id").distinct().orderBy("_h", "_id").limit(max_train_docs).select("_h")
+    chosen = rows.join(F.broadcast(few.distinct()), "_h").groupBy("_h", "_id", "_good").agg(F.first("_text").alias("_text")).select("_text", "_good", "_h")
 
     def lines(batches):
         for batch in batches:
@@ -183,11 +213,11 @@ def train(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", qual
             for row, data, offsets in textbytes.slices(texts):
                 rows, _, features, hashes = line_features(data, offsets)
                 for k in np.unique(rows):
-                    yield pa.RecordBatch.from_pylist([{"id": int(ids[row + k]), "good": int(good[row + k]), "x": features[rows == k].ravel().tolist(), "h": hashes[rows == k].astype(np.int64).tolist()}], schema)
+                    yield pa.RecordBatch.from_pylist([{"h": int(ids[row + k]), "good": int(good[row + k]), "x": features[rows == k].ravel().tolist(), "lines": hashes[rows == k].astype(np.int64).tolist()}], schema)
 
-    schema = pa.schema([("id", pa.int64()), ("good", pa.int32()), ("x", pa.list_(pa.float64())), ("h", pa.list_(pa.int64()))])
-    found = chosen.select("_text", "_good", F.col("_id").cast("bigint")).mapInArrow(lines, "id bigint, good int, x array<double>, h array<bigint>").collect()
-    found = sorted((r["id"], r["good"], r["x"], r["h"]) for r in found)
+    schema = pa.schema([("h", pa.int64()), ("good", pa.int32()), ("x", pa.list_(pa.float64())), ("lines", pa.list_(pa.int64()))])
+    found = chosen.mapInArrow(lines, "h bigint, good int, x array<double>, lines array<bigint>").collect()
+    found = sorted((r["h"], r["good"], r["x"], r["lines"]) for r in found)
     shared = {h for _, good, _, hashes in found if good for h in hashes}
     return fit([(np.reshape(x, (-1, FEATURES)), np.array([good or h in shared for h in hashes], np.int64)) for _, good, x, hashes in found])
 

@@ -3,13 +3,16 @@
 import itertools
 import math
 import re
+import time
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kerbside.llm import language_id, quality_rules, url_filter
+from kerbside.llm import language_id, quality_rules, textbytes, url_filter
+from kerbside.session import ship
 
 from .conftest import rows
 
@@ -52,6 +55,83 @@ def test_fit_finds_the_maximum():
         assert likelihood(moved) <= best + 1e-3
 
 
+def test_gradient_is_that_of_all_sequences():
+    """Value and gradient against sums over all sequences of states."""
+    rng = np.random.default_rng(5)
+    lengths = np.array([5, 3, 3, 1])
+    heads = np.cumsum(lengths) - lengths
+    x, y = rng.normal(size=(12, 3)), rng.integers(0, 2, 12)
+    theta = rng.normal(size=12)
+
+    def brute(theta):
+        w, a, p = theta[:6].reshape(2, 3), theta[6:10].reshape(2, 2), theta[10:]
+        total = 0.0
+        for h, n in zip(heads, lengths):
+            score = lambda z: p[z[0]] + sum(x[h + t] @ w[z[t]] for t in range(n)) + sum(a[i, j] for i, j in itertools.pairwise(z))  # noqa: B023, E731
+            total += score(y[h : h + n]) - np.logaddexp.reduce([score(z) for z in itertools.product((0, 1), repeat=n)])
+        return -total / 12 + 0.05 * theta @ theta
+
+    value, gradient = quality_rules._likelihood(theta, x, y, heads, lengths, 0.1)
+    assert value == pytest.approx(brute(theta))
+    for k in range(12):
+        step = np.eye(12)[k] * 1e-6
+        assert gradient[k] == pytest.approx((brute(theta + step) - brute(theta - step)) / 2e-6, abs=1e-5)
+
+
+def test_ties_are_boilerplate():
+    chain = quality_rules.Chain(np.zeros((2, 3)), np.zeros((2, 2)), np.zeros(2))
+    assert chain.decode(np.repeat([0, 1], [4, 1]), np.ones((5, 3))).tolist() == [0] * 5
+
+
+def test_lines_of_known_kind(spark):
+    """Documents of prose with boilerplate lines in known places, and documents of boilerplate alone: the lines themselves are told apart."""
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(rng.choice(list("abcdefghijklm"), rng.integers(2, 9)))
+    prose = lambda: " ".join(word() for _ in range(rng.integers(8, 20))).capitalize() + "."
+    junk = lambda: rng.choice(["BUY NOW!!! $$$", "| | | | |", "### *** $$$ !!!", "CLICK! CLICK! CLICK!"]) + " " + str(rng.integers(10**6))
+    docs, labels, truth = [], [], {}
+    for i in range(300):
+        kind = i % 3  # prose, junk, prose with junk at both ends
+        told = [1] * 6 if kind == 0 else [0] * 6 if kind == 1 else [0, 0, *[1] * 8, 0]
+        docs.append((i, "\n".join(prose() if t else junk() for t in told)))
+        truth[i] = told
+        if kind < 2:
+            labels.append((i, 1 - kind))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    ship(spark)
+    chain = quality_rules.train(df, spark.createDataFrame(labels, "doc_id bigint, quality int"))
+    right = total = 0
+    for i, text in docs:
+        if i % 3 == 2:  # never seen, and not labelled
+            for _, data, offsets in textbytes.slices(pa.array([text])):
+                rows_, _, x, _ = quality_rules.line_features(data, offsets)
+                right += int((chain.decode(rows_, x) == truth[i]).sum())
+                total += len(truth[i])
+    assert right / total > 0.95
+
+
+def test_long_chains_are_learned_whole():
+    rng = np.random.default_rng(3)
+    x = np.zeros((4000, quality_rules.FEATURES))
+    x[:, 0], x[:, 1] = 1, rng.normal(size=4000)
+    y = (np.arange(4000) // 200 % 2).astype(np.int64)
+    began = time.time()
+    chain = quality_rules.fit([(x, y), (x[:50], y[:50])])
+    assert chain.steps[0, 0] + chain.steps[1, 1] - chain.steps[0, 1] - chain.steps[1, 0] > 6 and time.time() - began < 30
+
+
+def test_training_takes_any_ids_and_partitions(frame, spark):
+    good, bad = "A plain line of prose, with an end.\nAnother line of it.", "BUY NOW!!! $$$ | | |\n### *** $$$ !!! BUY NOW!!!"
+    data = [(i % 30, f"{good}\nAnd {i} more of it." if i % 2 else f"{bad} {i}") for i in range(120)] * 2
+    df = frame(data).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    labels = spark.createDataFrame([(f"d{i}", i % 2) for i in range(30)], "doc_id string, quality int")
+    chains = [quality_rules.train(d, labels, max_train_docs=20) for d in (df, df.repartition(7), df.coalesce(1))]
+    assert all(np.array_equal(chains[0].weights, c.weights) for c in chains)
+    assert {r[0] for r in quality_rules.good_documents(df, chains[0]).collect()} == {f"d{i}" for i in range(1, 30, 2)}
+    models = [language_id.train(d.withColumn("lang", F.when(F.col("doc_id").endswith("1"), "de").otherwise("en")), max_train_docs=12) for d in (df, df.repartition(7))]
+    assert np.array_equal(models[0].likelihood, models[1].likelihood) and all(np.array_equal(models[0].pairs[p], models[1].pairs[p]) for p in models[0].pairs)
+
+
 def test_quality_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -105,6 +185,42 @@ def test_gram_counts_are_those_of_plain_code():
     assert language_id.gram_counts(pa.array([text, "..."])).sum(axis=1).tolist() == [len(grams), 0]
 
 
+def test_predictions_are_those_of_plain_code():
+    """Family by the likelihoods, language by the votes of the pairs, ties by margins, one text and one pair at a time."""
+    rng = np.random.default_rng(6)
+    codes = ["de", "en", "nl", "es", "fr", "xx"]
+    truth = rng.dirichlet(np.full(language_id.BUCKETS, 0.02), 6)
+    counts = np.concatenate([rng.multinomial(80, p, 12) for p in truth]).astype(np.float32)
+    model = language_id.fit(counts, [c for c in codes for _ in range(12)])
+    test = np.concatenate([rng.multinomial(15, p, 30) for p in 0.5 * truth + 0.5 * truth[::-1]] + [np.zeros((1, language_id.BUCKETS))]).astype(np.float32)
+    want = []
+    for row in test:
+        if not row.sum():
+            want.append((None, None))
+            continue
+        scores = [sum(n * w for n, w in zip(row[row > 0], likelihood[row > 0])) for likelihood in model.likelihood]
+        family = model.families[int(np.argmax(scores))]
+        votes, margins = Counter(), Counter()
+        x = np.sqrt(row / row.sum())
+        for a, b in itertools.combinations(model.languages[family], 2):
+            w = model.pairs[a, b]
+            m = float(x @ w[:-1] + w[-1])
+            votes[a if m > 0 else b] += 1
+            margins[a] += m
+            margins[b] -= m
+        want.append((family, max(model.languages[family], key=lambda c: (votes[c], margins[c]))))
+    assert model.predict(test) == want and len({c for _, c in want}) == 7
+
+
+def test_rare_languages_have_their_part_of_the_sample(frame):
+    data = [(i, f"ich und du und das {i}") for i in range(5)] + [(100 + i, f"this and that and those {i}") for i in range(400)]
+    docs = frame(data).withColumn("lang", F.when(F.col("doc_id") < 5, "de").otherwise("en"))
+    model = language_id.train(docs, max_train_docs=20)
+    assert model.languages == {"germanic": ["de", "en"]}
+    found = language_id.languages(docs, model).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert all(r["language"] == r["lang"] for r in found)
+
+
 def test_language_odd_rows(frame, spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.train(docs)
