@@ -90,20 +90,49 @@ def line_distance(lat: Column, lon: Column, parts: Sequence[Sequence[Point]], un
     return F.when(lat.isNotNull() & lon.isNotNull(), F.struct(best["distance"].alias("distance"), best["along"].alias("along")))
 
 
+def _parts(ring: Sequence[Point], x0: float, y0: float) -> tuple[float, float, float]:
+    """Twice a ring's signed area, and six times its area's moments about (x0, y0)."""
+    area = mx = my = 0.0
+    for (x1, y1), (x2, y2) in zip(ring, [*ring[1:], ring[0]], strict=True):
+        cross = (x1 - x0) * (y2 - y0) - (x2 - x0) * (y1 - y0)
+        area += cross
+        mx += (x1 + x2 - 2 * x0) * cross
+        my += (y1 + y2 - 2 * y0) * cross
+    return area, mx, my
+
+
+def _holds(ring: Sequence[Point], point: Point) -> bool | None:
+    """Whether a point lies within a ring; None on its edges."""
+    x, y = point
+    inside = False
+    for (x1, y1), (x2, y2) in zip(ring, [*ring[1:], ring[0]], strict=True):
+        cross = (x - x1) * (y2 - y1) - (y - y1) * (x2 - x1)
+        if cross == 0 and min(x1, x2) <= x <= max(x1, x2) and min(y1, y2) <= y <= max(y1, y2):
+            return None
+        if (y1 > y) != (y2 > y) and (cross < 0) == (y2 > y1):
+            inside = not inside
+    return inside
+
+
+def _depth(k: int, rings: Sequence[Sequence[Point]]) -> int:
+    """How many other rings a ring lies in: even for a shell, odd for a hole."""
+    ring = rings[k]
+    probes = [*ring, *(((x1 + x2) / 2, (y1 + y2) / 2) for (x1, y1), (x2, y2) in zip(ring, [*ring[1:], ring[0]], strict=True))]
+    return sum(next((told for p in probes if (told := _holds(other, p)) is not None), False) for j, other in enumerate(rings) if j != k)
+
+
 def centroid(rings: Sequence[Sequence[Point]]) -> Point:
-    """The planar area centroid of rings; inner rings run against the outer ones and count as holes. Without area, the mean."""
-    area = cx = cy = 0.0
+    """The planar area centroid of rings, however each is wound: a ring within an odd number of others is a hole. Without area, the mean."""
+    area = mx = my = 0.0
     x0, y0 = rings[0][0]
-    for ring in rings:
-        for (x1, y1), (x2, y2) in zip(ring, [*ring[1:], ring[0]], strict=True):
-            cross = (x1 - x0) * (y2 - y0) - (x2 - x0) * (y1 - y0)
-            area += cross
-            cx += (x1 + x2 - 2 * x0) * cross
-            cy += (y1 + y2 - 2 * y0) * cross
+    for k, ring in enumerate(rings):
+        a, x, y = _parts(ring, x0, y0)
+        sign = (1 if a > 0 else -1) * (-1 if _depth(k, rings) % 2 else 1)
+        area, mx, my = area + sign * a, mx + sign * x, my + sign * y
     if not area:
         flat = [p for r in rings for p in r]
         return sum(x for x, _ in flat) / len(flat), sum(y for _, y in flat) / len(flat)
-    return x0 + cx / (3 * area), y0 + cy / (3 * area)
+    return x0 + mx / (3 * area), y0 + my / (3 * area)
 
 
 def _edges(rings: Sequence[Sequence[Point]]) -> list[tuple[float, float, float, float]]:

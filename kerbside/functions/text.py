@@ -22,7 +22,11 @@ def unfenced(text: Column) -> Column:
 def json_answer(text: Column) -> Column:
     """struct<parsed, parse_error>: the answer as VARIANT; an answer with a member named error is one, too. Null text is an error."""
     parsed = F.try_parse_json(unfenced(text))
-    return F.struct(parsed.alias("parsed"), (parsed.isNull() | F.schema_of_variant(parsed).rlike(r"^OBJECT<(.*, )?error: ")).alias("parse_error"))
+    return F.struct(parsed.alias("parsed"), _bad(parsed).alias("parse_error"))
+
+
+def _bad(parsed: Column) -> Column:
+    return parsed.isNull() | F.try_variant_get(parsed, "$.error", "variant").isNotNull()
 
 
 def _field(v: Column, path: str, default: str) -> Column:
@@ -32,14 +36,24 @@ def _field(v: Column, path: str, default: str) -> Column:
     return F.when(found.isNotNull() | F.coalesce(null, F.lit(False)), found).otherwise(F.lit(default))
 
 
-def scene_fields(text: Column) -> dict[str, Column]:
-    """The description columns of a model's answer: name -> expression. Wrong types and malformed answers get the defaults."""
-    answer = json_answer(text)
-    v, bad = answer["parsed"], answer["parse_error"]
+SCENE_FIELDS = ("raw_response", "parsed_json", "parse_error", "scene_narrative", "semantic_tags", "land_use_primary", "street_type", "place_character", "usable")
+
+
+def with_scene_fields(df: DataFrame, text: str) -> DataFrame:
+    """df with SCENE_FIELDS, the description columns of a model's answer. Wrong types and malformed answers get the defaults.
+
+    The answer is stripped and parsed once, in a projection of its own below that of the fields.
+    """
+    parsed, error = "_scene_parsed", "_scene_error"
+    answer = F.col(f"`{text}`")
+    told = df.withColumn(parsed, F.try_parse_json(unfenced(answer)))
+    v = F.col(parsed)
+    told = told.withColumn(error, _bad(v))
+    bad = F.col(error)
     tags = F.try_variant_get(v, "$.semantic_tags", "array<string>")
     usable = F.coalesce(F.try_variant_get(v, "$.image_quality.usable_for_analysis", "boolean"), F.lit(True))
-    return {
-        "raw_response": text,
+    fields = {
+        "raw_response": answer,
         "parsed_json": F.when(~bad, F.to_json(v)),
         "parse_error": bad,
         "scene_narrative": F.when(bad, "").otherwise(_field(v, "$.scene_narrative", "")),
@@ -49,6 +63,7 @@ def scene_fields(text: Column) -> dict[str, Column]:
         "place_character": F.when(bad, "error").otherwise(_field(v, "$.place_character.dominant_activity", "unknown")),
         "usable": F.when(bad, False).otherwise(usable),
     }
+    return told.withColumns(fields).drop(parsed, error)
 
 
 def parse_description(text: Column, target_field: str | None = "target_field") -> Column:
