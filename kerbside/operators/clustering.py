@@ -152,8 +152,3 @@ def elbow(ks: Sequence[int], costs: Sequence[float]) -> int:
         return ks[-1]
     bends = [costs[i - 1] - 2 * costs[i] + costs[i + 1] for i in range(1, len(ks) - 1)]
     return ks[1 + max(range(len(bends)), key=lambda i: (bends[i], -i))]
-
-
-def with_row_totals(df: DataFrame, cluster: str = "cluster") -> DataFrame:
-    """df with the size of each row's cluster."""
-    return df.withColumn("cluster_size", F.count("*").over(Window.partitionBy(cluster)))

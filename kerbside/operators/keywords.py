@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import math
+import re
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kerbside.session import cut, ship
+
 MAX_FEATURES = 1000
 MIN_DOCS = 3
 
@@ -16,11 +22,20 @@ ENGLISH = frozenset(
     nor not now of off on once only or other our ours out over own same she should so some such than that the their theirs them then there these they
     this those through to too under until up us very was we were what when where which while who whom why will with would you your yours""".split()
 )
-#: Words that nearly every street description has, and which therefore tell clusters apart badly.
+#: Words that descriptions of streets have whatever the street: of pictures, places in them, colours, sizes, and an answer's own members.
 STREET_SCENE = frozenset(
-    """area background building buildings car cars center clear day daytime foreground image left near photo photograph picture road right scene shot sides
-    side sidewalk sky street streets structure structures view visible various several appears seems located surrounding surroundings""".split()
+    """about across adjacent ahead alongside ambient angle appear appears area attributes background bearing beige beyond black block blue bottom bright
+    brown building buildings camera captured car cars center central clear clearly cloudy color colour common corner count cream dark day daytime depict
+    depicted depicts direction display distance distant district element elements end facing false far feature featuring foreground frame front general
+    gray green grey high image including large left light line located long looking low middle multiple narrow nearby next number occluded old one orange
+    overall part partially partly path pavement photo photograph picture pink place position present red right road row scene section seen setting several
+    short shot showing shown shows side sides sidewalk similar single size sky small space standing street streets streetview structure structures surface
+    surrounding surroundings taken tall three top toward towards true two type typical unknown upper urban various vehicle vehicles view viewed visible
+    way white wide within yellow""".split()
 )
+#: What a task counts before it hands its counts on, and how many terms in all go to every task.
+FLUSH_TERMS = 1 << 20
+BROADCAST_TERMS = 1 << 21
 
 
 def tokens(text: Column) -> Column:
@@ -47,23 +62,102 @@ def extract_keywords(df: DataFrame, n_keywords: int = 10, stop_words: Iterable[s
     also those without any term. Ties of the rounded score go to the later term. Rows without a cluster or an id do not
     count; a null text has no terms. Clusters with too few documents give no rows.
     """
+    ship(df.sparkSession)
+    stop = frozenset(stop_words)
     docs = df.select(F.col(cluster).alias("cluster"), F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("cluster IS NOT NULL AND id IS NOT NULL")
     sizes = docs.groupBy("cluster").agg(F.count("*").alias("docs"))
-    counts = docs.select("cluster", "id", F.explode(terms(F.col("text"), stop_words, bigrams)).alias("term")).groupBy("cluster", "id", "term").agg(F.count("*").alias("tf"))
-    vocabulary = counts.groupBy("cluster", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).join(sizes, "cluster")
+    kind = docs.schema["cluster"].dataType.simpleString()
+    counts = docs.select("cluster", "text").mapInArrow(_counter(stop, bigrams), f"cluster {kind}, term string, df bigint, total bigint")
+    vocabulary = counts.groupBy("cluster", "term").agg(F.sum("df").alias("df"), F.sum("total").alias("total")).join(sizes, "cluster")
     vocabulary = vocabulary.where(F.col("df") >= F.greatest(F.lit(min_docs), F.floor(F.col("docs") / 50)))
     # row_number() <= max_features is a limit for each group: every task keeps no more rows than that before the shuffle.
     top = Window.partitionBy("cluster").orderBy(F.desc("total"), "term")
     features = vocabulary.withColumn("r", F.row_number().over(top)).where(F.col("r") <= max_features)
     idf = F.log((F.col("docs") + 1.0) / (F.col("df") + 1.0)) + 1.0
-    features = features.select("cluster", "term", "docs", idf.alias("idf"))
-    weighed = counts.join(features, ["cluster", "term"]).withColumn("w", F.col("tf") * F.col("idf"))
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("cluster", "id")))
-    scores = weighed.withColumn("w", F.col("w") / length).groupBy("cluster", "term").agg((F.sum("w") / F.first("docs")).alias("score"))
+    features = cut(features.select("cluster", "term", "docs", idf.alias("idf")))
+    if features.count() <= BROADCAST_TERMS:
+        weights: dict = {}
+        for r in features.collect():
+            weights.setdefault(r["cluster"], {})[r["term"]] = r["idf"]
+        sums = docs.select("cluster", "text").mapInArrow(_weigher(stop, bigrams, weights), f"cluster {kind}, term string, w double")
+    else:
+        sums = _weighed_by_join(docs, features, stop, bigrams)
+    scores = sums.groupBy("cluster", "term").agg(F.sum("w").alias("w")).join(sizes, "cluster").withColumn("score", F.col("w") / F.col("docs"))
     best = Window.partitionBy("cluster").orderBy(F.desc(F.round("score", 10)), F.desc("term"))
     return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n_keywords).select("cluster", "rank", "term", "score")
 
 
+_WORD = re.compile(r"\b\w\w+\b")
+
+
+def _read(text: str, stop: frozenset, bigrams: bool) -> Counter:
+    words = [w for w in _WORD.findall(text.lower()) if w not in stop]
+    found = Counter(words)
+    if bigrams:
+        found.update(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))
+    return found
+
+
+def _counter(stop: frozenset, bigrams: bool):
+    """Counts of documents and of occurrences of each cluster's terms; a task's counts are added up before they leave it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        size, kind = 0, pa.null()
+
+        def flush() -> pa.RecordBatch:
+            rows = [(c, t, d, totals[t]) for c, (docs, totals) in held.items() for t, d in docs.items()]
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())], ["cluster", "term", "df", "total"])
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for cluster, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = _read(text, stop, bigrams)
+                docs, totals = held.setdefault(cluster, (Counter(), Counter()))
+                size -= len(docs)
+                docs.update(found.keys())
+                totals.update(found)
+                size += len(docs)
+            if size > FLUSH_TERMS:
+                yield flush()
+                held, size = {}, 0
+        yield flush()
+
+    return run
+
+
+def _weigher(stop: frozenset, bigrams: bool, weights: dict):
+    """Sums of each cluster's weights of terms, each document's scaled to length 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        kind = pa.null()
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for cluster, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                idf = weights.get(cluster)
+                if idf:
+                    mine = [(t, n * idf[t]) for t, n in _read(text, stop, bigrams).items() if t in idf]
+                    length = math.sqrt(sum(w * w for _, w in mine))
+                    into = sums.setdefault(cluster, {})
+                    for t, w in mine:
+                        into[t] = into.get(t, 0.0) + w / length
+        rows = [(c, t, w) for c, terms_ in sums.items() for t, w in terms_.items()]
+        columns = list(zip(*rows, strict=True)) or [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], kind), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.float64())], ["cluster", "term", "w"])
+
+    return run
+
+
+def _weighed_by_join(docs: DataFrame, features: DataFrame, stop: frozenset, bigrams: bool) -> DataFrame:
+    """The same weights, not yet summed, where there are so many clusters that their terms don't fit in a task."""
+    counts = docs.select("cluster", "id", F.explode(terms(F.col("text"), stop, bigrams)).alias("term")).groupBy("cluster", "id", "term").agg(F.count("*").alias("tf"))
+    weighed = counts.join(features, ["cluster", "term"]).withColumn("w", F.col("tf") * F.col("idf"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("cluster", "id")))
+    return weighed.select("cluster", "term", (F.col("w") / length).alias("w"))
+
+
 def keywords_by_cluster(found: DataFrame) -> dict[object, list[str]]:
     """extract_keywords' rows as lists, for a report."""
     out: dict[object, list[str]] = {}

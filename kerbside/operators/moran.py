@@ -13,7 +13,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbside.functions.text import stars
 from kerbside.operators.neighbours import nearest_neighbours
 from kerbside.session import cut
 
@@ -168,7 +167,3 @@ def moran_permutations(points: DataFrame, column: str = "cluster", permutations:
     counted = values.where("round > 0").join(real, "label").groupBy("label").agg(F.first("real").alias("i"), F.count_if(F.col("i") >= F.col("real")).alias("larger"))
     fold = F.least(F.col("larger"), F.lit(permutations) - F.col("larger"))
     return counted.select("label", "i", "larger", ((fold + 1.0) / F.lit(permutations + 1.0)).alias("p_value"))
-
-
-def with_stars(found: DataFrame) -> DataFrame:
-    return found.withColumn("stars", stars(F.col("p_value")))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from kerbside.session import cut
 
-CELL_POINTS = 32
+CELL_POINTS = 64
 LEVELS = 30
 
 
@@ -40,7 +40,11 @@ def nearest_neighbours(points: DataFrame, k: int = 8, id_col: str = "id", x: str
     by = candidates.select(at, "x", "y").withColumn("size", F.lit(side) / F.pow(F.lit(2.0), F.col("level")))
     most = by.groupBy("level", cell("x", x0, F.col("size")).alias("cx"), cell("y", y0, F.col("size")).alias("cy")).count().groupBy("level").agg(F.max("count")).collect()
     most = dict((r[0], r[1]) for r in most)
-    level = next((v for v in levels if most[v] <= max(CELL_POINTS, 2 * k)), levels[-1])
+    full = max(CELL_POINTS, 2 * k)
+    level = next((v for v in levels if most[v] <= full), levels[-1])
+    room = most[level]
+    while level > 0 and room * 4 <= full:  # a level up, a cell has the points of four at most
+        level, room = level - 1, room * 4
 
     settled, open_ = [], p
     ring = F.explode(F.array(*(F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a in (-1, 0, 1) for b in (-1, 0, 1)))).alias("d")
@@ -73,6 +77,6 @@ def nearest_neighbours(points: DataFrame, k: int = 8, id_col: str = "id", x: str
     edges = settled[0]
     for more in settled[1:]:
         edges = edges.unionByName(more)
-    return edges.withColumn("w", F.lit(1.0) / F.count("*").over(Window.partitionBy("id")))
+    return edges.withColumn("w", F.lit(1.0 / max(1, min(k, n - 1))))  # everyone has that many
 
 

@@ -1,6 +1,7 @@
 """A vector store: versions of a Parquet table of (id, embedding, metadata, document, cell), and exact or cell-probing search.
 
-Every change writes a new version and then moves the manifest to it, so readers see one version or the other. With
+Every change writes a new version and then moves the manifest to it, so readers see one version or the other. The last
+KEEP_VERSIONS stay, so that a DataFrame from before a change can still be read; ``vacuum`` deletes the others, after each change and on demand. With
 ``index_type="ivf"`` the table is partitioned by the nearest of ``nlist`` centroids. A search reads ``nprobe`` cells, and then
 each further cell that a bound from its radius doesn't rule out: it finds the same rows as an exact search.
 """
@@ -10,6 +11,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator, Sequence
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +21,14 @@ from pyspark.sql import functions as F
 
 from kerbside.functions.vectors import METRICS, distance, literal, ranking
 from kerbside.operators.clustering import fit_kmeans, nearest_centroid
+from kerbside.functions.text import file_stem
 from kerbside.sources import files
+from kerbside.sources.tables import list_images
 
 SCHEMA = "id string, embedding array<float>, metadata map<string,string>, document string"
 QUERY_BYTES = 64 << 20
+KEEP_VERSIONS = 3
+CELL_ROWS = 1 << 20
 
 
 def top_k(corpus: DataFrame, query: Sequence[float], k: int = 10, metric: str = "ip", vector: str = "embedding", id_col: str = "id") -> DataFrame:
@@ -35,7 +41,7 @@ def top_k_join(corpus: DataFrame, queries: DataFrame, k: int = 10, metric: str =
     """(query_id, id, rank, distance): the k nearest of corpus for each row of queries (query_id, embedding).
 
     Queries that fit in QUERY_BYTES go to every task, which multiplies matrices and keeps its best k for each query. More
-    queries are cut into blocks of that size, each against the whole corpus.
+    queries meet the corpus on the executors: both are cut into blocks of that size by a hash, and each pair of blocks is a task.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}; one of {METRICS}")
@@ -46,60 +52,86 @@ def top_k_join(corpus: DataFrame, queries: DataFrame, k: int = 10, metric: str =
     out = f"query_id {qkind}, id {kind}, distance double"
     if not n:
         return corpus.sparkSession.createDataFrame([], f"query_id {qkind}, id {kind}, rank int, distance double")
-    blocks = max(1, -(-n * width * 8 // QUERY_BYTES))
-    parts = []
-    for b in range(blocks):
-        held = [tuple(r) for r in known.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).collect()]  # at most about QUERY_BYTES
-        if held:
-            parts.append(rows.mapInArrow(_scorer([q for q, _ in held], np.array([v for _, v in held]), k, metric), out))
-    best = parts[0]
-    for p in parts[1:]:
-        best = best.unionByName(p)
+    if n * width * 8 <= QUERY_BYTES:
+        held = known.collect()  # at most QUERY_BYTES
+        best = rows.mapInArrow(_scorer(pa.array([r[0] for r in held]), np.array([r[1] for r in held]), k, metric), out)
+    else:
+        best = _by_blocks(rows, known, n * width * 8, width, k, metric, out)
     order = Window.partitionBy("query_id").orderBy(ranking(F.col("distance"), metric), "id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "id", "rank", "distance")
 
 
-def _scorer(names: list, q: np.ndarray, k: int, metric: str):
+def _by_blocks(rows: DataFrame, known: DataFrame, size: int, width: int, k: int, metric: str, out: str) -> DataFrame:
+    """The best k of each pair of a query block and a corpus block."""
+    across, down = -(-size // QUERY_BYTES), max(1, -(-rows.count() * width * 8 // QUERY_BYTES))
+    block = lambda name, blocks: F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = known.select(block("q", across).alias("qb"), every(down).alias("cb"), "q", "v")
+    right = rows.select(every(across).alias("qb"), block("id", down).alias("cb"), "id", "v")
+
+    def score(queries: pa.Table, part: pa.Table) -> pa.Table:
+        found = [b for b in _scorer(queries.column("q").combine_chunks(), _matrix(queries.column("v").combine_chunks()), k, metric)(part.select(["id", "v"]).to_batches())] if len(queries) else []
+        return pa.Table.from_batches(found) if found else pa.table({"query_id": queries.column("q").slice(0, 0), "id": part.column("id").slice(0, 0), "distance": pa.array([], pa.float64())})
+
+    return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(score, out)
+
+
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+
+
+def _scorer(names: pa.Array, q: np.ndarray, k: int, metric: str):
     sign = -1.0 if metric == "ip" else 1.0
+    squares = (q * q).sum(axis=1)
 
     def scores(x: np.ndarray) -> np.ndarray:
         dots = q @ x.T
         if metric == "ip":
             return dots
         if metric == "l2":
-            return np.maximum(0, (q * q).sum(axis=1)[:, None] - 2 * dots + (x * x).sum(axis=1))
-        size = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((x * x).sum(axis=1))
+            return np.maximum(0, squares[:, None] - 2 * dots + (x * x).sum(axis=1))
+        size = np.sqrt(squares)[:, None] * np.sqrt((x * x).sum(axis=1))
         return 1 - np.divide(dots, size, out=np.zeros_like(dots), where=size > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: np.ndarray | None = None
-        best: np.ndarray | None = None
+        row, far, ids = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)  # the best so far
+        limit = np.full(len(q), np.inf)
         for batch in batches:
-            if not len(batch):
-                continue
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
-            for at in range(0, len(batch), 2048):
-                part = np.round(scores(flat[at : at + 2048]), 6) + 0.0
-                mine = np.array(batch.column(0).slice(at, 2048).to_pylist(), object)
-                every = np.broadcast_to(mine, part.shape)
-                best = part if best is None else np.concatenate([best, part], axis=1)
-                ids = every if ids is None else np.concatenate([ids, every], axis=1)
-                if best.shape[1] > k:
-                    # By score, then by id: a stable sort of the scores over columns that are sorted by id.
-                    pick = np.argsort(ids, axis=1, kind="stable")
-                    best, ids = np.take_along_axis(best, pick, 1), np.take_along_axis(ids, pick, 1)
-                    pick = np.argsort(sign * best, axis=1, kind="stable")[:, :k]
-                    best, ids = np.take_along_axis(best, pick, 1), np.take_along_axis(ids, pick, 1)
-        if best is not None:
-            n = best.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x in names for _ in range(n)]), pa.array(ids.ravel().tolist()), pa.array(best.ravel())], ["query_id", "id", "distance"])
+            for at in range(0, len(batch), 4096):
+                part = batch.slice(at, 4096)
+                mine = sign * (np.round(scores(_matrix(part.column(1))), 6) + 0.0)
+                kth = np.partition(mine, k - 1, axis=1)[:, k - 1] if mine.shape[1] > k else np.inf
+                here, which = np.nonzero(mine <= np.minimum(limit, kth)[:, None])
+                if not len(here):
+                    continue
+                name = np.empty(len(part), object)
+                name[:] = part.column(0).to_pylist()
+                row, far, ids = np.concatenate([row, here]), np.concatenate([far, mine[here, which]]), np.concatenate([ids, name[which]])
+                order = np.lexsort((np.unique(ids, return_inverse=True)[1], far, row))  # ties by id
+                row, far, ids = row[order], far[order], ids[order]
+                first = np.searchsorted(row, row)
+                keep = np.arange(len(row)) - first < k
+                row, far, ids = row[keep], far[keep], ids[keep]
+                many = np.bincount(row, minlength=len(q)) >= k
+                last = np.searchsorted(row, np.arange(len(q)), "right") - 1
+                limit = np.where(many, far[np.maximum(last, 0)], np.inf)
+        if len(row):
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(row)), pa.array(ids.tolist()), pa.array(sign * far + 0.0)], ["query_id", "id", "distance"])
 
     return run
 
 
-def upserted(old: DataFrame, new: DataFrame, id_col: str = "id") -> DataFrame:
-    """old with new's rows, which replace those of the same ids. Of several new rows of one id, any one."""
-    return old.join(new.select(id_col).distinct(), id_col, "left_anti").unionByName(new.dropDuplicates([id_col]), allowMissingColumns=True)
+def upserted(old: DataFrame, new: DataFrame, id_col: str = "id", order: str | None = None) -> DataFrame:
+    """old with new's rows, which replace those of the same ids.
+
+    Of several new rows of one id the last wins: that of the greatest ``order``, a column of new that does not go into the result; without
+    one, or where it ties, the greatest row by its columns in their order, so that the outcome never depends on the partitioning.
+    """
+    values = [c for c in new.columns if c not in (id_col, order)]
+    plain = [F.to_json(F.struct(f"`{c}`")) if t.startswith(("map", "variant")) else F.col(f"`{c}`") for c, t in new.dtypes if c in values]
+    last = Window.partitionBy(f"`{id_col}`").orderBy(*([F.desc(f"`{order}`")] if order else []), *(F.desc(c) for c in plain))
+    one = new.withColumn("_nth", F.row_number().over(last)).where("_nth = 1").drop("_nth", *([order] if order else []))
+    return old.join(new.select(id_col).distinct(), id_col, "left_anti").unionByName(one, allowMissingColumns=True)
 
 
 def without(old: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
@@ -187,6 +219,19 @@ def cell_search(corpus: DataFrame, query: Sequence[float], centroids: Sequence[S
     return near if set(kept) <= set(first) else top_k(corpus.where(F.col(cell).isin(kept)), query, k, metric, vector, id_col)
 
 
+class BaseVectorStore(Protocol):
+    """What a store of vectors offers; VectorDB and the workflows need no more, so another store can stand in."""
+
+    def add(self, rows: DataFrame, order: str | None = None) -> None: ...
+
+    def delete(self, ids: Sequence[str]) -> None: ...
+
+    def count(self) -> int: ...
+
+    def query(self, vector: Sequence[float], n_results: int = 10) -> DataFrame:
+        """(id, distance, metric, metadata) of the nearest rows."""
+
+
 class VectorStore:
     """metric: ip, l2 or cosine. index_type: flat or ivf, which find the same. on_conflict: upsert, or append for duplicates."""
 
@@ -215,7 +260,7 @@ class VectorStore:
         return self.spark.read.parquet(f"{self.path}/{self.state['version']}")
 
     def _write(self, rows: DataFrame) -> None:
-        version, old = f"v-{uuid.uuid4().hex}", self.state["version"]
+        version = f"v-{uuid.uuid4().hex}"
         rows = rows.drop("cell")
         if self.state["index_type"] == "ivf":
             if self.state["centroids"] is None:
@@ -224,30 +269,40 @@ class VectorStore:
                     found, _ = fit_kmeans(rows.select(in_cell_space(F.col("embedding"), self.state["metric"]).alias("embedding")), min(self.state["nlist"], n), seeds=(42,), max_iter=20)
                     self.state["centroids"] = found.tolist()
             near = nearest_centroid(in_cell_space(F.col("embedding"), self.state["metric"]), np.array(self.state["centroids"]))["cluster"] if self.state["centroids"] else F.lit(0)
-            rows.withColumn("cell", F.coalesce(near, F.lit(0))).repartition("cell").write.partitionBy("cell").parquet(f"{self.path}/{version}")
+            rows.withColumn("cell", F.coalesce(near, F.lit(0))).hint("rebalance", "cell").write.option("maxRecordsPerFile", CELL_ROWS).partitionBy("cell").parquet(f"{self.path}/{version}")
             if self.state["centroids"]:
                 self.state["radii"] = cell_radii(self.spark.read.parquet(f"{self.path}/{version}"), self.state["centroids"], self.state["metric"])
         else:
             rows.withColumn("cell", F.lit(0)).write.parquet(f"{self.path}/{version}")
+        self.state["versions"] = [version, *self.state.get("versions", [self.state["version"]] if self.state["version"] else [])]
         self.state["version"] = version
         files.write_text(self.spark, f"{self.path}/manifest.json", json.dumps(self.state))
-        if old is not None:
-            files.delete(self.spark, f"{self.path}/{old}")
-
-    def add(self, rows: DataFrame) -> None:
-        """Rows of (id, embedding) and, if there, metadata and document. All vectors need the store's dimension."""
+        self.vacuum()
+
+    def vacuum(self, keep: int = KEEP_VERSIONS) -> list[str]:
+        """Deletes all but the last ``keep`` versions, and says which."""
+        gone = self.state.get("versions", [])[max(1, keep) :]
+        if gone:
+            self.state["versions"] = self.state["versions"][: max(1, keep)]
+            files.write_text(self.spark, f"{self.path}/manifest.json", json.dumps(self.state))
+            for version in gone:
+                files.delete(self.spark, f"{self.path}/{version}")
+        return gone
+
+    def add(self, rows: DataFrame, order: str | None = None) -> None:
+        """Rows of (id, embedding) and, if there, metadata and document. All vectors need the store's dimension. Of rows with one id the last by ``order`` wins."""
         have = set(rows.columns)
         new = rows.select(
             F.col("id").cast("string").alias("id"), F.col("embedding").cast("array<float>").alias("embedding"),
             (F.col("metadata").cast("map<string,string>") if "metadata" in have else F.lit(None).cast("map<string,string>")).alias("metadata"),
-            (F.col("document").cast("string") if "document" in have else F.lit(None).cast("string")).alias("document"),
+            (F.col("document").cast("string") if "document" in have else F.lit(None).cast("string")).alias("document"), *([F.col(f"`{order}`").alias("_order")] if order else []),
         )
         sizes = [r[0] for r in new.where("embedding IS NOT NULL").select(F.size("embedding")).distinct().limit(2).collect()]
         if len(sizes) > 1 or (sizes and self.state["dimension"] not in (None, sizes[0])):
             raise ValueError(f"vectors of {sizes} dimensions don't fit a store of {self.state['dimension']}")
         self.state["dimension"] = sizes[0] if sizes else self.state["dimension"]
         old = self.rows().drop("cell")
-        self._write(upserted(old, new) if self.state["on_conflict"] == "upsert" else old.unionByName(new))
+        self._write(upserted(old, new, order="_order" if order else None) if self.state["on_conflict"] == "upsert" else old.unionByName(new.drop("_order")))
 
     def delete(self, ids: Sequence[str]) -> None:
         gone = self.spark.createDataFrame([(str(i),) for i in ids], "id string")
@@ -270,14 +325,31 @@ class VectorStore:
         return top_k_join(self.rows(), queries, n_results, self.state["metric"])
 
 
+#: Of several images of one id, the first kind counts.
+IMAGE_ORDER = (".jpg", ".jpeg", ".png", ".webp")
+
+
+def with_image_paths(df: DataFrame, image_dir: str, id_column: str = "image_id") -> DataFrame:
+    """df with _image_path: the image in a folder whose stem is the row's id, null where there is none."""
+    there = list_images(df.sparkSession, image_dir, IMAGE_ORDER, recursive=False).select("path", file_stem(F.col("path")).alias("_stem"), F.lower(F.regexp_extract("path", r"(\.[^.]*)$", 1)).alias("kind"))
+    place = F.array_position(F.array(*map(F.lit, IMAGE_ORDER)), F.col("kind"))
+    first = there.groupBy("_stem").agg(F.min(F.struct(place.alias("n"), "path")).alias("best")).select("_stem", F.col("best.path").alias("_image_path"))
+    return df.join(first, F.col(f"`{id_column}`").cast("string") == F.col("_stem"), "left").drop("_stem")
+
+
 class VectorDB:
     """Embeds the rows of a table into a store, and searches it by text or image."""
 
-    def __init__(self, store: VectorStore, embedder):
+    def __init__(self, store: BaseVectorStore, embedder):
         self.store, self.embedder = store, embedder
 
-    def build(self, df: DataFrame, text_column: str = "scene_narrative", metadata_columns: Sequence[str] | None = None, id_column: str = "image_id", image_column: str | None = None) -> int:
-        """Embeds text, and images if there is a column of their paths, and adds them with metadata; lat and lon always go along."""
+    def build(self, df: DataFrame, text_column: str = "scene_narrative", metadata_columns: Sequence[str] | None = None, id_column: str = "image_id", image_column: str | None = None, image_dir: str | None = None) -> int:
+        """Embeds text, and images if there is a column of their paths, and adds them with metadata; lat and lon always go along.
+
+        image_dir: a folder with an image <id>.jpg, .jpeg, .png or .webp for a row, the first of these that is there; rows without one are embedded by their text.
+        """
+        if image_dir is not None:
+            df, image_column = with_image_paths(df, image_dir, id_column), "_image_path"
         names = [c for c in dict.fromkeys(["lat", "lon", *(metadata_columns or [])]) if c in df.columns]
         pairs = [x for c in names for x in (F.lit(c), F.col(f"`{c}`").cast("string"))]
         base = df.withColumns({"document": F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")), "id": F.col(f"`{id_column}`").cast("string")})
