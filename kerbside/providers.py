@@ -7,10 +7,11 @@ package needs no model: a hashing embedder and a describer that looks descriptio
 from __future__ import annotations
 
 import json
+import os
 import re
-import zlib
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from pathlib import Path
 from typing import Protocol
 
 import numpy as np
@@ -18,19 +19,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.functions.text import file_stem, scene_fields
+from kerbside import backends
+from kerbside.functions import textbytes
+from kerbside.functions.text import SCENE_FIELDS, file_stem, with_scene_fields
 from kerbside.operators.merge import not_done
 from kerbside.prompts import prompt_for
-from kerbside.session import ship
+from kerbside.session import cut, ship
 from kerbside.sources import files
 from kerbside.sources.tables import IMAGE_SUFFIXES, list_images
 
 DEFAULT_INSTRUCTION = "Represent the street view for retrieval."
 TEXT_BATCH, IMAGE_BATCH, DESCRIBE_BATCH = 32, 8, 8
+COMMIT_ROWS = 10_000
 
 
 class EmbeddingBackend(Protocol):
-    def embed(self, items: Sequence[list[dict]]) -> np.ndarray:
+    def embed(self, items: Sequence[list[dict]], instruction: str) -> np.ndarray:
         """A row for each item, a chat message's content: parts {"type": "image" | "text", ...}."""
 
 
@@ -39,20 +43,42 @@ class DescribeBackend(Protocol):
 
 
 class HashEmbedder:
-    """Counts of hashed words and of letter triples; images count by their path. Equal texts have equal vectors, everywhere."""
+    """Counts of hashed words and of the byte triples within them; an image counts by its bytes where it can be read, else by its path. Equal texts have equal vectors, everywhere."""
 
     def __init__(self, dimension: int = 128):
         self.dimension = dimension
 
-    def embed(self, items: Sequence[list[dict]]) -> np.ndarray:
-        out = np.zeros((len(items), self.dimension), np.float32)
+    def embed(self, items: Sequence[list[dict]], instruction: str = DEFAULT_INSTRUCTION) -> np.ndarray:
+        out = np.zeros((len(items), self.dimension))
+        texts = [" ".join(p["text"] if p["type"] == "text" else "" if _image_bytes(p["image"]) is not None else str(p["image"]) for p in parts).lower() for parts in items]
+        for row, data, offsets in textbytes.slices(pa.array(texts, pa.string())):
+            flags = textbytes.WORD[data]
+            starts, ends = textbytes.runs(flags, offsets)
+            word = textbytes.span_hashes(data, starts, ends)
+            left = np.zeros(len(data), np.int64)  # bytes left in a word
+            left[flags] = np.repeat(ends, ends - starts) - np.flatnonzero(flags)
+            at = np.flatnonzero(left >= 3)
+            triple = textbytes.mix((data[at].astype(np.uint64) << np.uint64(16)) | (data[at + 1].astype(np.uint64) << np.uint64(8)) | data[at + 2])
+            self._count(out[row : row + len(offsets) - 1], np.concatenate([textbytes.owner(starts, offsets), textbytes.owner(at, offsets)]), np.concatenate([word, triple]))
         for k, parts in enumerate(items):
-            text = " ".join(p.get("text") or p.get("image", "") for p in parts).lower()
-            for word in re.findall(r"\w+", text):
-                for gram in (word, *(f"#{word[i : i + 3]}" for i in range(len(word) - 2))):
-                    h = zlib.crc32(gram.encode())
-                    out[k, (h >> 1) % self.dimension] += 1 if h & 1 else -1
-        return out
+            for p in parts:
+                if p["type"] == "image" and (raw := _image_bytes(p["image"])) is not None and len(raw) > 3:
+                    x = np.frombuffer(raw, np.uint8).astype(np.uint64)
+                    grams = textbytes.mix((x[:-3] << np.uint64(24)) | (x[1:-2] << np.uint64(16)) | (x[2:-1] << np.uint64(8)) | x[3:])
+                    self._count(out[k : k + 1], np.zeros(len(grams), np.int64), grams)
+        return out.astype(np.float32)
+
+    def _count(self, out: np.ndarray, rows: np.ndarray, hashes: np.ndarray) -> None:
+        place = rows * self.dimension + ((hashes >> np.uint64(1)) % np.uint64(self.dimension)).astype(np.int64)
+        out += np.bincount(place, np.where(hashes & np.uint64(1), 1.0, -1.0), out.size).reshape(out.shape)
+
+
+def _image_bytes(image) -> bytes | None:
+    """The bytes of an image on a disk that this process can read."""
+    path = str(image).removeprefix("file://")
+    if "://" in path or not os.path.isfile(path):
+        return None
+    return Path(path).read_bytes()
 
 
 class TableDescriber:
@@ -66,8 +92,9 @@ class TableDescriber:
         return [self.known.get(s, "") for s in stems]
 
 
-EMBEDDERS: dict[str, Callable[..., EmbeddingBackend]] = {"hash": HashEmbedder}
-DESCRIBERS: dict[str, Callable[..., DescribeBackend]] = {"table": TableDescriber}
+#: In the order in which auto tries them: those whose libraries are not there are passed over.
+EMBEDDERS: dict[str, Callable[..., EmbeddingBackend]] = {"vllm": backends.VllmEmbedder, "transformers": backends.TransformersEmbedder, "hash": HashEmbedder}
+DESCRIBERS: dict[str, Callable[..., DescribeBackend]] = {"vllm": backends.VllmDescriber, "transformers": backends.TransformersDescriber, "table": TableDescriber}
 
 
 def register(kind: str, name: str, make: Callable) -> None:
@@ -75,19 +102,20 @@ def register(kind: str, name: str, make: Callable) -> None:
     {"embedder": EMBEDDERS, "describer": DESCRIBERS}[kind][name] = make
 
 
-def _chosen(registry: dict[str, Callable], name: str, default: str) -> Callable:
-    name = default if name == "auto" else name
+def _chosen(registry: dict[str, Callable], name: str) -> Callable:
+    """A backend by name; auto takes the first that can run here, such as a GPU's with a GPU."""
+    if name == "auto":
+        return next(make for make in registry.values() if getattr(make, "available", lambda: True)())
     if name not in registry:
         raise ValueError(f"unknown backend {name!r}; one of {sorted(registry)} or auto")
     return registry[name]
 
 
-def message(text: str | None = None, image: str | None = None) -> list[dict]:
-    """A chat message's content: the image first, then the text; with neither, an empty text. Local paths become file:// URLs."""
-    parts: list[dict] = []
-    if image is not None:
-        parts.append({"type": "image", "image": image if re.match(r"[a-z][a-z0-9+.-]*:", image) else f"file://{image}"})
-    if text is not None or image is None:
+def message(text: str | None = None, image: str | Sequence[str] | None = None) -> list[dict]:
+    """A chat message's content: the image or images first, then the text; with neither, an empty text. Local paths become absolute file:// URLs."""
+    images = [] if image is None else [image] if isinstance(image, str) else list(image)
+    parts: list[dict] = [{"type": "image", "image": i if not isinstance(i, str) or re.match(r"[a-z][a-z0-9+.-]*:", i) else f"file://{os.path.abspath(i)}"} for i in images]
+    if text is not None or not parts:
         parts.append({"type": "text", "text": text or ""})
     return parts
 
@@ -113,27 +141,27 @@ def _backend(make: Callable, options: tuple):
 class ImageEmbedder:
     backend: str = "auto"
     instruction: str = DEFAULT_INSTRUCTION
-    batch_size: int = TEXT_BATCH
+    batch_size: int = 4 * TEXT_BATCH
     options: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        self.make = _chosen(EMBEDDERS, self.backend, "hash")
+        self.make = _chosen(EMBEDDERS, self.backend)
 
     def embed(self, df: DataFrame, text_column: str | None = None, output_column: str = "embedding", image_column: str | None = None) -> DataFrame:
         """df with unit vectors of its texts, images (by path), or both. Rows with neither are embedded as an empty text."""
         if text_column is None and image_column is None:
             raise ValueError("embedding needs a column of texts or of images")
         ship(df.sparkSession)
-        make, options, size = self.make, tuple(self.options.items()), self.batch_size
+        make, options, size, told = self.make, tuple(self.options.items()), self.batch_size, self.instruction
 
         @F.arrow_udf("array<float>")
         def embedded(texts: pa.Array, images: pa.Array) -> pa.Array:
             model, out = _backend(make, options), []
             pairs = list(zip(texts.to_pylist(), images.to_pylist(), strict=True))
             for at in range(0, len(pairs), size):
-                out.append(unit(np.asarray(model.embed([message(t, i) for t, i in pairs[at : at + size]]))))
+                out.append(unit(np.asarray(model.embed([message(t, i) for t, i in pairs[at : at + size]], told))))
             flat = np.concatenate(out) if out else np.zeros((0, 1), np.float32)
-            return pa.array(list(flat), pa.list_(pa.float32()))
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))
 
         none = F.lit(None).cast("string")
         text = F.col(f"`{text_column}`").cast("string") if text_column else none
@@ -151,7 +179,7 @@ class ImageEmbedder:
 
     def embed_one(self, text: str | None = None, image: str | None = None) -> list[float]:
         """A query's vector, on the driver."""
-        return [float(x) for x in unit(np.asarray(_backend(self.make, tuple(self.options.items())).embed([message(text, image)])))[0]]
+        return [float(x) for x in unit(np.asarray(_backend(self.make, tuple(self.options.items())).embed([message(text, image)], self.instruction)))[0]]
 
 
 @dataclass
@@ -166,7 +194,7 @@ class ImageDescriber:
     options: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        self.make = _chosen(DESCRIBERS, self.backend, "table")
+        self.make = _chosen(DESCRIBERS, self.backend)
         self.prompt = prompt_for(self.template, self.system_prompt, self.user_prompt)
 
     def answers(self, images: DataFrame, path: str = "path") -> DataFrame:
@@ -186,15 +214,22 @@ class ImageDescriber:
     def describe_frame(self, images: DataFrame, path: str = "path") -> DataFrame:
         """(image_path, image_id, raw_response, parsed_json, parse_error, and the scene's fields) of each image."""
         told = self.answers(images.select(F.col(path).alias("path")))
-        return told.select(F.col("path").alias("image_path"), file_stem(F.col("path")).alias("image_id"), *(e.alias(n) for n, e in scene_fields(F.col("answer")).items()))
+        return with_scene_fields(told, "answer").select(F.col("path").alias("image_path"), file_stem(F.col("path")).alias("image_id"), *SCENE_FIELDS)
 
-    def describe(self, spark: SparkSession, image_dir: str, output_path: str, resume: bool = True, suffixes: Sequence[str] = IMAGE_SUFFIXES, recursive: bool = True) -> DataFrame:
-        """Describes the images of a directory into Parquet. With resume, those described already are left out and the rest is appended."""
+    def describe(self, spark: SparkSession, image_dir: str, output_path: str, resume: bool = True, suffixes: Sequence[str] = IMAGE_SUFFIXES, recursive: bool = True, commit_rows: int = COMMIT_ROWS) -> DataFrame:
+        """Describes the images of a directory into Parquet. With resume, those described already are left out and the rest is appended.
+
+        About commit_rows images at a time, chosen by a hash, are described and committed, so that a crash loses no more than that.
+        """
         images = list_images(spark, image_dir, suffixes, recursive).withColumn("image_id", file_stem(F.col("path")))
         append = resume and files.exists(spark, output_path)
         if append:
             images = not_done(images, spark.read.parquet(output_path))
-        self.describe_frame(images).write.mode("append" if append else "overwrite").parquet(output_path)
+        images = cut(images)
+        parts = max(1, -(-images.count() // commit_rows))
+        for part in range(parts):
+            some = images.where(F.pmod(F.xxhash64("path"), F.lit(parts)) == part)
+            self.describe_frame(some).write.mode("append" if append or part else "overwrite").parquet(output_path)
         return spark.read.parquet(output_path)
 
     def describe_single(self, image: str) -> dict:
@@ -215,15 +250,3 @@ def parse_json_response(text: str) -> dict:
         return json.loads(body)
     except json.JSONDecodeError as e:
         return {"error": str(e), "raw_response": text}
-
-
-def embed_batches(rows: Iterator[list[dict]], model: EmbeddingBackend, size: int = TEXT_BATCH) -> Iterator[np.ndarray]:
-    """Unit vectors of messages, batch by batch, for use without Spark."""
-    held: list = []
-    for r in rows:
-        held.append(r)
-        if len(held) == size:
-            yield unit(np.asarray(model.embed(held)))
-            held = []
-    if held:
-        yield unit(np.asarray(model.embed(held)))

@@ -15,6 +15,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def is_dir(spark: SparkSession, path: str) -> bool:
+    p, fs = _fs(spark, path)
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as listings have it."""
+    p, fs = _fs(spark, path)
+    return fs.makeQualified(p).toString()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     p, fs = _fs(spark, path)
     fs.delete(p, True)
@@ -32,6 +43,8 @@ def read_text(spark: SparkSession, path: str) -> str:
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """Replaces the file in one step, where the file system can rename."""
     p, fs = _fs(spark, path)
+    if p.getParent() is not None:
+        fs.mkdirs(p.getParent())
     part, _ = _fs(spark, f"{path}.part")
     stream = fs.create(part, True)
     try:

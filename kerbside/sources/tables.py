@@ -5,13 +5,19 @@ from __future__ import annotations
 import json
 import logging
 import re
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from kerbside.functions import geo
 from kerbside.operators import summaries
+from kerbside.session import ship
 from kerbside.sources import files
 
 log = logging.getLogger(__name__)
@@ -28,15 +34,53 @@ def to_points(df: DataFrame, lat_col: str = "lat", lon_col: str = "lon") -> Data
 
 
 def _geo_metadata() -> dict:
-    return {"version": "1.0.0", "primary_column": "geometry", "columns": {"geometry": {"encoding": "WKB", "geometry_types": ["Point"], "crs": "EPSG:4326"}}}
+    """The ``geo`` entry of a Parquet footer; without a crs, coordinates are longitude and latitude."""
+    return {"version": "1.1.0", "primary_column": "geometry", "columns": {"geometry": {"encoding": "WKB", "geometry_types": ["Point"]}}}
+
+
+def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
 def save_geoparquet(df: DataFrame, path: str, compression: str = "snappy", mode: str = "overwrite") -> str:
-    """Parquet with WKB geometry, and the description of that column in a file beside the data."""
+    """GeoParquet: WKB points, described in the footer of every file, where readers look for it.
+
+    Spark's own writer has no way to that entry, so each task writes its partition through Arrow, under a name of its own, in a folder beside the data. The files of the tasks that
+    succeeded are then moved to path; those of lost attempts are deleted.
+    """
     if "geometry" not in df.columns:
         raise TypeError("no column geometry; see to_points")
-    df.write.mode(mode).option("compression", compression).parquet(path)
-    files.write_text(df.sparkSession, f"{path}/_geo.json", json.dumps(_geo_metadata()))
+    if mode not in ("overwrite", "append"):
+        raise ValueError(f"unknown mode {mode!r}")
+    ship(df.sparkSession)
+    folder = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    schema = to_arrow_schema(df.schema).with_metadata({"geo": json.dumps(_geo_metadata())})
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = _file_system(folder)
+        fs.create_dir(base, recursive=True)
+        name, out = f"part-{uuid.uuid4().hex}.parquet", None
+        for batch in batches:
+            if out is None:
+                out = pq.ParquetWriter(f"{base}/{name}", schema, compression=compression, filesystem=fs)
+            out.write_table(pa.Table.from_batches([batch]).cast(schema))
+        if out is not None:
+            out.close()
+            yield pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
+
+    names = [r[0] for r in df.mapInArrow(write, "name string").collect()]  # one a task
+    fs, base = _file_system(folder)
+    _, target = _file_system(path.rstrip("/"))
+    if not names:  # no rows: a file that says what columns there would be
+        fs.create_dir(base, recursive=True)
+        names = [f"part-{uuid.uuid4().hex}.parquet"]
+        pq.write_table(schema.empty_table(), f"{base}/{names[0]}", filesystem=fs)
+    if mode == "overwrite":
+        files.delete(df.sparkSession, path)
+    fs.create_dir(target, recursive=True)
+    for name in names:
+        fs.move(f"{base}/{name}", f"{target}/{name}")
+    fs.delete_dir(base)
     return path
 
 
@@ -107,9 +151,22 @@ def export_formats(df: DataFrame, output_dir: str, basename: str = "results", fo
     return out
 
 
-def list_results(spark: SparkSession, directory: str, suffix: str = ".parquet", recursive: bool = True) -> list[str]:
-    """Result files below directory, sorted; FileNotFoundError if there is no such directory."""
-    return [p for p, _ in files.glob(spark, directory, suffix, recursive)]
+def list_results(spark: SparkSession, directory: str, pattern: str = "**/*.parquet") -> list[str]:
+    """Files below directory whose path from there fits a glob pattern, sorted; FileNotFoundError if there is no such directory. ** stands for any folders, none included."""
+    fits = re.compile(_as_regex(pattern))
+    base = files.qualified(spark, directory).rstrip("/") + "/"
+    return [p for p, _ in files.glob(spark, directory, "", "/" in pattern) if fits.fullmatch(p.removeprefix(base))]
+
+
+def _as_regex(pattern: str) -> str:
+    """A glob pattern over paths as a regular expression."""
+    out = []
+    for k, piece in enumerate(re.split(r"(\*\*/|\*\*|\*|\?|\[[^\]]+\])", pattern)):
+        if k % 2 == 0:
+            out.append(re.escape(piece))
+        else:
+            out.append({"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(piece) or piece.replace("[!", "[^"))
+    return "".join(out)
 
 
 def summarize_results(spark: SparkSession, path: str, show_columns: bool = True, show_stats: bool = True) -> dict:
@@ -128,10 +185,19 @@ EMBED_SUFFIXES = (*IMAGE_SUFFIXES, ".webp", ".bmp", ".tiff")
 
 
 def list_images(spark: SparkSession, directory: str, suffixes: Sequence[str] = IMAGE_SUFFIXES, recursive: bool = True) -> DataFrame:
-    """(path, length, modificationTime) of the image files, whatever the case of their suffix; their bytes are not read."""
+    """(path, length, modificationTime) of the image files, sorted by path, whatever the case of their suffix; their bytes are not read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     pattern = "|".join(re.escape(s) for s in suffixes)
-    return reader.load(directory).select("path", "length", "modificationTime").where(F.lower("path").rlike(f"({pattern})$"))
+    return reader.load(directory).select("path", "length", "modificationTime").where(F.lower("path").rlike(f"({pattern})$")).orderBy("path")
+
+
+def resolve_images(spark: SparkSession, source: str | Sequence[str], suffixes: Sequence[str] = EMBED_SUFFIXES) -> DataFrame:
+    """(path) of the images to embed: those of a folder, sorted; a single file, whatever its suffix; or paths as given, in their order."""
+    if not isinstance(source, str):
+        return spark.createDataFrame([(str(p),) for p in source], "path string")
+    if files.is_dir(spark, source):
+        return list_images(spark, source, suffixes).select("path")
+    return spark.createDataFrame([(source,)], "path string")
 
 
 METADATA_PATHS = ("mly_pids.csv", "cache/pids_raw.csv", "cache_zensvi/pids_raw.csv")
