@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -11,11 +12,11 @@ from pyspark.sql import functions as F
 from kerbside.functions import geo, text, vectors
 from kerbside.operators import clustering, keywords, merge, moran, neighbours, summaries, vector_store
 from kerbside.operators.spatial_query import BBoxQuery, LineQuery, PlaceQuery, PointQuery, PolygonQuery, captured_between
-from kerbside.plans import views, workflows
-from kerbside.providers import ImageDescriber, ImageEmbedder
-from kerbside.session import cut
+from kerbside.plans import report, views, workflows
+from kerbside.providers import ImageDescriber, ImageEmbedder, register
+from kerbside.session import checkpoint_dir, cut
 from kerbside.sources.images import FrameSource, ImageDownloader, gazetteer
-from kerbside.sources.tables import feature, row_filter, to_points
+from kerbside.sources.tables import feature, load_geoparquet, load_results, save_geoparquet, to_points
 from kerbside.streaming.ingest import windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,6 +93,22 @@ def centroid_distance(spark, sf_dir):
     return found.select("id", _r(F.col("distance_to_centroid_m")).alias("distance_to_centroid_m"), "inside_query")
 
 
+_HOLE = [(28.978, 41.006), (28.983, 41.0065), (28.980, 41.011)]  # wound as the ring is
+_CORNERS = ", ".join(f"({r}, {k}, {x}::double, {y}::double)" for r, ring in enumerate((views.RING, _HOLE)) for k, (x, y) in enumerate(ring))
+
+
+@query(f"""WITH {views.POINTS}, corner(ring, k, x, y) AS (VALUES {_CORNERS}),
+    side AS (SELECT ring, x - 28.98 AS x, y - 41.0 AS y, coalesce(lead(x) OVER w, first(x) OVER w) - 28.98 AS x2, coalesce(lead(y) OVER w, first(y) OVER w) - 41.0 AS y2 FROM corner WINDOW w AS (PARTITION BY ring ORDER BY k)),
+    part AS (SELECT ring, sum(x * y2 - x2 * y) AS a, sum((x + x2) * (x * y2 - x2 * y)) AS mx, sum((y + y2) * (x * y2 - x2 * y)) AS my FROM side GROUP BY ring),
+    whole AS (SELECT sum(s * a) AS a, sum(s * mx) AS mx, sum(s * my) AS my FROM (SELECT *, sign(a) * CASE WHEN ring = 0 THEN 1 ELSE -1 END AS s FROM part)),
+    c AS (SELECT 28.98 + mx / (3 * a) AS cx, 41.0 + my / (3 * a) AS cy FROM whole)
+    SELECT id, round({_hav("lat", "lon", "cy", "cx")}, 3) AS distance_to_centroid_m FROM points, c""")
+def centroid_hole(spark, sf_dir):
+    """The distance to the centroid of a ring with a hole that is wound like it."""
+    found = PolygonQuery(geometry=[views.RING, _HOLE]).add_distances(views.points(spark, sf_dir))
+    return found.select("id", _r(F.col("distance_to_centroid_m")).alias("distance_to_centroid_m"))
+
+
 _SEGMENTS = ", ".join(f"({k}, {x1}::double, {y1}::double, {x2}::double, {y2}::double, {a!r}::double)" for k, (x1, y1, x2, y2, a) in enumerate(geo.segments([views.STREET])))
 _LINE = f"""WITH {views.POINTS}, seg(k, x1, y1, x2, y2, before) AS (VALUES {_SEGMENTS}),
     t AS (SELECT *, greatest(0.0::double, least(1.0::double, ((lon - x1) * (x2 - x1) + (lat - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) AS t FROM points, seg),
@@ -112,6 +129,15 @@ def line_buffer(spark, sf_dir):
     return q.add_distances(q.select_from(views.points(spark, sf_dir))).select("id", _r(F.col("distance_to_line_m")).alias("distance_to_line_m"))
 
 
+_AROUND = _LINE.replace(_SEGMENTS, ", ".join(f"({k}, {x1}::double, {y1}::double, {x2}::double, {y2}::double, {a!r}::double)" for k, (x1, y1, x2, y2, a) in enumerate(geo.segments([[*views.RING, views.RING[0]]]))))
+
+
+@query(f"{_AROUND} SELECT id FROM line WHERE distance_to_line_m <= 150 UNION SELECT id FROM points WHERE {_ring_sql()}")
+def polygon_buffer(spark, sf_dir):
+    """Points within a polygon or 150 m of its edge."""
+    return PolygonQuery(geometry=views.RING, buffer_m=150).select_from(views.points(spark, sf_dir)).select("id")
+
+
 @query(f"""WITH {views.POINTS}, box AS (SELECT 28.97::double + n_nationkey / 1250.0::double AS x FROM nation WHERE n_name = (SELECT min(n_name) FROM nation))
     SELECT id FROM points, box WHERE lon > x AND lon < x + 0.004 AND lat > 41.0 AND lat < 41.0 + 0.01""")
 def place_lookup(spark, sf_dir):
@@ -132,8 +158,23 @@ def captured_range(spark, sf_dir):
 
 @query("SELECT c_custkey, c_acctbal FROM customer WHERE (c_acctbal > 5000 AND c_mktsegment = 'BUILDING') OR c_nationkey IN (3, 4)")
 def load_filter_project(spark, sf_dir):
-    rows = views.table(spark, sf_dir, "customer").where(row_filter([[("c_acctbal", ">", 5000.0), ("c_mktsegment", "==", "BUILDING")], [("c_nationkey", "in", [3, 4])]]))
-    return rows.select("c_custkey", "c_acctbal")
+    return load_results(spark, f"{sf_dir}/customer.parquet", ["c_custkey", "c_acctbal"], [[("c_acctbal", ">", 5000.0), ("c_mktsegment", "==", "BUILDING")], [("c_nationkey", "in", [3, 4])]])
+
+
+def _shared(spark, name: str) -> str:
+    """A new folder in the cluster's shared one, removed when the application ends."""
+    checkpoint_dir(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
+@query(f"WITH {views.POINTS} SELECT id, lat, lon, land_use_primary FROM points")
+def geoparquet_round_trip(spark, sf_dir):
+    """Points written as GeoParquet and read again, their coordinates from the geometry."""
+    made = to_points(views.points(spark, sf_dir)).drop("lat", "lon")
+    return load_geoparquet(spark, save_geoparquet(made, f"{_shared(spark, 'points')}/points.parquet")).select("id", "lat", "lon", "land_use_primary")
 
 
 @query(f"""{_NEAR} SELECT 'distance_to_query_m' AS "column", round(min(d), 3) AS "min", round(max(d), 3) AS "max", round(avg(d), 3) AS mean, round(median(d), 3) AS median FROM near""")
@@ -210,8 +251,7 @@ _SCENE = """SELECT id, j IS NULL AS parse_error, CASE WHEN j IS NULL THEN '' WHE
 
 @query(f"WITH {views.ANSWERS}, {_JSON} {_SCENE}")
 def json_fields(spark, sf_dir):
-    fields = text.scene_fields(F.col("answer"))
-    return views.answers(spark, sf_dir).select("id", *(fields[c].alias(c) for c in ("parse_error", "scene_narrative", "semantic_tags", "land_use_primary", "street_type", "usable")))
+    return text.with_scene_fields(views.answers(spark, sf_dir), "answer").select("id", "parse_error", "scene_narrative", "semantic_tags", "land_use_primary", "street_type", "usable")
 
 
 @query(f"""WITH {views.ANSWERS} SELECT id, CASE WHEN id % 17 = 0 OR id % 7 = 0 THEN answer WHEN id % 11 = 0 THEN NULL ELSE 'Scene ' || id END AS description FROM answers""")
@@ -238,8 +278,7 @@ def compose_text(spark, sf_dir):
 
 @query(f"""WITH {views.ANSWERS}, {_JSON}, s AS ({_SCENE}) SELECT trim(tag) AS tag, count(*) AS count FROM (SELECT unnest(string_split(semantic_tags, ',')) AS tag FROM s) WHERE trim(tag) <> '' GROUP BY 1""")
 def tag_counts(spark, sf_dir):
-    fields = text.scene_fields(F.col("answer"))
-    return summaries.tag_counts(views.answers(spark, sf_dir).select(fields["semantic_tags"].alias("semantic_tags")), n=None)
+    return summaries.tag_counts(text.with_scene_fields(views.answers(spark, sf_dir), "answer"), n=None)
 
 
 # Clusters
@@ -337,17 +376,17 @@ def moran_local(spark, sf_dir):
     return moran.moran_local(views.points(spark, sf_dir)).select("id", "lisa_cluster", F.round("lisa_p_value", 8).alias("lisa_p_value"), "lisa_significant")
 
 
-@query(f"""WITH {_EDGES}, {_PAIRS}, rounds AS (SELECT r AS round FROM range(20) t(r)),
+@query(f"""WITH {_EDGES}, {_PAIRS}, rounds AS (SELECT r AS round FROM range(1000) t(r)),
     h AS (SELECT round, id, row_number() OVER (PARTITION BY round ORDER BY CASE WHEN round = 0 THEN '' ELSE md5(id::varchar || '|' || round::varchar) END, id) AS a FROM lab, rounds),
     l AS (SELECT round, label, row_number() OVER (PARTITION BY round ORDER BY id) AS a FROM lab, rounds),
     dealt AS (SELECT round, id, label FROM h JOIN l USING (round, a)),
     pr AS (SELECT x.round, x.label, y.label AS other, sum(w) AS w FROM edges e JOIN dealt x ON e.id = x.id JOIN dealt y ON e.nbr_id = y.id AND x.round = y.round GROUP BY ALL),
     i AS (SELECT r.round, m.label, round((coalesce((SELECT w FROM pr WHERE pr.round = r.round AND pr.label = m.label AND pr.other = m.label), 0)
         - m.m / n.n * coalesce((SELECT sum(w) FROM pr WHERE pr.round = r.round AND pr.other = m.label), 0)) / (n.n * (m.m / n.n) * (1 - m.m / n.n)), 10) AS i FROM m, n, rounds r)
-    SELECT a.label, round(any_value(b.i), 8) AS i, count(*) FILTER (a.i >= b.i) AS larger, round((least(count(*) FILTER (a.i >= b.i), 19 - count(*) FILTER (a.i >= b.i)) + 1) / 20.0::double, 6) AS p_value
+    SELECT a.label, round(any_value(b.i), 8) AS i, count(*) FILTER (a.i >= b.i) AS larger, round((least(count(*) FILTER (a.i >= b.i), 999 - count(*) FILTER (a.i >= b.i)) + 1) / 1000.0::double, 6) AS p_value
     FROM i a JOIN i b ON a.label = b.label AND b.round = 0 WHERE a.round > 0 GROUP BY a.label""")
 def moran_perm_p(spark, sf_dir):
-    found = moran.moran_permutations(views.points(spark, sf_dir), permutations=19)
+    found = moran.moran_permutations(views.points(spark, sf_dir), permutations=999)
     return found.select("label", F.round("i", 8).alias("i"), "larger", F.round("p_value", 6).alias("p_value"))
 
 
@@ -473,10 +512,41 @@ def elbow_inertia(spark, sf_dir):
 
 @query()
 def kmeans_ml(spark, sf_dir):
-    clusterer = clustering.SemanticClusterer(config=clustering.ClusterConfig(n_clusters=10, n_init=2, max_iter=20), id_col="id")
+    clusterer = clustering.SemanticClusterer(config=clustering.ClusterConfig(n_clusters=10), id_col="id")
     return clusterer.cluster(views.vectors(spark, sf_dir)).select("id", "cluster")
 
 
+@query()
+def elbow_curve(spark, sf_dir):
+    """find_optimal_k itself: costs of 2 to 5 clusters, and the one where they bend most."""
+    clusterer = clustering.SemanticClusterer(config=clustering.ClusterConfig(n_init=2), id_col="id")
+    ks, costs = clusterer.find_optimal_k(views.vectors(spark, sf_dir), (2, 6))
+    best = clustering.elbow(ks, costs)
+    return spark.createDataFrame([(k, float(c), k == best) for k, c in zip(ks, costs, strict=True)], "k int, inertia double, best boolean")
+
+
+@query(_topk_sql("cosine").replace("SELECT * FROM d", "SELECT id::varchar AS id, distance FROM d").replace("ORDER BY distance , id", "ORDER BY distance, id::varchar"))
+def store_search(spark, sf_dir):
+    """A vector store filled twice, so that upserts replace all, and searched."""
+    store = vector_store.VectorStore(spark, _shared(spark, "store"), "cosine")
+    rows = views.vectors(spark, sf_dir).select("id", "embedding")
+    store.add(rows.withColumn("embedding", F.transform("embedding", lambda x: x + 1)))
+    store.add(rows)
+    return store.query(_PROBE, 10).select("id", _r(F.col("distance"), 6).alias("distance"))
+
+
+@query(f"WITH {views.VECTORS} SELECT id::varchar AS id, CASE WHEN id % 5 = 0 THEN 'new' ELSE label::varchar END AS document FROM vectors WHERE id % 7 <> 0 OR id >= 100")
+def store_changes(spark, sf_dir):
+    """A vector store after an upsert of a fifth, the last of three rows each, and deletions by id."""
+    store = vector_store.VectorStore(spark, _shared(spark, "store"), "l2", "ivf", nlist=4)
+    rows = views.vectors(spark, sf_dir).select("id", "embedding", F.col("label").cast("string").alias("document"))
+    store.add(rows)
+    fifth = rows.where("id % 5 = 0").withColumn("n", F.explode(F.array(*map(F.lit, (1, 3, 2)))))
+    store.add(fifth.withColumn("document", F.when(F.col("n") == 3, "new").otherwise("old")), order="n")
+    store.delete([str(i) for i in range(0, 100, 7)])
+    return store.rows().select("id", "document")
+
+
 @query()
 def hash_embed(spark, sf_dir):
     docs = views.table(spark, sf_dir, "documents")
@@ -489,14 +559,25 @@ def hash_embed(spark, sf_dir):
 @query(f"""{_NEAR}, {views.ANSWERS}, {_JSON}, s AS ({_SCENE})
     SELECT near.id::varchar AS image_id, d AS distance_to_query_m, s.parse_error, s.scene_narrative, s.land_use_primary, s.street_type FROM near JOIN s ON near.id = s.id WHERE d <= 800""")
 def describe_workflow(spark, sf_dir):
-    """A point's images, described by answers that are at hand, joined to their metadata."""
-    images = views.points(spark, sf_dir).select(F.col("id").cast("string").alias("image_id"), "lat", "lon", F.concat(F.lit("/data/images/"), "id", F.lit(".jpg")).alias("image_path"))
-    known = ImageDownloader(FrameSource(images)).select(spark, PointQuery(**views.CENTER, buffer_m=800))
-    told = views.answers(spark, sf_dir).select(F.col("id").cast("string").alias("image_id"), "answer")
-    fields = text.scene_fields(F.col("answer"))
-    described = told.select("image_id", *(e.alias(n) for n, e in fields.items()))
-    merged = merge.merge_metadata_and_descriptions(known, described)
-    return merged.select("image_id", _r(F.col("distance_to_query_m")).alias("distance_to_query_m"), "parse_error", "scene_narrative", "land_use_primary", "street_type")
+    """describe_point itself: a point's images, described by a model that answers by a rule, and joined to their metadata."""
+    images = views.points(spark, sf_dir).join(views.table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "lower(c_mktsegment) AS tag"), "id")
+    images = images.select(F.col("id").cast("string").alias("image_id"), "lat", "lon", F.concat(F.lit("/data/"), "tag", F.lit("/"), "id", F.lit(".jpg")).alias("image_path"))
+    register("describer", "rule", views.RuleDescriber)
+    found = workflows.describe_point(spark, **views.CENTER, downloader=ImageDownloader(FrameSource(images)), describer=ImageDescriber(backend="rule"), buffer_m=800)
+    return found.select("image_id", _r(F.col("distance_to_query_m")).alias("distance_to_query_m"), "parse_error", "scene_narrative", "land_use_primary", "street_type")
+
+
+@query(SQL["moran_local"])
+def analyze_workflow(spark, sf_dir):
+    """analyze_spatial itself: the frame with local statistics."""
+    return workflows.analyze_spatial(views.points(spark, sf_dir), id_col="id")["frame"].select("id", "lisa_cluster", F.round("lisa_p_value", 8).alias("lisa_p_value"), "lisa_significant")
+
+
+@query()
+def cluster_workflow(spark, sf_dir):
+    """cluster_descriptions itself: texts built, embedded and clustered."""
+    docs = views.table(spark, sf_dir, "documents").selectExpr("doc_id AS image_id", "text AS scene_narrative", "source AS place_character")
+    return workflows.cluster_descriptions(docs, 4, n_init=2).select("image_id", "cluster")
 
 
 @query(f"WITH {views.POINTS} SELECT id::varchar AS image_id, '' AS scene_narrative, 'error' AS land_use_primary, true AS parse_error FROM points")
@@ -508,11 +589,11 @@ def describe_unknown(spark, sf_dir):
 
 @query()
 def search_workflow(spark, sf_dir):
-    """Descriptions embedded and searched for one of them."""
-    docs = views.table(spark, sf_dir, "documents").select("doc_id", "text")
-    embedder = ImageEmbedder()
-    found = vector_store.top_k(embedder.embed(docs, "text"), embedder.embed_one("a quiet street with trees"), 10, "cosine", id_col="doc_id")
-    return found.select("doc_id", F.round("distance", 5).alias("distance"))
+    """build_search_index and search_similar: descriptions embedded, stored and searched."""
+    docs = views.table(spark, sf_dir, "documents").selectExpr("doc_id AS image_id", "text AS scene_narrative", "source")
+    db = workflows.build_search_index(docs, _shared(spark, "index"), metadata_columns=["source"])
+    found = workflows.search_similar(db, "a quiet street with trees", n_results=10)
+    return vector_store.VectorDB.flattened(found, ["source"]).select(F.col("id").alias("doc_id"), F.round("distance", 5).alias("distance"), "source")
 
 
 @query(f"""WITH {views.POINTS}, c AS (SELECT cluster, land_use_primary AS v, count(*) AS n FROM points GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, v) AS r FROM c),
@@ -522,6 +603,20 @@ def report_table(spark, sf_dir):
     return summaries.cluster_sizes(p).join(summaries.category_profile(p, ["land_use_primary"]).select("cluster", "top"), "cluster").select("cluster", "size", "pct", "top")
 
 
+@query(f"""WITH {views.POINTS}, c AS (SELECT cluster, land_use_primary AS v, count(*) AS n FROM points GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, v) AS r FROM c),
+    z AS (SELECT cluster, count(*) AS size FROM points GROUP BY 1)
+    SELECT concat('| ', z.cluster, ' | ', z.size, ' | ', printf('%.1f', round_even(z.size * 100.0::double / (SELECT count(*) FROM points), 1)), ' % |  | ', r.v, ' |') AS line FROM z JOIN r ON z.cluster = r.cluster AND r.r = 1""")
+def report_lines(spark, sf_dir):
+    """The rows of the clusters' table in the report itself."""
+    lines = [line for line in report.generate_report(views.points(spark, sf_dir)).splitlines() if line.startswith("| ") and line[2].isdigit()]
+    return spark.createDataFrame([(line,) for line in lines], "line string")
+
+
+@query(f"""WITH {views.ANSWERS}, {_JSON}, s AS ({_SCENE}), t AS (SELECT trim(tag) AS tag, count(*) AS count FROM (SELECT unnest(string_split(semantic_tags, ',')) AS tag FROM s) WHERE trim(tag) <> '' GROUP BY 1) SELECT * FROM t ORDER BY count DESC, tag LIMIT 3""")
+def top_tags(spark, sf_dir):
+    return summaries.tag_counts(text.with_scene_fields(views.answers(spark, sf_dir), "answer"), n=3)
+
+
 @query("SELECT date_trunc('hour', ts)::timestamp AS window_start, event_type AS key, count(*) AS n FROM events GROUP BY ALL")
 def event_windows(spark, sf_dir):
     return windowed_counts(views.table(spark, sf_dir, "events")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

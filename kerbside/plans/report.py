@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from html import escape
-from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.operators.moran import MoranResult
 from kerbside.operators.summaries import CATEGORIES, category_profile, cluster_sizes, crosstab_percent
+from kerbside.sources import files
 
 LISA_CLASSES = {0: ("Not significant", "#c8c8c8"), 1: ("High-High", "#c0392b"), 2: ("Low-Low", "#2c6fbb"), 3: ("Low-High", "#8fbce6"), 4: ("High-Low", "#f0a07c")}
 PALETTE = ("#4477aa", "#ee6677", "#228833", "#ccbb44", "#66ccee", "#aa3377", "#bb5566", "#004488", "#ddaa33", "#117733")
@@ -51,8 +51,7 @@ def generate_report(df: DataFrame, keywords: dict | None = None, moran: dict[obj
         out.append("Not worked out.")
     text = "\n".join(out) + "\n"
     if output_path:
-        Path(output_path).parent.mkdir(parents=True, exist_ok=True)
-        Path(output_path).write_text(text, encoding="utf-8")
+        files.write_text(df.sparkSession, output_path, text)
     return text
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,21 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.selectExpr("id", f"{_TEXT.format(nl='char(10)')} AS answer")
 
 
+class RuleDescriber:
+    """A describer whose answers are those of ``answers``, from a path <tag>/<id>.jpg."""
+
+    def generate(self, images: Sequence[str], system: str, user: str) -> list[str]:
+        out = []
+        for path in images:
+            tag, name = path.split("/")[-2:]
+            i = int(name.split(".")[0])
+            use = "" if i % 5 == 0 else f', "land_use_character": {{"primary": "{tag}"}}'
+            body = f'{{"scene_narrative": "Scene {i}", "semantic_tags": ["{tag}", "street"]{use}, "urban_morphology": {{"street_type": "{"local" if i % 3 == 0 else "arterial"}"}}}}'
+            bare = f'{{"scene_narrative": null, "image_quality": {{"usable_for_analysis": false}}, "semantic_tags": "{tag}"}}'
+            out.append("{bad" if i % 17 == 0 else f"```json\n{body}\n```" if i % 7 == 0 else bare if i % 11 == 0 else body)
+        return out
+
+
 ANSWERS = f"""answers AS (SELECT id, {_TEXT.format(nl="chr(10)")} AS answer FROM (SELECT id, tag, {_BODY.format()} AS body
     FROM (SELECT c_custkey AS id, lower(c_mktsegment) AS tag FROM customer)))"""
 

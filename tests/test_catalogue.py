@@ -11,8 +11,6 @@ import pytest
 import __spark_entry__ as entry
 from kerbside.plans import catalogue
 
-SLOW = {"elbow_inertia", "moran_perm_p"}
-
 
 @pytest.fixture(scope="module")
 def db(sf):
@@ -22,7 +20,7 @@ def db(sf):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalogue.SQL))
 def test_query_equals_sql(spark, sf, db, name):
     df = catalogue.QUERIES[name](spark, sf)
     columns = sorted(df.columns)

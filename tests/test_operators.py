@@ -107,7 +107,7 @@ def test_answers_on_the_driver():
 def test_scene_defaults(spark):
     cases = ['{"error": "x"}', "[1]", '{"land_use_character": "flat"}', '{"land_use_character": {"primary": null}}', None, '{"semantic_tags": ["a", "b"]}']
     df = spark.createDataFrame([(k, t) for k, t in enumerate(cases)], "k int, t string")
-    got = {r["k"]: r for r in df.select("k", *(e.alias(n) for n, e in text.scene_fields(F.col("t")).items())).collect()}
+    got = {r["k"]: r for r in text.with_scene_fields(df, "t").collect()}
     assert [got[k]["parse_error"] for k in range(6)] == [True, False, False, False, True, False]
     assert [got[k]["land_use_primary"] for k in range(6)] == ["error", "unknown", "unknown", None, "error", "unknown"]
     assert got[5]["semantic_tags"] == "a,b" and got[2]["usable"] is True and got[0]["usable"] is False
