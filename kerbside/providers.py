@@ -75,7 +75,7 @@ class HashEmbedder:
 
 def _image_bytes(image) -> bytes | None:
     """The bytes of an image on a disk that this process can read."""
-    path = str(image).removeprefix("file://")
+    path = re.sub(r"^file:(//)?", "", str(image))
     if "://" in path or not os.path.isfile(path):
         return None
     return Path(path).read_bytes()
