@@ -12,8 +12,8 @@ first token, whatever the regions. The longest match from a start counts. A matc
 that one is of the same license or reads all its tokens as wording; a notice that another template's replaceable region
 has swallowed is reported beside it.
 
-Every match has one of its template's anchors: the longest word that all texts of it have, else one of each alternative. Texts without any
-anchor are passed over in the JVM. Texts are scanned whole.
+Every match has one of its template's anchors: the longest word that all texts of it have, else one of each alternative. A few words
+cover all templates so; texts without any of them are passed over in the JVM. Texts are scanned whole.
 
 Defined results. Null and empty texts have no match; texts of any length are scanned. Offsets count characters, end exclusive. Matches of one span by
 several licenses are all reported, by license name. A null doc_id is reported as null; repeated rows give repeated
@@ -23,7 +23,7 @@ matches. No rows give no rows. Other columns, whatever their names, are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -150,7 +150,9 @@ class Automaton:
         if opened or not (sure or choices):
             raise ValueError("a template needs mandatory wording, and an end for each region")
         longest = lambda words: max(words, key=lambda w: (len(w), w))
-        self.anchors = {longest(sure)} if sure else {longest(words) for words in choices[0]}
+        #: Sets of words, of one of which every match has all.
+        self.needs = [sure] if sure else choices[0]
+        self.anchors = {longest(words) for words in self.needs}
         self.start = self._closed({(0, 0)})
         self.first = {self.words[p] for p, _ in self.start if p < len(self.words)} - {""}
         if None in self.first or len(self.words) in {p for p, _ in self.start}:
@@ -249,6 +251,16 @@ def matches(text: str, automata: dict[tuple[str, int], Automaton]) -> list[tuple
     return sorted(kept, key=lambda x: (x[0], -x[1], x[2]))
 
 
+def cover(automata: Iterable[Automaton]) -> list[str]:
+    """Few words, one of which every match of any of the automata has: each time the one that the most of their needs have, of ties the longest."""
+    left, found = [words for a in automata for words in a.needs], []
+    while left:
+        every = {w for words in left for w in words}
+        found.append(max(every, key=lambda w: (sum(w in words for words in left), len(w), w)))
+        left = [words for words in left if found[-1] not in words]
+    return found
+
+
 def scan_licenses(docs: DataFrame, templates: dict[str, str | tuple[str, ...]] | None = None, doc_id="doc_id", text="text") -> DataFrame:
     """(doc_id, license, start, end): a row for each match."""
     automata = compiled(templates)
@@ -264,7 +276,10 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str | tuple[str, ...]] |
                 ["doc_id", "license", "start", "end"],
             )
 
-    spellings = sorted({w for a in automata.values() for anchor in a.anchors for w in (anchor, *(k for k, v in _SAME.items() if v == anchor))})
+    anchors = cover(automata.values())
+    spellings = sorted({w for anchor in anchors for w in (anchor, *(k for k, v in _SAME.items() if v == anchor))})
     few = [w for w in spellings if not any(v != w and v in w for v in spellings)]  # a word that contains another is found with it
-    few = docs.select(col(docs, doc_id).alias("doc_id"), col(docs, text).alias("text")).where(F.lower("text").rlike("|".join(map(re.escape, few))) if few else F.lit(False))
+    # The first sign rules out nearly all places before any word is tried there.
+    seen = F.lower("text").rlike(f"(?=[{''.join(sorted({re.escape(w[0]) for w in few}))}])(?:{'|'.join(map(re.escape, few))})") if few else F.lit(False)
+    few = docs.select(col(docs, doc_id).alias("doc_id"), col(docs, text).alias("text")).where(seen)
     return few.mapInArrow(scan, f"doc_id {kind}, license string, start bigint, end bigint")

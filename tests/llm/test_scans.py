@@ -104,6 +104,16 @@ def test_mandatory_wording_names_the_license(name, k):
         assert len(words) >= max(3, len(license_scan.tokens(name.replace("-notice", "").replace("-Clause", "")))) and own & set(words), text
 
 
+def test_every_wording_has_a_word_of_the_cover():
+    automata = license_scan.compiled()
+    words = set(license_scan.cover(automata.values()))
+    assert len(words) < 10
+    for name, k in EVERY:
+        for full in (True, False):
+            for text in wordings(license_scan.TEMPLATES[name][k], full)[:40]:
+                assert words & {w for w, _, _ in license_scan.tokens(text)}, text
+
+
 @pytest.mark.parametrize("text", ["prices fell under by 4.0", "licensed released available under apache", "the MIT license is popular", "under the sea 2.0", "the apache license", "creative commons is a movement"])
 def test_what_is_no_notice(text):
     assert license_scan.matches(text, license_scan.compiled()) == []
