@@ -10,6 +10,8 @@ from kerbside.session import checkpoint_dir, cut, ship
 __all__ = ["checkpoint_dir", "col", "cut", "fresh", "ids_for_join", "ranked", "ship", "table"]
 
 MAX_BROADCAST = 1 << 25
+#: Bytes of the batches that go to Python workers, where the session doesn't say otherwise: texts may be long, and workers keep what memory they once took.
+BATCH_BYTES = "8m"
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -32,6 +34,9 @@ def col(df: DataFrame, name: str) -> Column:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a query; the Python workers get this package first."""
     ship(spark)
+    name_ = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name_) == "67108864b":
+        spark.conf.set(name_, BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
