@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kerbside.llm import textbytes
+from kerbside.functions import textbytes
 from kerbside.llm.frames import col, cut, fresh, ids_for_join
 
 BITS = 256
@@ -350,7 +350,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _groups(docs: DataFrame, doc_id: str, text: str, node_rows: int) -> DataFrame:
-    """(doc_id, code, root): each signed document, with the least doc_id of its group; null if it is alone."""
+    """(group, doc_id, code, root): each signed document, with the least doc_id of its group; null if it is alone."""
     i = col(docs, doc_id)
     signed = cut(docs.where(i.isNotNull()).select(i.alias("doc_id"), signature(F.lower(col(docs, text))).alias("code")).where("code IS NOT NULL"))
     codes = cut(signed.select("code").distinct().withColumn("id", F.monotonically_increasing_id()))
@@ -364,7 +364,7 @@ def _groups(docs: DataFrame, doc_id: str, text: str, node_rows: int) -> DataFram
     rooted = codes.join(roots, codes.id == roots.u, "left").select("code", F.coalesce("v", "id").alias("group"))
     members = signed.join(rooted, "code")
     least = members.groupBy("group").agg(F.min("doc_id").alias("root"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return members.join(least, "group", "left").drop("group")
+    return members.join(least, "group", "left")
 
 
 def near_copies(docs: DataFrame, doc_id="doc_id", text="text", node_rows=NODE_ROWS) -> DataFrame:
@@ -375,19 +375,22 @@ def near_copies(docs: DataFrame, doc_id="doc_id", text="text", node_rows=NODE_RO
 def drop_near_copies(docs: DataFrame, doc_id="doc_id", text="text", node_rows=NODE_ROWS) -> DataFrame:
     """docs with one row of each group of near copies; see above for nulls."""
     found, i = _groups(docs, doc_id, text, node_rows), col(docs, doc_id)
-    code, number, out, its, kept_code = fresh(docs, "_code", "_number", "_gone", "_id", "_kept")
-    named = docs.where(i.isNotNull()).groupBy(i.alias("id")).agg(F.count("*").alias("c")).where("c > 1")
-    if named.isEmpty():
-        gone = cut(found.where("doc_id <> root").select(F.col("doc_id").alias(out)))
-        return docs.join(ids_for_join(gone, out), i == F.col(out), "left_anti")
-    # Several rows share a doc_id: a group keeps one row of its least doc_id, that of the least signature.
-    stay = found.withColumn("root", F.coalesce("root", "doc_id")).groupBy("root").agg(F.min(F.struct("doc_id", "code")).alias("k")).select(F.col("k.doc_id").alias(its), F.col("k.code").alias(kept_code))
-    signed = docs.withColumn(code, signature(F.lower(col(docs, text))))
-    able = signed.where(F.col(code).isNotNull() & F.col(f"`{doc_id}`").isNotNull())
+    code, number, out, many, its, kept_code = fresh(docs, "_code", "_number", "_gone", "_several", "_id", "_kept")
+    found = cut(found)
+    gone = ids_for_join(found.where("doc_id <> root").select(F.col("doc_id").alias(out)), out)
+    several = cut(docs.where(i.isNotNull()).groupBy(i.alias(many)).agg(F.count("*").alias("c")).where("c > 1").select(many))
+    if several.isEmpty():
+        return docs.join(gone, i == F.col(out), "left_anti")
+    # Rows of a doc_id that occurs once go by it alone. Of a doc_id's rows, a group keeps one of its least doc_id and, for that, the least signature.
+    told = ids_for_join(several, many)
+    single = docs.join(told, i == F.col(many), "left_anti").join(gone, i == F.col(out), "left_anti")
+    stay = found.groupBy("group").agg(F.min(F.struct("doc_id", "code")).alias("k")).select(F.col("k.doc_id").alias(its), F.col("k.code").alias(kept_code))
+    repeated = docs.join(told, i == F.col(many), "left_semi").withColumn(code, signature(F.lower(col(docs, text))))
     kept = (
-        able.join(stay, (F.col(f"`{doc_id}`") == F.col(its)) & (F.col(code) == F.col(kept_code)), "left_semi")
+        repeated.where(F.col(code).isNotNull())
+        .join(stay, (F.col(f"`{doc_id}`") == F.col(its)) & (F.col(code) == F.col(kept_code)), "left_semi")
         .withColumn(number, F.row_number().over(Window.partitionBy(f"`{doc_id}`", code).orderBy(F.xxhash64(f"`{text}`"))))
         .where(F.col(number) == 1)
-        .drop(number, code)
+        .drop(number)
     )
-    return kept.unionByName(signed.where(F.col(code).isNull() | F.col(f"`{doc_id}`").isNull()).drop(code))
+    return single.unionByName(kept.unionByName(repeated.where(F.col(code).isNull())).drop(code))
