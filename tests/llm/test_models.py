@@ -121,6 +121,14 @@ def test_long_chains_are_learned_whole():
     assert chain.steps[0, 0] + chain.steps[1, 1] - chain.steps[0, 1] - chain.steps[1, 0] > 6 and time.time() - began < 30
 
 
+def test_a_share_at_the_minimum_stays(frame):
+    told = quality_rules.Chain(np.stack([np.eye(quality_rules.FEATURES)[1] * 9, np.eye(quality_rules.FEATURES)[0]]), np.zeros((2, 2)), np.zeros(2))  # capitals are boilerplate
+    df = frame([(1, "aaaa bbb\nAAAA BB B"), (2, "aaaa bb\nAAAA BB B"), (3, "aaaa bbbb\nAAAA BB B")])
+    shares = {r["doc_id"]: r["content_share"] for r in quality_rules.good_documents(df, told, min_share=0.0).collect()}
+    assert shares[1] == 0.5 and shares[2] < 0.5 < shares[3]
+    assert {r[0] for r in quality_rules.keep_good(df, told).select("doc_id").collect()} == {1, 3}
+
+
 def test_training_takes_any_ids_and_partitions(frame, spark):
     good, bad = "A plain line of prose, with an end.\nAnother line of it.", "BUY NOW!!! $$$ | | |\n### *** $$$ !!! BUY NOW!!!"
     data = [(i % 30, f"{good}\nAnd {i} more of it." if i % 2 else f"{bad} {i}") for i in range(120)] * 2

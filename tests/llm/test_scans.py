@@ -439,6 +439,14 @@ def test_no_span_holds_the_text_of_another_turn():
                 assert (start, end) == own[k]
 
 
+def test_a_long_conversation(chats):
+    data = [(1, t, ("user", "assistant")[t % 2], f"turn {t} " * 20) for t in range(400)] + [(2, 0, "user", "w" * 2_000_000)]
+    found = {(r["conv_id"], r["turn"]): r for r in chat_format.format_chats(chats(data), {"marked": chat_format.marked}).collect()}
+    whole = chat_format.marked([{"role": r, "text": x} for c, _, r, x in data if c == 1])
+    assert len(found) == 401 and found[1, 399]["end"] == len(whole) and found[2, 0]["end"] > 2_000_000
+    assert all(f"turn {t} " in whole[found[1, t]["start"] : found[1, t]["end"]] and found[1, t]["trained"] == bool(t % 2) for t in range(400))
+
+
 def test_rows_without_a_conversation_stay_apart(chats):
     found = chat_format.format_chats(chats([(None, t, "user", f"q{t}") for t in range(200)]), {"marked": chat_format.marked}).collect()
     assert len(found) == 200 and {r["start"] for r in found} == {0}
