@@ -40,7 +40,7 @@ def checkpoint_dir(spark: SparkSession) -> None:
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
-    if not shared and not context.master.startswith("local["):
+    if not shared and context.master != "local" and not context.master.startswith("local["):
         raise ValueError("a cluster needs a shared folder in spark.checkpoint.dir")
     context.setCheckpointDir(shared or _own_folder("kerbside-checkpoints-"))
 
