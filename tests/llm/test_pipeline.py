@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from kerbside.functions import textbytes
-from kerbside.llm import mixing, packing, pipeline, quality_rules, queries, simhash
+from kerbside.llm import mixing, packing, pipeline, quality_rules, queries
 from kerbside.llm.frames import table
 
 from .test_dedup import brute_groups
