@@ -67,19 +67,25 @@ def extract_keywords(df: DataFrame, n_keywords: int = 10, stop_words: Iterable[s
     docs = df.select(F.col(cluster).alias("cluster"), F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("cluster IS NOT NULL AND id IS NOT NULL")
     sizes = docs.groupBy("cluster").agg(F.count("*").alias("docs"))
     kind = docs.schema["cluster"].dataType.simpleString()
-    counts = docs.select("cluster", "text").mapInArrow(_counter(stop, bigrams), f"cluster {kind}, term string, df bigint, total bigint")
-    vocabulary = counts.groupBy("cluster", "term").agg(F.sum("df").alias("df"), F.sum("total").alias("total")).join(sizes, "cluster")
-    vocabulary = vocabulary.where(F.col("df") >= F.greatest(F.lit(min_docs), F.floor(F.col("docs") / 50)))
+    texts = docs.select("cluster", "text")
+
+    def frequent(pairs: bool, words: dict | None) -> DataFrame:
+        counts = texts.mapInArrow(_counter(stop, pairs, words), f"cluster {kind}, term string, df bigint, total bigint")
+        found = counts.groupBy("cluster", "term").agg(F.sum("df").alias("df"), F.sum("total").alias("total")).join(sizes, "cluster")
+        return found.where(F.col("df") >= F.greatest(F.lit(min_docs), F.floor(F.col("docs") / 50)))
+
+    vocabulary = cut(frequent(False, None))
+    if bigrams:
+        # A pair is in no more documents than either of its words, so pairs with a rare word need not be counted.
+        words = _by_cluster(vocabulary, "df") if vocabulary.count() <= BROADCAST_TERMS else None
+        vocabulary = vocabulary.unionByName(frequent(True, words))
     # row_number() <= max_features is a limit for each group: every task keeps no more rows than that before the shuffle.
     top = Window.partitionBy("cluster").orderBy(F.desc("total"), "term")
     features = vocabulary.withColumn("r", F.row_number().over(top)).where(F.col("r") <= max_features)
     idf = F.log((F.col("docs") + 1.0) / (F.col("df") + 1.0)) + 1.0
     features = cut(features.select("cluster", "term", "docs", idf.alias("idf")))
     if features.count() <= BROADCAST_TERMS:
-        weights: dict = {}
-        for r in features.collect():
-            weights.setdefault(r["cluster"], {})[r["term"]] = r["idf"]
-        sums = docs.select("cluster", "text").mapInArrow(_weigher(stop, bigrams, weights), f"cluster {kind}, term string, w double")
+        sums = texts.mapInArrow(_weigher(stop, bigrams, _by_cluster(features, "idf")), f"cluster {kind}, term string, w double")
     else:
         sums = _weighed_by_join(docs, features, stop, bigrams)
     scores = sums.groupBy("cluster", "term").agg(F.sum("w").alias("w")).join(sizes, "cluster").withColumn("score", F.col("w") / F.col("docs"))
@@ -90,16 +96,24 @@ def extract_keywords(df: DataFrame, n_keywords: int = 10, stop_words: Iterable[s
 _WORD = re.compile(r"\b\w\w+\b")
 
 
-def _read(text: str, stop: frozenset, bigrams: bool) -> Counter:
-    words = [w for w in _WORD.findall(text.lower()) if w not in stop]
-    found = Counter(words)
-    if bigrams:
-        found.update(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))
-    return found
+def _by_cluster(rows: DataFrame, value: str) -> dict:
+    """cluster -> term -> value, of BROADCAST_TERMS rows at most."""
+    out: dict = {}
+    for r in rows.select("cluster", "term", value).collect():
+        out.setdefault(r["cluster"], {})[r["term"]] = r[value]
+    return out
+
+
+def _words(text: str, stop: frozenset) -> list[str]:
+    return [w for w in _WORD.findall(text.lower()) if w not in stop]
+
+
+def _pairs(words: list[str]) -> Iterator[tuple[str, str]]:
+    return zip(words, words[1:], strict=False)
 
 
-def _counter(stop: frozenset, bigrams: bool):
-    """Counts of documents and of occurrences of each cluster's terms; a task's counts are added up before they leave it."""
+def _counter(stop: frozenset, pairs: bool, known: dict | None):
+    """Counts of documents and of occurrences of each cluster's words, or pairs of known words; a task's counts are added up before they leave it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
@@ -113,7 +127,12 @@ def _counter(stop: frozenset, bigrams: bool):
         for batch in batches:
             kind = batch.schema.field(0).type
             for cluster, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = _read(text, stop, bigrams)
+                words = _words(text, stop)
+                if pairs:
+                    own = known.get(cluster, ()) if known is not None else None
+                    found = Counter(f"{a} {b}" for a, b in _pairs(words) if own is None or (a in own and b in own))
+                else:
+                    found = Counter(words)
                 docs, totals = held.setdefault(cluster, (Counter(), Counter()))
                 size -= len(docs)
                 docs.update(found.keys())
@@ -138,7 +157,11 @@ def _weigher(stop: frozenset, bigrams: bool, weights: dict):
             for cluster, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 idf = weights.get(cluster)
                 if idf:
-                    mine = [(t, n * idf[t]) for t, n in _read(text, stop, bigrams).items() if t in idf]
+                    words = _words(text, stop)
+                    found = Counter(w for w in words if w in idf)
+                    if bigrams:
+                        found.update(t for a, b in _pairs(words) if (t := f"{a} {b}") in idf)
+                    mine = [(t, n * idf[t]) for t, n in found.items()]
                     length = math.sqrt(sum(w * w for _, w in mine))
                     into = sums.setdefault(cluster, {})
                     for t, w in mine:
