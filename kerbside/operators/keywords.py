@@ -130,13 +130,11 @@ def _counter(stop: frozenset, pairs: bool, known: dict | None):
                 words = _words(text, stop)
                 if pairs:
                     own = known.get(cluster, ()) if known is not None else None
-                    found = Counter(f"{a} {b}" for a, b in _pairs(words) if own is None or (a in own and b in own))
-                else:
-                    found = Counter(words)
+                    words = [f"{a} {b}" for a, b in _pairs(words) if own is None or (a in own and b in own)]
                 docs, totals = held.setdefault(cluster, (Counter(), Counter()))
                 size -= len(docs)
-                docs.update(found.keys())
-                totals.update(found)
+                docs.update(set(words))
+                totals.update(words)
                 size += len(docs)
             if size > FLUSH_TERMS:
                 yield flush()
