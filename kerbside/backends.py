@@ -29,8 +29,16 @@ def last_token_pool(states: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return states[np.arange(len(states)), last]
 
 
+def words(text: str) -> dict:
+    return dict(type="text", text=text)
+
+
+def picture(image) -> dict:
+    return dict(type="image", image=image)
+
+
 def chat(system: str, content: list[dict]) -> list[dict]:
-    return [{"role": "system", "content": [{"type": "text", "text": system}]}, {"role": "user", "content": content}]
+    return [dict(role=role, content=parts) for role, parts in (("system", [words(system)]), ("user", content))]
 
 
 def _there(*modules: str) -> bool:
@@ -94,7 +102,7 @@ class VllmDescriber(_Vllm):
         engine = self.engine()
         from vllm import SamplingParams
 
-        talks = [chat(system, [{"type": "image", "image": i}, {"type": "text", "text": user}]) for i in images]
+        talks = [chat(system, [picture(i), words(user)]) for i in images]
         found = engine.generate(self.inputs(talks), sampling_params=SamplingParams(temperature=self.temperature, max_tokens=self.max_tokens))
         return [f.outputs[0].text for f in found]
 
@@ -132,7 +140,7 @@ class _Transformers:
 
             dtype = getattr(torch, self.dtype) if self.dtype != "auto" else torch.bfloat16 if _gpus() else torch.float32
             self._processor = transformers.AutoProcessor.from_pretrained(self.model, trust_remote_code=True)
-            self._network = getattr(transformers, self.kind).from_pretrained(self.model, torch_dtype=dtype, device_map=self.device, trust_remote_code=True)
+            self._network = getattr(transformers, self.kind).from_pretrained(self.model, device_map=self.device, trust_remote_code=True, torch_dtype=dtype)
 
     def tensors(self, talk: list[dict], **more):
         from qwen_vl_utils import process_vision_info
@@ -157,10 +165,10 @@ class TransformersDescriber(_Transformers):
         warm = {"do_sample": True, "temperature": self.temperature} if self.temperature > 0 else {"do_sample": False}
         told = []
         for image in images:
-            given = self.tensors(chat(system, [{"type": "image", "image": image}, {"type": "text", "text": user}]))
+            given = self.tensors(chat(system, [picture(image), words(user)]))
             with torch.no_grad():
                 ids = self._network.generate(**given, max_new_tokens=self.max_tokens, **warm)
-            told += self._processor.batch_decode(ids[:, given["input_ids"].shape[1] :], skip_special_tokens=True)
+            told += self._processor.batch_decode(ids[:, given["input_ids"].shape[-1] :], skip_special_tokens=True)
         return told
 
 

@@ -23,7 +23,7 @@ from kerbside.functions.vectors import METRICS, distance, literal, ranking
 from kerbside.operators.clustering import fit_kmeans, nearest_centroid
 from kerbside.functions.text import file_stem
 from kerbside.sources import files
-from kerbside.sources.tables import list_images
+from kerbside.sources.tables import IMAGE_SUFFIXES, list_images
 
 SCHEMA = "id string, embedding array<float>, metadata map<string,string>, document string"
 QUERY_BYTES = 64 << 20
@@ -325,14 +325,10 @@ class VectorStore:
         return top_k_join(self.rows(), queries, n_results, self.state["metric"])
 
 
-#: Of several images of one id, the first kind counts.
-IMAGE_ORDER = (".jpg", ".jpeg", ".png", ".webp")
-
-
 def with_image_paths(df: DataFrame, image_dir: str, id_column: str = "image_id") -> DataFrame:
     """df with _image_path: the image in a folder whose stem is the row's id, null where there is none."""
-    there = list_images(df.sparkSession, image_dir, IMAGE_ORDER, recursive=False).select("path", file_stem(F.col("path")).alias("_stem"), F.lower(F.regexp_extract("path", r"(\.[^.]*)$", 1)).alias("kind"))
-    place = F.array_position(F.array(*map(F.lit, IMAGE_ORDER)), F.col("kind"))
+    there = list_images(df.sparkSession, image_dir, recursive=False).select("path", file_stem(F.col("path")).alias("_stem"), F.lower(F.regexp_extract("path", r"(\.[^.]*)$", 1)).alias("kind"))
+    place = F.array_position(F.array(*map(F.lit, IMAGE_SUFFIXES)), F.col("kind"))
     first = there.groupBy("_stem").agg(F.min(F.struct(place.alias("n"), "path")).alias("best")).select("_stem", F.col("best.path").alias("_image_path"))
     return df.join(first, F.col(f"`{id_column}`").cast("string") == F.col("_stem"), "left").drop("_stem")
 
@@ -346,7 +342,7 @@ class VectorDB:
     def build(self, df: DataFrame, text_column: str = "scene_narrative", metadata_columns: Sequence[str] | None = None, id_column: str = "image_id", image_column: str | None = None, image_dir: str | None = None) -> int:
         """Embeds text, and images if there is a column of their paths, and adds them with metadata; lat and lon always go along.
 
-        image_dir: a folder with an image <id>.jpg, .jpeg, .png or .webp for a row, the first of these that is there; rows without one are embedded by their text.
+        image_dir: a folder with an image for a row, named by its id; of several, the first kind of IMAGE_SUFFIXES counts; rows without one are embedded by their text.
         """
         if image_dir is not None:
             df, image_column = with_image_paths(df, image_dir, id_column), "_image_path"

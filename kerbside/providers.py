@@ -114,10 +114,8 @@ def _chosen(registry: dict[str, Callable], name: str) -> Callable:
 def message(text: str | None = None, image: str | Sequence[str] | None = None) -> list[dict]:
     """A chat message's content: the image or images first, then the text; with neither, an empty text. Local paths become absolute file:// URLs."""
     images = [] if image is None else [image] if isinstance(image, str) else list(image)
-    parts: list[dict] = [{"type": "image", "image": i if not isinstance(i, str) or re.match(r"[a-z][a-z0-9+.-]*:", i) else f"file://{os.path.abspath(i)}"} for i in images]
-    if text is not None or not parts:
-        parts.append({"type": "text", "text": text or ""})
-    return parts
+    parts = [backends.picture(i if not isinstance(i, str) or re.match(r"[a-z][a-z0-9+.-]*:", i) else f"file://{os.path.abspath(i)}") for i in images]
+    return [*parts, backends.words(text or "")] if text is not None or not parts else parts
 
 
 def unit(x: np.ndarray) -> np.ndarray:

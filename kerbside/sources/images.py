@@ -20,7 +20,7 @@ from kerbside.session import ship
 from kerbside.sources import files
 
 #: Picture widths that a source may offer, and the field of a service or column of a table that has the URL.
-RESOLUTIONS = {256: "thumb_256_url", 1024: "thumb_1024_url", 2048: "thumb_2048_url"}
+RESOLUTIONS = {width: f"thumb_{width}_url" for width in (256, 1024, 2048)}
 Box = tuple[float, float, float, float]
 
 
@@ -171,7 +171,7 @@ class ImageDownloader:
 
     def fetch_from_urls(self, chosen: DataFrame, urls: DataFrame, resolution: int = 1024, done: DataFrame | None = None, url_id: str = "id") -> DataFrame:
         """The same for URLs in a table (id, url, and columns for other resolutions): that of the resolution, else url. An image that the table has no URL of is a failure."""
-        name = {256: "thumb_256_url", 2048: "thumb_2048_url"}.get(resolution, "url")
+        name = RESOLUTIONS[resolution] if resolution in (256, 2048) else "url"
         found = [F.nullif(F.trim(f"`{c}`"), F.lit("")) for c in dict.fromkeys([name, "url"]) if c in urls.columns]
         listed = urls.groupBy(F.col(f"`{url_id}`").cast("string").alias("image_id")).agg(F.min(F.coalesce(*found)).alias("url"))
         return self._fetched(self._ids(chosen, done).join(listed, "image_id", "left"), lambda _, url: url)
