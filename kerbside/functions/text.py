@@ -130,7 +130,7 @@ def split_tags(tags: Column) -> Column:
 
 
 def place_slug(name: str) -> str:
-    return name.lower().replace(" ", "_").replace(",", "")
+    return name.lower().translate({ord(" "): "_", ord(","): None})
 
 
 def stars(p: Column) -> Column:

@@ -16,10 +16,12 @@ PALETTE = ("#4477aa", "#ee6677", "#228833", "#ccbb44", "#66ccee", "#aa3377", "#b
 ALPHA = 0.05
 
 
+STARS = ((0.001, "***"), (0.01, "**"), (0.05, "*"))
+
+
 def stars_of(p: float | None) -> str:
-    if p is None:
-        return "ns"
-    return "***" if p < 0.001 else "**" if p < 0.01 else "*" if p < 0.05 else "ns"
+    """Marks of significance, as functions.text.stars gives them for columns."""
+    return next((mark for bound, mark in STARS if p is not None and p < bound), "ns")
 
 
 def generate_report(df: DataFrame, keywords: dict | None = None, moran: dict[object, MoranResult] | None = None, output_path: str | None = None, cluster: str = "cluster", title: str = "Clusters of street scenes") -> str:

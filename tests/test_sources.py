@@ -27,8 +27,8 @@ def test_last_token_pool():
 
 
 def test_messages():
-    assert providers.message() == [{"type": "text", "text": ""}]
-    assert providers.message("t", "https://x/a.jpg") == [{"type": "image", "image": "https://x/a.jpg"}, {"type": "text", "text": "t"}]
+    assert providers.message() == [backends.words("")] == [dict(type="text", text="")]
+    assert providers.message("t", "https://x/a.jpg") == [backends.picture("https://x/a.jpg"), backends.words("t")]
     two = providers.message(None, ["/a/b.jpg", "c.jpg"])
     assert two[0]["image"] == "file:///a/b.jpg" and two[1]["image"].startswith("file:///") and two[1]["image"].endswith("/c.jpg") and len(two) == 2
 
