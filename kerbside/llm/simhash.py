@@ -45,7 +45,7 @@ KEYS = BITS // 8
 #: Bits of a trie below its key, the deepest cut of a key, and the budget at each depth: the bits beside the key's byte, then those of its word, then of its quarter.
 TRIE_BITS, MAX_CUT = 51, 16
 BUDGETS = np.array([0] + [1] * 8 + [3] * 16 + [7] * (TRIE_BITS - 24))
-NODE_ROWS = 1 << 16
+NODE_ROWS = 1 << 20  # 48 MB; a smaller node costs more copies of each signature and saves no comparison
 LEAF_PAIRS = 32
 DENSE_PAIRS = 1 << 14
 FRONTIER = 1 << 16
