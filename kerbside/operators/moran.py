@@ -42,9 +42,14 @@ def pseudo_p(tail: Column, permutations: int = PERMUTATIONS) -> Column:
     return (F.lit(float(permutations)) * tail + F.lit(1.0)) / F.lit(permutations + 1.0)
 
 
+def _large(df: DataFrame) -> DataFrame:
+    """df as a side that is shuffled: the planner takes a graph for as small as the points it came from, and would send all of it through the driver."""
+    return df.hint("merge")
+
+
 def _labelled(edges: DataFrame, labels: DataFrame) -> DataFrame:
     ends = labels.select(F.col("id").alias("nbr_id"), F.col("label").alias("nbr_label"))
-    return edges.join(labels.select("id", "label"), "id").join(ends, "nbr_id")
+    return edges.join(_large(labels.select("id", "label")), "id").join(_large(ends), "nbr_id")
 
 
 def _labels(points: DataFrame, column: str, id_col: str) -> DataFrame:
@@ -67,10 +72,10 @@ def moran_global(points: DataFrame, column: str = "cluster", k: int = 8, id_col:
     into = pairs.groupBy(F.col("nbr_label").alias("label")).agg(F.sum("w").alias("into"))
     # S0, S1, S2 of the weights: they are the graph's alone.
     back = edges.select(F.col("id").alias("nbr_id"), F.col("nbr_id").alias("id"), F.col("w").alias("wb"))
-    both = edges.join(back, ["id", "nbr_id"], "left").agg(F.sum("w").alias("s0"), F.sum(F.col("w") * F.col("w")).alias("ww"), F.sum(F.col("w") * F.coalesce("wb", F.lit(0.0))).alias("wb")).first()
+    both = edges.join(_large(back), ["id", "nbr_id"], "left").agg(F.sum("w").alias("s0"), F.sum(F.col("w") * F.col("w")).alias("ww"), F.sum(F.col("w") * F.coalesce("wb", F.lit(0.0))).alias("wb")).first()
     columns = edges.groupBy(F.col("nbr_id").alias("id")).agg(F.sum("w").alias("c"))
     rows = edges.groupBy("id").agg(F.sum("w").alias("r"))
-    s2 = rows.join(columns, "id", "full").agg(F.sum(F.pow(F.coalesce("r", F.lit(0.0)) + F.coalesce("c", F.lit(0.0)), 2))).first()[0] or 0.0
+    s2 = rows.join(_large(columns), "id", "full").agg(F.sum(F.pow(F.coalesce("r", F.lit(0.0)) + F.coalesce("c", F.lit(0.0)), 2))).first()[0] or 0.0
     s0, s1 = both["s0"] or 0.0, (both["ww"] or 0.0) + (both["wb"] or 0.0)
 
     p = F.col("n") / F.lit(float(max(n, 1)))
@@ -133,7 +138,7 @@ def moran_local(points: DataFrame, column: str = "cluster", p_threshold: float =
     high = F.col("same") / F.col("k") > F.col("m") / F.lit(float(max(n, 1)))
     cases = cases.select("label", "same", "k", p.alias("lisa_p_value"), F.when(high, 1).otherwise(4).alias("quadrant"))
     found = near.join(cases, ["label", "same", "k"]).select(F.col("id").alias("_id"), "quadrant", "lisa_p_value")
-    out = points.join(found, F.col(f"`{id_col}`") == F.col("_id"), "left").drop("_id")
+    out = points.join(_large(found), F.col(f"`{id_col}`") == F.col("_id"), "left").drop("_id")
     sure = F.coalesce(F.col("lisa_p_value") < p_threshold, F.lit(False))
     return out.withColumns({"lisa_cluster": F.when(sure, F.col("quadrant")).otherwise(0), "lisa_significant": sure}).drop("quadrant")
 
