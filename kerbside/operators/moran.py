@@ -8,15 +8,24 @@ at their ends serves all labels. A label with no variance (all points, or none)
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside.operators.neighbours import nearest_neighbours
-from kerbside.session import cut
+from kerbside.session import cut, ship
 
 PERMUTATIONS = 999
+#: The most points whose graph a task of the permutation test holds (about 100 bytes a point); hashes are worked out so many at once.
+HELD_POINTS = 1 << 23
+HASHED = 1 << 14
 
 
 @dataclass
@@ -147,28 +156,174 @@ def moran_permutations(points: DataFrame, column: str = "cluster", permutations:
     """(label, i, larger, p_value): the permutation test itself, with permutations fixed by md5(id, round).
 
     Each round deals the labels to the points in the order of a hash: a sort of all points for each round, which is what the
-    test asks for; moran_global's formula has the same mean and variance without it.
+    test asks for; moran_global's formula has the same mean and variance without it. Rounds are shared out among tasks that
+    hold the graph and deal one round after the other, so no table of points times rounds is made; a graph of more than
+    HELD_POINTS points is dealt by shuffles instead.
     """
     known = points.where(F.col(column).isNotNull())
     edges = cut(nearest_neighbours(known, k, id_col, x, y)) if edges is None else edges
     labels = cut(_labels(known, column, id_col))
     n = max(labels.count(), 1)
+    dealer = _dealt_in_tasks if n <= HELD_POINTS else _dealt_by_shuffles
+    p, own = F.col("m") / F.lit(float(n)), F.col("own") - F.col("m") / F.lit(float(n)) * F.col("into")
+    i = F.round(own / F.nullif(F.lit(float(n)) * p * (1 - p), F.lit(0.0)), 10)
+    values = dealer(edges, labels, permutations).select("round", "label", i.alias("i"))
+    real = values.where("round = 0").select("label", F.col("i").alias("real"))
+    counted = values.where("round > 0").join(real, "label").groupBy("label").agg(F.first("real").alias("i"), F.count_if(F.col("i") >= F.col("real")).alias("larger"))
+    fold = F.least(F.col("larger"), F.lit(permutations) - F.col("larger"))
+    return counted.select("label", "i", "larger", ((fold + 1.0) / F.lit(permutations + 1.0)).alias("p_value"))
+
+
+def _dealt_by_shuffles(edges: DataFrame, labels: DataFrame, permutations: int) -> DataFrame:
+    """(round, label, m, own, into): a label's points, the weight of edges between them and of all edges to them."""
     rounds = F.explode(F.sequence(F.lit(0), F.lit(permutations))).alias("round")
     key = F.when(F.col("round") == 0, F.lit("")).otherwise(F.md5(F.concat_ws("|", F.col("id").cast("string"), F.col("round").cast("string"))))
     every = labels.select("id", "label", rounds).withColumn("key", key)
     # Round 0 keeps the labels. In the others, the point at a rank by hash gets the label at that rank by id.
     by_hash = every.select("round", "id", F.row_number().over(Window.partitionBy("round").orderBy("key", "id")).alias("at"))
     by_id = every.select("round", "label", F.row_number().over(Window.partitionBy("round").orderBy("id")).alias("at"))
-    dealt = by_hash.join(by_id, ["round", "at"]).select("round", "id", "label")
+    dealt = by_hash.join(_large(by_id), ["round", "at"]).select("round", "id", "label")
     ends = dealt.select("round", F.col("id").alias("nbr_id"), F.col("label").alias("nbr_label"))
-    pairs = edges.join(dealt, "id").join(ends, ["round", "nbr_id"]).groupBy("round", "label", "nbr_label").agg(F.sum("w").alias("w"))
+    pairs = edges.join(_large(dealt), "id").join(_large(ends), ["round", "nbr_id"]).groupBy("round", "label", "nbr_label").agg(F.sum("w").alias("w"))
     own = pairs.groupBy("round", "label").agg(F.sum(F.when(F.col("label") == F.col("nbr_label"), F.col("w")).otherwise(0.0)).alias("own"))
     into = pairs.groupBy("round", F.col("nbr_label").alias("label")).agg(F.sum("w").alias("into"))
-    sizes = labels.groupBy("label").agg((F.count("*") / F.lit(float(n))).alias("p"))
-    frame = sizes.crossJoin(pairs.select("round").distinct()).join(own, ["round", "label"], "left").join(into, ["round", "label"], "left")
-    i = F.round((F.coalesce("own", F.lit(0.0)) - F.col("p") * F.coalesce("into", F.lit(0.0))) / F.nullif(F.lit(float(n)) * F.col("p") * (1 - F.col("p")), F.lit(0.0)), 10)
-    values = frame.withColumn("i", i)
-    real = values.where("round = 0").select("label", F.col("i").alias("real"))
-    counted = values.where("round > 0").join(real, "label").groupBy("label").agg(F.first("real").alias("i"), F.count_if(F.col("i") >= F.col("real")).alias("larger"))
-    fold = F.least(F.col("larger"), F.lit(permutations) - F.col("larger"))
-    return counted.select("label", "i", "larger", ((fold + 1.0) / F.lit(permutations + 1.0)).alias("p_value"))
+    sizes = labels.groupBy("label").agg(F.count("*").alias("m")).select("label", "m", rounds)
+    frame = sizes.join(own, ["round", "label"], "left").join(into, ["round", "label"], "left")
+    return frame.select("round", "label", "m", F.coalesce("own", F.lit(0.0)).alias("own"), F.coalesce("into", F.lit(0.0)).alias("into"))
+
+
+def _dealt_in_tasks(edges: DataFrame, labels: DataFrame, permutations: int) -> DataFrame:
+    """The same by tasks that hold the graph, each for its share of the rounds."""
+    spark = labels.sparkSession
+    ship(spark)
+    # Places by id: rows count on within the partitions of a sort, whose sizes are a number each.
+    inorder = cut(labels.repartitionByRange("id").sortWithinPartitions("id"))
+    part = F.spark_partition_id()
+    sizes = dict((r[0], r[1]) for r in inorder.groupBy(part.alias("part")).count().collect())
+    before = np.concatenate([[0], np.cumsum([sizes.get(i, 0) for i in range(max(sizes, default=0) + 1)])]).tolist()
+    first = F.element_at(F.array(*(F.lit(int(b)) for b in before)), part + 1)
+    at = (F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + first).cast("int")
+    placed = cut(inorder.select("id", "label", at.alias("at")))
+    ends = placed.select(F.col("id").alias("nbr_id"), F.col("at").alias("to"))
+    arcs = edges.select("id", "nbr_id", "w").join(_large(ends), "nbr_id").groupBy("id").agg(F.collect_list("to").alias("to"), F.collect_list(F.col("w").cast("double")).alias("w"))
+    blocks = max(1, min(permutations + 1, spark.sparkContext.defaultParallelism))
+    graph = cut(placed.join(_large(arcs), "id", "left").select("at", F.col("id").cast("string").alias("name"), "label", "to", "w"))
+    rows = graph.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "*").repartitionById(blocks, "block")
+    kind = labels.schema["label"].dataType.simpleString()
+    return rows.mapInArrow(_dealer(permutations, blocks), f"round int, label {kind}, m bigint, own double, into double")
+
+
+def _dealer(permutations: int, blocks: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, at, to, counts, weights, values, groups, chunks = 0, [], [], [], [], [], {}, []
+        for batch in batches:
+            if not len(batch):
+                continue
+            block = batch.column(0)[0].as_py()
+            place, near = batch.column(1).to_numpy(), batch.column(4)
+            at.append(place)
+            chunks.append(batch.column(3))
+            counts.append(pc.fill_null(pc.list_value_length(near), 0).to_numpy(zero_copy_only=False).astype(np.int32))
+            to.append(near.flatten().to_numpy())
+            w = batch.column(5).flatten().to_numpy()
+            weights.append(w[:1] if len(w) and (w == w[0]).all() else w)
+            names = batch.column(2)
+            sizes = pc.binary_length(names).to_numpy()
+            for size in np.unique(sizes):
+                mine = np.flatnonzero(sizes == size)
+                text = "".join(names.take(pa.array(mine)).to_pylist()).encode()
+                wide = np.zeros((len(mine), -(-int(size) // 4) * 4), np.uint8)
+                wide[:, :size] = np.frombuffer(text, np.uint8).reshape(len(mine), size)
+                groups.setdefault(int(size), []).append((place[mine], np.ascontiguousarray(wide.view("<u4").T)))
+        if not at:
+            return
+        groups = {size: (np.concatenate([g[0] for g in parts]), np.concatenate([g[1] for g in parts], axis=1)) for size, parts in groups.items()}
+        coded = pa.chunked_array(chunks).combine_chunks().dictionary_encode()
+        values, m = coded.dictionary, len(coded.dictionary)
+        at = np.concatenate(at)
+        n = len(at)
+        code = np.empty(n, np.uint8 if m <= 256 else np.int32)
+        code[at] = coded.indices.to_numpy()
+        same_w = len({float(w[0]) for w in weights if len(w)}) <= 1 and all(len(w) <= 1 or len(t) == 1 for w, t in zip(weights, to, strict=True))
+        one = next((float(w[0]) for w in weights if len(w)), 0.0)
+        into_w = np.zeros(n)
+        for t, w in zip(to, weights, strict=True):
+            into_w += np.bincount(t, None if same_w else np.broadcast_to(w, len(t)), n) * (one if same_w else 1.0)
+        lots = np.bincount(code, minlength=m)
+        starts = np.concatenate([[0], np.cumsum([len(c) for c in counts])])
+        for r in range(block, permutations + 1, blocks):
+            dealt = code if r == 0 else _deal(code, groups, f"|{r}".encode(), n)
+            own = np.zeros(m)
+            for s, c, t, w in zip(starts[:-1], counts, to, weights, strict=True):
+                mine = np.repeat(dealt[at[s : s + len(c)]], c)
+                same = mine == dealt[t]
+                own += np.bincount(mine[same], None if same_w else np.broadcast_to(w, len(t))[same], m) * (one if same_w else 1.0)
+            into = np.bincount(dealt, into_w, m)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, r, np.int32)), values, pa.array(lots), pa.array(own), pa.array(into)], ["round", "label", "m", "own", "into"])
+
+    return run
+
+
+def _deal(code: np.ndarray, groups: dict, suffix: bytes, n: int) -> np.ndarray:
+    """The labels by place, given to the places in the order of md5(name + suffix), ties by place."""
+    bits = np.uint64(max(1, (n - 1).bit_length()))
+    low = np.uint64((1 << int(bits)) - 1)
+    keys, done = np.empty(n, np.uint64), 0
+    for size, (places, words) in groups.items():
+        for s in range(0, len(places), HASHED):
+            head = md5_head(words[:, s : s + HASHED], size, suffix)
+            keys[done : done + len(head)] = (head & ~low) | places[s : s + HASHED].astype(np.uint64)
+            done += len(head)
+    keys.sort()
+    order = (keys & low).astype(np.int64)
+    # The few whose first bits are the same are put in order by the whole hash.
+    tied = np.flatnonzero((keys[1:] >> bits) == (keys[:-1] >> bits))
+    if len(tied):
+        wanted = np.unique(np.concatenate([order[tied], order[tied + 1]]))
+        whole = {}
+        for size, (places, words) in groups.items():
+            for j in np.flatnonzero(np.isin(places, wanted)):
+                whole[int(places[j])] = hashlib.md5(np.ascontiguousarray(words[:, j]).tobytes()[:size] + suffix).digest()
+        for run in np.split(tied, np.flatnonzero(np.diff(tied) > 1) + 1):
+            order[run[0] : run[-1] + 2] = sorted(order[run[0] : run[-1] + 2].tolist(), key=lambda a: (whole[a], a))
+    dealt = np.empty_like(code)
+    dealt[order] = code
+    return dealt
+
+
+_SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+_TURNS = [7, 12, 17, 22] * 4 + [5, 9, 14, 20] * 4 + [4, 11, 16, 23] * 4 + [6, 10, 15, 21] * 4
+
+
+def md5_head(words: np.ndarray, size: int, suffix: bytes) -> np.ndarray:
+    """The first 64 bits of the MD5 of many texts of one size, given as little-endian words in rows, each with the same suffix."""
+    total = size + len(suffix)
+    span = ((total + 8) // 64 + 1) * 64
+    rest = bytearray(span)
+    rest[size:total] = suffix
+    rest[total] = 0x80
+    rest[-8:] = (8 * total).to_bytes(8, "little")
+    fixed = np.frombuffer(bytes(rest), "<u4")
+    start = [np.full(words.shape[1], v, np.uint32) for v in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    for first in range(0, span // 4, 16):
+        a, b, c, d = start
+        for i in range(64):
+            if i < 16:
+                f, g = d ^ (b & (c ^ d)), i
+            elif i < 32:
+                f, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+            elif i < 48:
+                f, g = b ^ c ^ d, (3 * i + 5) % 16
+            else:
+                f, g = c ^ (b | ~d), 7 * i % 16
+            f += a
+            f += np.uint32((_SINES[i] + int(fixed[first + g])) & 0xFFFFFFFF)
+            if first + g < len(words):
+                f += words[first + g]
+            turned = f << np.uint32(_TURNS[i])
+            f >>= np.uint32(32 - _TURNS[i])
+            turned |= f
+            turned += b
+            a, d, c, b = d, c, b, turned
+        start = [x + y for x, y in zip(start, (a, b, c, d), strict=True)]
+    return (start[0].byteswap().astype(np.uint64) << np.uint64(32)) | start[1].byteswap().astype(np.uint64)

@@ -1,5 +1,6 @@
 """Rules of the operators that the catalogue's queries do not show: ties, nulls, empty input, errors, traps."""
 
+import hashlib
 import json
 import math
 import random
@@ -229,6 +230,27 @@ def test_moran_moments_are_those_of_permutations(spark):
     assert r.I == pytest.approx(value(y)) and r.z_score == pytest.approx((value(y) - sims.mean()) / sims.std(), abs=0.15)
 
 
+def test_hashes_are_md5():
+    for name in ("7", "1234567", "x" * 53, "y" * 64, "z" * 130):
+        names = [name[:-1] + c for c in "abc"]
+        raw = np.zeros((3, -(-len(name) // 4) * 4), np.uint8)
+        raw[:, : len(name)] = np.frombuffer("".join(names).encode(), np.uint8).reshape(3, -1)
+        got = moran.md5_head(np.ascontiguousarray(raw.view("<u4").T), len(name), b"|417")
+        assert [int(g).to_bytes(8, "big") for g in got] == [hashlib.md5(f"{n}|417".encode()).digest()[:8] for n in names]
+
+
+def test_rounds_are_dealt_in_tasks(spark, monkeypatch):
+    points = spark.range(2_500).selectExpr("id", "id * 7919 % 20011 / 1e6 AS lon", "id * 104729 % 20021 / 1e6 AS lat", "cast(id * id % 7 % 3 AS string) AS cluster")
+    edges = neighbours.nearest_neighbours(points, 4).where("rank < 4 OR id % 5 > 0").withColumn("w", F.col("rank") * 0.25).cache()
+    test = lambda: sorted(moran.moran_permutations(points, permutations=30, edges=edges).collect())
+    rows = []
+    monkeypatch.setattr(moran, "HASHED", 999)
+    used = task_memory(spark, lambda: rows.extend(test()))
+    monkeypatch.setattr(moran, "HELD_POINTS", 0)
+    shuffled = test()
+    assert len(rows) == 3 and rows == shuffled and used < 80
+
+
 def test_keywords_of_small_clusters(spark):
     rows = [(i, "park bench tree" if i % 2 else "park fountain", 0) for i in range(6)] + [(10, "lonely words", 1), (11, None, 1)]
     found = keywords.extract_keywords(spark.createDataFrame(rows, "image_id bigint, embedding_text string, cluster int"), 3).collect()
