@@ -26,7 +26,9 @@ from kerbside.sources import files
 from kerbside.sources.tables import IMAGE_SUFFIXES, list_images
 
 SCHEMA = "id string, embedding array<float>, metadata map<string,string>, document string"
-QUERY_BYTES = 64 << 20
+QUERY_BYTES = 16 << 20
+#: Distances that a task holds at once.
+HELD_SCORES = 1 << 21
 KEEP_VERSIONS = 3
 CELL_ROWS = 1 << 20
 
@@ -97,8 +99,9 @@ def _scorer(names: pa.Array, q: np.ndarray, k: int, metric: str):
         row, far, ids = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)  # the best so far
         limit = np.full(len(q), np.inf)
         for batch in batches:
-            for at in range(0, len(batch), 4096):
-                part = batch.slice(at, 4096)
+            step = max(min(k + 1, 4096), min(4096, HELD_SCORES // max(1, len(q))))
+            for at in range(0, len(batch), step):
+                part = batch.slice(at, step)
                 mine = sign * (np.round(scores(_matrix(part.column(1))), 6) + 0.0)
                 kth = np.partition(mine, k - 1, axis=1)[:, k - 1] if mine.shape[1] > k else np.inf
                 here, which = np.nonzero(mine <= np.minimum(limit, kth)[:, None])
