@@ -34,8 +34,10 @@ STREET_SCENE = frozenset(
     way white wide within yellow""".split()
 )
 #: What a task counts before it hands its counts on, and how many terms in all go to every task.
-FLUSH_TERMS = 1 << 20
-BROADCAST_TERMS = 1 << 21
+FLUSH_TERMS = 1 << 17
+BROADCAST_TERMS = 1 << 19
+#: Texts that a Python worker unpacks at once.
+TEXTS = 256
 
 
 def tokens(text: Column) -> Column:
@@ -104,6 +106,12 @@ def _by_cluster(rows: DataFrame, value: str) -> dict:
     return out
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    for at in range(0, len(batch), TEXTS):
+        part = batch.slice(at, TEXTS)
+        yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
+
+
 def _words(text: str, stop: frozenset) -> list[str]:
     return [w for w in _WORD.findall(text.lower()) if w not in stop]
 
@@ -120,13 +128,16 @@ def _counter(stop: frozenset, pairs: bool, known: dict | None):
         size, kind = 0, pa.null()
 
         def flush() -> pa.RecordBatch:
-            rows = [(c, t, d, totals[t]) for c, (docs, totals) in held.items() for t, d in docs.items()]
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())], ["cluster", "term", "df", "total"])
+            every = held.items()
+            cluster = pa.array((c for c, (docs, _) in every for _ in docs), kind)
+            term = pa.array((t for _, (docs, _) in every for t in docs), pa.string())
+            df = pa.array((d for _, (docs, _) in every for d in docs.values()), pa.int64())
+            total = pa.array((totals[t] for _, (docs, totals) in every for t in docs), pa.int64())
+            return pa.RecordBatch.from_arrays([cluster, term, df, total], ["cluster", "term", "df", "total"])
 
         for batch in batches:
             kind = batch.schema.field(0).type
-            for cluster, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for cluster, text in _rows(batch):
                 words = _words(text, stop)
                 if pairs:
                     own = known.get(cluster, ()) if known is not None else None
@@ -136,9 +147,9 @@ def _counter(stop: frozenset, pairs: bool, known: dict | None):
                 docs.update(set(words))
                 totals.update(words)
                 size += len(docs)
-            if size > FLUSH_TERMS:
-                yield flush()
-                held, size = {}, 0
+                if size > FLUSH_TERMS:
+                    yield flush()
+                    held, size = {}, 0
         yield flush()
 
     return run
@@ -152,7 +163,7 @@ def _weigher(stop: frozenset, bigrams: bool, weights: dict):
         kind = pa.null()
         for batch in batches:
             kind = batch.schema.field(0).type
-            for cluster, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for cluster, text in _rows(batch):
                 idf = weights.get(cluster)
                 if idf:
                     words = _words(text, stop)
