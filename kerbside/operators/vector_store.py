@@ -83,10 +83,11 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
 
 
 def _scorer(names: pa.Array, q: np.ndarray, k: int, metric: str):
+    """The best k for each query; queries go in groups, so that no more than HELD_SCORES distances are held."""
     sign = -1.0 if metric == "ip" else 1.0
-    squares = (q * q).sum(axis=1)
+    few = max(1, HELD_SCORES // 4096)
 
-    def scores(x: np.ndarray) -> np.ndarray:
+    def scores(q: np.ndarray, squares: np.ndarray, x: np.ndarray) -> np.ndarray:
         dots = q @ x.T
         if metric == "ip":
             return dots
@@ -95,31 +96,37 @@ def _scorer(names: pa.Array, q: np.ndarray, k: int, metric: str):
         size = np.sqrt(squares)[:, None] * np.sqrt((x * x).sum(axis=1))
         return 1 - np.divide(dots, size, out=np.zeros_like(dots), where=size > 0)
 
+    def better(q: np.ndarray, squares: np.ndarray, best: tuple, x: np.ndarray, name: np.ndarray) -> tuple:
+        row, far, ids, limit = best
+        mine = sign * (np.round(scores(q, squares, x), 6) + 0.0)
+        kth = np.partition(mine, k - 1, axis=1)[:, k - 1] if mine.shape[1] > k else np.inf
+        here, which = np.nonzero(mine <= np.minimum(limit, kth)[:, None])
+        if not len(here):
+            return best
+        row, far, ids = np.concatenate([row, here]), np.concatenate([far, mine[here, which]]), np.concatenate([ids, name[which]])
+        order = np.lexsort((np.unique(ids, return_inverse=True)[1], far, row))  # ties by id
+        row, far, ids = row[order], far[order], ids[order]
+        first = np.searchsorted(row, row)
+        keep = np.arange(len(row)) - first < k
+        row, far, ids = row[keep], far[keep], ids[keep]
+        many = np.bincount(row, minlength=len(q)) >= k
+        last = np.searchsorted(row, np.arange(len(q)), "right") - 1
+        return row, far, ids, np.where(many, far[np.maximum(last, 0)], np.inf)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, far, ids = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)  # the best so far
-        limit = np.full(len(q), np.inf)
+        groups = [q[g : g + few] for g in range(0, len(q), few)]
+        squares = [(g * g).sum(axis=1) for g in groups]
+        bests = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object), np.full(len(g), np.inf)) for g in groups]
         for batch in batches:
-            step = max(min(k + 1, 4096), min(4096, HELD_SCORES // max(1, len(q))))
-            for at in range(0, len(batch), step):
-                part = batch.slice(at, step)
-                mine = sign * (np.round(scores(_matrix(part.column(1))), 6) + 0.0)
-                kth = np.partition(mine, k - 1, axis=1)[:, k - 1] if mine.shape[1] > k else np.inf
-                here, which = np.nonzero(mine <= np.minimum(limit, kth)[:, None])
-                if not len(here):
-                    continue
+            for at in range(0, len(batch), 4096):
+                part = batch.slice(at, 4096)
                 name = np.empty(len(part), object)
                 name[:] = part.column(0).to_pylist()
-                row, far, ids = np.concatenate([row, here]), np.concatenate([far, mine[here, which]]), np.concatenate([ids, name[which]])
-                order = np.lexsort((np.unique(ids, return_inverse=True)[1], far, row))  # ties by id
-                row, far, ids = row[order], far[order], ids[order]
-                first = np.searchsorted(row, row)
-                keep = np.arange(len(row)) - first < k
-                row, far, ids = row[keep], far[keep], ids[keep]
-                many = np.bincount(row, minlength=len(q)) >= k
-                last = np.searchsorted(row, np.arange(len(q)), "right") - 1
-                limit = np.where(many, far[np.maximum(last, 0)], np.inf)
-        if len(row):
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(row)), pa.array(ids.tolist()), pa.array(sign * far + 0.0)], ["query_id", "id", "distance"])
+                x = _matrix(part.column(1))
+                bests = [better(g, s, best, x, name) for g, s, best in zip(groups, squares, bests, strict=True)]
+        for g, (row, far, ids, _) in enumerate(bests):
+            if len(row):
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(row + g * few)), pa.array(ids.tolist()), pa.array(sign * far + 0.0)], ["query_id", "id", "distance"])
 
     return run
 

@@ -279,7 +279,7 @@ def test_vector_scores_are_bounded():
     vectors = pa.ListArray.from_arrays(pa.array(np.arange(4097, dtype=np.int32) * 4), pa.array(x.ravel()))
     batch = pa.RecordBatch.from_arrays([pa.array(range(4096)), vectors], ["id", "v"])
     tracemalloc.start()
-    (found,) = vector_store._scorer(pa.array(range(4096)), x, 5, "cosine")(iter([batch]))
+    found = pa.Table.from_batches(vector_store._scorer(pa.array(range(4096)), x, 5, "cosine")(iter([batch])))
     used = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     u = x / np.sqrt((x * x).sum(axis=1))[:, None]
